@@ -107,17 +107,16 @@ def box_search(inputs: DataFrame, jobs: DataFrame, *, oversample: int, keys: lis
     """
     keys = keys or ["series_id"]
 
-    def search(cells: pd.Series, n_total: pd.Series, s_total: pd.Series, sigma: pd.Series, periods: pd.Series, durations: pd.Series) -> pd.Series:
-        out = []
-        for c, nt, stot, sg, ps, ds in zip(cells, n_total, s_total, sigma, periods, durations):
-            t = np.array([x["t"] for x in c])
-            n, s = np.array([x["n"] for x in c], dtype=float), np.array([x["s"] for x in c], dtype=float)
-            out.append([dict(zip(FIELDS, r)) for r in _search_one(t, n, s, int(nt), int(stot), sg, ps, ds, oversample)])
-        return pd.Series(out)
+    def search(t: pd.Series, n: pd.Series, s: pd.Series, n_total: pd.Series, s_total: pd.Series, sigma: pd.Series,
+               periods: pd.Series, durations: pd.Series) -> pd.Series:
+        rows = zip(t, n, s, n_total, s_total, sigma, periods, durations)
+        return pd.Series([[dict(zip(FIELDS, r)) for r in _search_one(np.asarray(t), np.asarray(n, dtype=float), np.asarray(s, dtype=float),
+                                                                     int(nt), int(st), sg, ps, ds, oversample)]
+                          for t, n, s, nt, st, sg, ps, ds in rows])
 
     x = jobs.join(inputs.filter("sigma > 0").select(*keys, "cells", "n_total", "s_total", "sigma"), keys)
     x = x.repartition(*([tasks] if tasks else []), *keys, *(["offset"] if "offset" in jobs.columns else []))
-    found = F.pandas_udf(search, RESULT)("cells", "n_total", "s_total", "sigma", "periods", "durations")
+    found = F.pandas_udf(search, RESULT)("cells.t", "cells.n", "cells.s", "n_total", "s_total", "sigma", "periods", "durations")
     carried = [c for c in jobs.columns if c not in ("periods", "durations")]
     return x.select(*carried, F.posexplode(found).alias("_pos", "_r")).select(*carried, "_pos", "_r.*")
 

@@ -6,6 +6,7 @@ from phasemill.functions.phase import cycle, in_window, phase_distance
 from phasemill.operators import boxsearch as bs, cleaning, models as mo, peaks as pk
 from phasemill.operators.medians import grouped_mad
 from phasemill.plans.registry import query
+from phasemill.session import cut_lineage
 
 DURATIONS = [0.4, 0.8, 1.2]
 GRID = (1.5, 9.5, 80)
@@ -47,11 +48,17 @@ def greedy_sql(source, count, clash):
 
 
 def points(t):
-    return cleaning.normalise_parts(cleaning.quality_filter(t.obs())).withColumn("y", F.col("nv"))
+    """Normalised points, written once: every search and diagnosis below reads them several times."""
+    x = cleaning.normalise_parts(cleaning.quality_filter(t.obs())).filter("nv IS NOT NULL")
+    return cut_lineage(x.select("series_id", "part_id", "seq", "t", F.col("nv").alias("y")))
 
 
 def pgram(t):
-    return bs.periodogram(points(t), value="y", periods=GRID, durations=DURATIONS, oversample=OVERSAMPLE, cell_days=CELL)
+    return pgram_of(points(t))
+
+
+def pgram_of(pts):
+    return bs.periodogram(pts, value="y", periods=GRID, durations=DURATIONS, oversample=OVERSAMPLE, cell_days=CELL)
 
 
 def r(c, k=8):
@@ -67,9 +74,9 @@ def _(t):
     return x.select("series_id", F.col("g.idx").alias("idx"), F.round("g.lin", 8).alias("linear_days"), F.round("g.log", 8).alias("log_days"))
 
 
-@query("ts16_box_search", "SELECT series_id, idx, round(period,8) AS period, round(power,6) AS power, round(depth,8) AS depth, round(depth_err,7) AS depth_err, round(snr,6) AS snr, duration, round(epoch,8) AS epoch, n_in, round(sde,6) AS sde FROM pg", "obs", PG)
+@query("ts16_box_search", "SELECT series_id, idx, round(period,8) AS period, round(power,6) AS power, round(depth,7) AS depth, round(depth_err,7) AS depth_err, round(snr,6) AS snr, duration, round(epoch,8) AS epoch, n_in, round(sde,6) AS sde FROM pg", "obs", PG)
 def _(t):
-    return pgram(t).select("series_id", "idx", r("period"), r("power", 6), r("depth"), r("depth_err", 7), r("snr", 6), "duration", r("epoch"), "n_in", r("sde", 6))
+    return pgram(t).select("series_id", "idx", r("period"), r("power", 6), r("depth", 7), r("depth_err", 7), r("snr", 6), "duration", r("epoch"), "n_in", r("sde", 6))
 
 
 PEAKS = PG + ", " + greedy_sql("pg", 5, "abs(x.period/c.period-1)<0.02::DOUBLE")
