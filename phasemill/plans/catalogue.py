@@ -195,14 +195,15 @@ ov AS (SELECT s.id, o.cid, count(*) AS overlap FROM (SELECT s.id, o.cid, o.serie
  JOIN sel s ON s.id=z.id JOIN sa o ON o.series_id=z.series_id AND o.cid=z.cid WHERE lo<=hi AND EXISTS (SELECT 1 FROM run r WHERE r.series_id=z.series_id AND greatest(lo, r0)<=least(hi, r1)) GROUP BY ALL),
 ev0 AS (SELECT s.id, ct.cid AS candidate_id, m AS multiplier, observed, coalesce(overlap,0) AS overlap, s.width*s.period/cd AS ratio, abs(s.period*m-cp)*least(observed,6)/greatest(cd/2,0.05) AS e_period, (s.epoch-ce) AS off, least(s.period,cp) AS mo, greatest(cd/2,0.05) AS half FROM sel s JOIN ct ON ct.series_id=s.series_id CROSS JOIN (VALUES (0.5::DOUBLE),(1.0),(2.0)) z(m) LEFT JOIN ov ON ov.id=s.id AND ov.cid=ct.cid),
 ev AS (SELECT *, least(abs(off-(floor(off/mo+0.5)-1)*mo), abs(off-floor(off/mo+0.5)*mo), abs(off-(floor(off/mo+0.5)+1)*mo))/half AS e_epoch, abs(log2(ratio)) AS e_duration FROM ev0),
-es AS (SELECT *, greatest(e_period, e_epoch, e_duration) AS score, coalesce(overlap*1.0/nullif(observed,0),0) AS overlap_ratio, e_period<=1 AND e_epoch<=1 AND ratio BETWEEN 0.25 AND 4 AND overlap>=1 AS pass FROM ev)"""
+es AS (SELECT *, greatest(e_period, e_epoch, e_duration) AS score, coalesce(overlap*1.0/nullif(observed,0),0) AS overlap_ratio, e_period<=1 AND e_epoch<=1 AND ratio BETWEEN 0.8 AND 1.6 AND overlap>=1 AS pass FROM ev)"""
 MATCHED = BINNED + "," + EVENTS_OF + "," + side("sa", "purchase") + "," + SEL
 
 
 def evaluations(t):
     sel = selections(t)
-    cand = mt.observed_centres(signals(t, "purchase"), observed(t), 0.0, 30.0)
-    return sel, mt.evaluate(sel, cand, [0.5, 1.0, 2.0], min_window=0.1, ratio_min=0.25, ratio_max=4.0, min_overlap=1, transits_cap=6)
+    cand = cut_lineage(mt.observed_centres(signals(t, "purchase"), observed(t), 0.0, 30.0))
+    # The readings feed the ranking twice and the hints once: written once.
+    return sel, cut_lineage(mt.evaluate(sel, cand, [0.5, 1.0, 2.0], min_window=0.1, ratio_min=0.8, ratio_max=1.6, min_overlap=1, transits_cap=6))
 
 
 @query("id11_submission_evaluations", EVAL + " SELECT id, candidate_id, multiplier, observed, overlap, round(e_period,6) AS e_period, round(e_epoch,6) AS e_epoch, round(e_duration,6) AS e_duration, pass FROM es", "obs", MATCHED)
@@ -222,10 +223,10 @@ def _(t):
     return mt.decide(sel, ev, min_gap=0.05, dominance=0.9, overlap_tolerance=0.2)
 
 
-@query("id12_miss_hints", DECIDE + ", h AS (SELECT id, arg_min(ratio, (score, candidate_id)) AS r FROM es WHERE multiplier=1 AND e_period<=1 AND e_epoch<=1 AND overlap>=1 AND NOT ratio BETWEEN 0.25 AND 4 GROUP BY 1) SELECT id, CASE WHEN r>4 THEN 'WINDOW_TOO_WIDE' ELSE 'WINDOW_TOO_NARROW' END AS hint FROM h JOIN stt USING (id) WHERE status='not_matched'", "obs", MATCHED)
+@query("id12_miss_hints", DECIDE + ", h AS (SELECT id, arg_min(ratio, (score, candidate_id)) AS r FROM es WHERE multiplier=1 AND e_period<=1 AND e_epoch<=1 AND overlap>=1 AND NOT ratio BETWEEN 0.8 AND 1.6 GROUP BY 1) SELECT id, CASE WHEN r>1.6 THEN 'WINDOW_TOO_WIDE' ELSE 'WINDOW_TOO_NARROW' END AS hint FROM h JOIN stt USING (id) WHERE status='not_matched'", "obs", MATCHED)
 def _(t):
     sel, ev = evaluations(t)
-    return mt.miss_hints(mt.decide(sel, ev, min_gap=0.05, dominance=0.9, overlap_tolerance=0.2), ev, min_overlap=1, ratio_max=4.0)
+    return mt.miss_hints(mt.decide(sel, ev, min_gap=0.05, dominance=0.9, overlap_tolerance=0.2), ev, min_overlap=1, ratio_max=1.6)
 
 
 GRIDQ = """inj AS (SELECT s.series_id, period, duration, depth, phase, tf+phase*period AS epoch FROM (SELECT series_id, min(t) AS tf FROM obs WHERE q=0 GROUP BY 1) s, (VALUES (2.0::DOUBLE),(3.5)) p(period), (VALUES (0.4::DOUBLE),(0.8)) d(duration), (VALUES (0.2::DOUBLE),(0.5)) h(depth), (VALUES (0.25::DOUBLE),(0.75)) f(phase))"""
