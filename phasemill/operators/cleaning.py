@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from phasemill.operators.medians import grouped_mad, grouped_median
 from phasemill.operators.ordered import bracketing, numbered, segmented
 from phasemill.operators.rangejoin import point_join
+from phasemill.session import cut_lineage
 
 BIWEIGHT_C = 6.0
 MAD_SCALE = 1.4826
@@ -81,17 +82,16 @@ def biweight(windows: pd.Series) -> pd.Series:
 def anchor_centres(x: DataFrame, keys: list[str], *, stride: int, half_window: float, value: str) -> DataFrame:
     """Biweight centre at every ``stride``-th and the last point of each run.
 
-    ``x`` carries ``_n``, the 1-based position in the run. A window holds at most
-    window/cadence points, so collecting it is bounded by the instrument.
+    ``x`` carries ``_n``, the 1-based position in the run, and ``_size``, its length. A
+    window holds at most window/cadence points, so collecting it is bounded by the instrument.
     """
-    ends = x.groupBy(*keys).agg(F.max("_n").alias("_last"))
-    anchors = (x.join(ends, keys).filter(((F.col("_n") - 1) % stride == 0) | (F.col("_n") == F.col("_last")))
-               .select(*keys, F.col("t").alias("at"), (F.col("t") - half_window).alias("lo"), (F.col("t") + half_window).alias("hi")))
+    anchors = (x.filter(((F.col("_n") - 1) % stride == 0) | (F.col("_n") == F.col("_size")))
+               .select(*keys, F.col("t").alias("_at"), (F.col("t") - half_window).alias("lo"), (F.col("t") + half_window).alias("hi")))
     near = point_join(x.select(*keys, "t", value), anchors, keys, "t", "lo", "hi", 2 * half_window,
                       F.col("t").between(F.col("lo"), F.col("hi")))
     centre = F.pandas_udf(biweight, "double")
-    return (near.groupBy(*keys, "at").agg(F.array_sort(F.collect_list(value)).alias("_w"))
-            .select(*keys, F.col("at").alias("t"), centre("_w").alias("centre")))
+    return (near.groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(value)).alias("_w"))
+            .select(*keys, F.col("_at").alias("t"), centre("_w").alias("centre")))
 
 
 def interpolated(lo_t: str, lo_y: str, hi_t: str, hi_y: str, t: str) -> Column:
@@ -108,14 +108,15 @@ def biweight_trend(obs: DataFrame, *, value: str = "v", gap_days: float, stride:
     Runs break where the step exceeds ``gap_days``; a run of under three points takes its median.
     """
     chunk = F.floor(F.col("t") / chunk_days)
-    x = segmented(obs, PART, ["t", "seq"], "t", gap_days, chunk)
+    x = segmented(obs, PART, ["t", "seq"], "t", gap_days, chunk, position="_n")
     keys = PART + ["segment_id"]
-    x = numbered(x, keys, ["t", "seq"], chunk, "_n")
-    centres = anchor_centres(x, keys, stride=stride, half_window=half_window, value=value)
+    # Anchors, windows and interpolation all read the numbered runs: written once.
+    x = cut_lineage(x)
+    x = x.join(x.groupBy(*keys).agg(F.max("_n").alias("_size")), keys)
+    centres = cut_lineage(anchor_centres(x, keys, stride=stride, half_window=half_window, value=value))
     joined = x.join(centres, keys + ["t"], "left").withColumn("_at", F.col("t"))
     span = bracketing(joined, keys, ["t", "seq"], F.col("centre").isNotNull(), ["_at", "centre"], chunk)
-    runs = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    short = grouped_median(x.join(runs.filter("_size < 3").select(*keys), keys, "left_semi"), keys, F.col(value), "_short", bounded=True)
+    short = grouped_median(x.filter("_size < 3"), keys, F.col(value), "_short", bounded=True)
     trend = interpolated("lo__at", "lo_centre", "hi__at", "hi_centre", "t")
     return (span.join(short, keys, "left").withColumn("trend", F.coalesce(F.col("_short"), trend))
             .select(*obs.columns, "segment_id", "trend"))
@@ -157,7 +158,7 @@ def quadratic_trend(obs: DataFrame, *, value: str = "v", half: int, block: int =
 def clip_upper(x: DataFrame, *, value: str, n_sigma: float = 5.0, min_points: int = 500) -> DataFrame:
     """Divide by the trend, clip above ``1 + n_sigma`` pooled scatters, give row reasons and a series status."""
     bad = ~finite("trend") | (F.col("trend") <= 0)
-    x = x.withColumn("fd", F.when(~bad, F.col(value) / F.col("trend")))
+    x = cut_lineage(x.withColumn("fd", F.when(~bad, F.col(value) / F.col("trend"))))
     stats = grouped_mad(x.filter(finite("fd")), SERIES, F.col("fd"))
     x = x.join(stats, SERIES, "left")
     kept = F.coalesce(F.col("fd") < 1 + n_sigma * F.col("scatter"), F.lit(False))

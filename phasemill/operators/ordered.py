@@ -102,12 +102,35 @@ def bracketing(df: DataFrame, keys, order: list[str], is_anchor: Column, cols: l
 
 
 def segmented(df: DataFrame, keys, order: list[str], coord: str, gap: float, chunk: Column, name: str = "segment_id",
-              *, inclusive: bool = False) -> DataFrame:
-    """Number the runs of each key: a new run starts where the step in ``coord`` exceeds ``gap``."""
-    x = with_neighbours(df, keys, order, [coord], chunk)
-    step = F.col(coord) - F.col(f"prev_{coord}")
-    opens = F.coalesce((step >= gap) if inclusive else (step > gap), F.lit(False)).cast("bigint")
-    return running_sum(x, keys, order, opens, chunk, name).drop(f"prev_{coord}")
+              *, inclusive: bool = False, position: str | None = None) -> DataFrame:
+    """Number the runs of each key: a new run starts where the step in ``coord`` exceeds ``gap``.
+
+    ``position`` also numbers the rows within their run. Inside a chunk both come from
+    one sorted pass; one summary row per chunk then says how many runs lie before it
+    and how many rows of its first run lie in earlier chunks.
+    """
+    keys, order = _names(keys), list(order)
+    part = keys + ["_chunk"]
+    opens = (lambda step: step >= gap) if inclusive else (lambda step: step > gap)
+    w = Window.partitionBy(*part).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("_chunk", chunk)
+    x = x.withColumns({"_open": F.coalesce(opens(F.col(coord) - F.lag(coord).over(w)), F.lit(False)), "_rn": F.row_number().over(w)})
+    x = x.withColumns({"_run": F.sum(F.col("_open").cast("bigint")).over(upto),
+                       "_from": F.coalesce(F.last(F.when(F.col("_open"), F.col("_rn") - 1), True).over(upto), F.lit(0))})
+    c = x.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.max("_run").alias("_opens"), F.max("_from").alias("_tail"),
+                             F.min_by(coord, "_rn").alias("_first"), F.max_by(coord, "_rn").alias("_last"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk")
+    before = wc.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumns({"_edge": F.coalesce(opens(F.col("_first") - F.lag("_last").over(wc)), F.lit(False)), "_rows": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+    c = c.withColumn("_mark", F.when(F.col("_opens") > 0, F.col("_rows") + F.col("_tail")).when(F.col("_edge"), F.col("_rows")))
+    c = c.select(*part, (F.coalesce(F.sum("_opens").over(before), F.lit(0)) + F.sum(F.col("_edge").cast("bigint")).over(wc)).alias("_base"),
+                 F.when(F.col("_edge"), 0).otherwise(F.col("_rows") - F.coalesce(F.last("_mark", True).over(before), F.lit(0))).alias("_carry"))
+    x = x.join(c, part)
+    out = [*df.columns, (F.col("_run") + F.col("_base")).alias(name)]
+    if position:
+        out.append((F.col("_rn") - F.col("_from") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(0)).alias(position))
+    return x.select(*out)
 
 
 def latest(df: DataFrame, keys, order: list, *, first: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -36,6 +36,12 @@ def _(t):
     return hits.select("series_id", "seq", F.concat_ws(",", F.col("hits").cast("array<string>")).alias("hits"))
 
 
+@query("fil04_required_columns", "SELECT source, 'checksum,quality' AS missing, count(*) AS n_rows FROM documents GROUP BY 1")
+def _(t):
+    gone = contracts.missing_columns(t.documents, ["doc_id", "text", "quality", "checksum", "source"])
+    return t.documents.groupBy("source").agg(F.lit(",".join(gone)).alias("missing"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("fil05_required_null_contract",
        """SELECT count(*) AS n_rows, count(*) FILTER (event_id IS NULL OR ts IS NULL OR user_id IS NULL OR value IS NULL) AS n_bad, '' AS missing FROM events""")
 def _(t):

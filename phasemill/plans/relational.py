@@ -189,13 +189,15 @@ def follows(t):
        SELECT user_id, CAST(sum(n) AS BIGINT) AS posts, CAST(coalesce(sum(n) FILTER (ba),0) AS BIGINT) AS by_author, CAST(coalesce(sum(n) FILTER (bs),0) AS BIGINT) AS by_star, CAST(coalesce(sum(n) FILTER (ba AND bs),0) AS BIGINT) AS by_both FROM j GROUP BY user_id""", "sub", FOLLOW)
 def _(t):
     members, stars = follows(t)
-    # Posts are counted per (author, star) before any edge touches them.
-    cells = t.submissions().filter("match_result = 'matched'").groupBy(F.col("user_id").alias("author"), "star_id").agg(n())
-    a = members.join(cells, members.target == cells.author).select(members.user_id, "author", "star_id", "n").withColumn("ba", F.lit(True))
-    s = stars.join(cells, "star_id").select(stars.user_id, "author", "star_id", F.col("n").alias("m")).withColumn("bs", F.lit(True))
-    x = a.join(s, ["user_id", "author", "star_id"], "full_outer").withColumn("c", F.coalesce("n", "m"))
-    z = lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0))
-    return x.groupBy("user_id").agg(F.sum("c").alias("posts"), z(F.col("ba")).alias("by_author"), z(F.col("bs")).alias("by_star"), z(F.col("ba") & F.col("bs")).alias("by_both"))
+    # Posts are counted per author, per star and per (author, star) before any edge
+    # touches them; the union of both reasons is their sum less the overlap.
+    cells = t.submissions().filter("match_result = 'matched'").groupBy(F.col("user_id").alias("target"), "star_id").agg(n())
+    total = lambda d, name: d.groupBy("user_id").agg(F.sum("n").alias(name))
+    a = total(members.join(cells.groupBy("target").agg(F.sum("n").alias("n")), "target"), "by_author")
+    s = total(stars.join(cells.groupBy("star_id").agg(F.sum("n").alias("n")), "star_id"), "by_star")
+    both = total(members.join(cells, "target").join(stars, ["user_id", "star_id"], "left_semi"), "by_both")
+    x = a.join(s, "user_id", "full_outer").join(both, "user_id", "left").fillna(0)
+    return x.withColumn("posts", F.col("by_author") + F.col("by_star") - F.col("by_both"))
 
 
 @query("jn19_follow_counts",
