@@ -22,17 +22,24 @@ def content_hash(cols: list[str]) -> Column:
     return F.sha2(canonical_json(cols), 256)
 
 
-def record_set_digest(df: DataFrame, keys: list[str], cols: list[str], order: list[str], block: Column) -> DataFrame:
-    """Order-independent digest of each group's rows.
+LANES = 5
+LANE_HEX = 12
 
-    Rows are hashed per (key, block) in order, then the block digests per key:
-    a group is never collected whole. ``block`` bounds the rows per block.
+
+def record_set_digest(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Order-independent digest of each group's rows, copies counted.
+
+    The SHA-256 of each row's canonical JSON is cut into lanes of 48 bits and the
+    lanes are summed; the digest is the SHA-256 of count and sums. Sums combine on
+    the map side, so no group is ever sorted or collected, whatever its size. Rows
+    that carry their sort key fix the order as well.
     """
-    line = F.struct(*order, canonical_json(cols).alias("_line"))
-    blocks = df.groupBy(*keys, block.alias("_block")).agg(F.array_sort(F.collect_list(line)).alias("_rows"), F.count(F.lit(1)).alias("_n"))
-    blocks = blocks.select(*keys, "_block", "_n", F.sha2(F.concat_ws("\n", "_rows._line"), 256).alias("_digest"))
-    tops = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_digest"))).alias("_d"), F.sum("_n").alias("n_rows"))
-    return tops.select(*keys, "n_rows", F.sha2(F.concat_ws("\n", "_d._digest"), 256).alias("digest"))
+    row = F.sha2(canonical_json(cols), 256)
+    x = df.select(*keys, row.alias("_h"))
+    lane = lambda i: F.conv(F.substring("_h", 1 + i * LANE_HEX, LANE_HEX), 16, 10).cast("decimal(15,0)")
+    sums = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(lane(i)).alias(f"_s{i}") for i in range(LANES)])
+    text = F.concat_ws(":", F.col("n_rows"), *[F.col(f"_s{i}").cast("string") for i in range(LANES)])
+    return sums.select(*keys, "n_rows", F.sha2(text, 256).alias("digest"))
 
 
 def hash_bucket(c: Column, n: int) -> Column:
@@ -40,24 +47,25 @@ def hash_bucket(c: Column, n: int) -> Column:
     return (F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10).cast("decimal(20,0)") % n).cast("bigint")
 
 
-def _float32_digests(arrays: pd.Series) -> pd.Series:
+def _float32_digests(arrays: pd.Series, gaps: pd.Series) -> pd.Series:
     out = []
-    for a in arrays:
+    for a, gone in zip(arrays, gaps):
         if a is None:
             out.append(None)
             continue
-        x = np.array([np.nan if v is None else v for v in a], dtype=np.float64)
-        gone = np.array([v is None for v in a], dtype=bool)
-        f = x.astype("<f4") + np.float32(0.0)
-        if not np.isfinite(f[~gone]).all():
+        gone = np.asarray(gone, dtype=bool)
+        f = np.where(gone, 0.0, np.asarray(a, dtype=np.float64)).astype("<f4") + np.float32(0.0)
+        if not np.isfinite(f).all():
             raise ValueError("non-finite element")
-        raw = bytearray(f.tobytes())
-        for i in np.flatnonzero(gone):
-            raw[4 * i:4 * i + 4] = NULL_FLOAT
-        out.append("sha256:" + hashlib.sha256(bytes(raw)).hexdigest())
+        words = f.view("<u4")
+        words[gone] = int.from_bytes(NULL_FLOAT, "little")
+        out.append("sha256:" + hashlib.sha256(words.tobytes()).hexdigest())
     return pd.Series(out)
 
 
 def array_checksum(c: Column) -> Column:
-    """SHA-256 of the little-endian float32 bytes; a null has its own pattern, -0 counts as +0."""
-    return F.pandas_udf(_float32_digests, "string")(c)
+    """SHA-256 of the little-endian float32 bytes; a null has its own pattern, -0 counts as +0.
+
+    Arrow hands a null element over as NaN, so the null positions travel beside the values.
+    """
+    return F.pandas_udf(_float32_digests, "string")(c, F.transform(c, lambda x: x.isNull()))

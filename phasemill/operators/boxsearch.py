@@ -115,7 +115,9 @@ def box_search(inputs: DataFrame, jobs: DataFrame, *, oversample: int, keys: lis
                           for t, n, s, nt, st, sg, ps, ds in rows])
 
     x = jobs.join(inputs.filter("sigma > 0").select(*keys, "cells", "n_total", "s_total", "sigma"), keys)
-    x = x.repartition(*([tasks] if tasks else []), *keys, *(["offset"] if "offset" in jobs.columns else []))
+    # A fixed number of tasks: rows are small and slow, so merging partitions by size would cost parallelism.
+    tasks = tasks or int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.repartition(tasks, *keys, *(["offset"] if "offset" in jobs.columns else []))
     found = F.pandas_udf(search, RESULT)("cells.t", "cells.n", "cells.s", "n_total", "s_total", "sigma", "periods", "durations")
     carried = [c for c in jobs.columns if c not in ("periods", "durations")]
     return x.select(*carried, F.posexplode(found).alias("_pos", "_r")).select(*carried, "_pos", "_r.*")

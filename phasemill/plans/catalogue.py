@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from phasemill.functions.hashing import record_set_digest
 from phasemill.functions.phase import in_window
 from phasemill.functions.scalars import to_btjd
 from phasemill.operators import boxsearch as bs, cleaning, identity as idt, matching as mt, models as mo
@@ -10,7 +11,7 @@ from phasemill.operators.discover import discoverable, noise_series, paired_bloc
 from phasemill.operators.medians import grouped_mad, grouped_median
 from phasemill.operators.ordered import latest
 from phasemill.plans import search as se
-from phasemill.plans.registry import query
+from phasemill.plans.registry import query, set_digest_sql
 from phasemill.plans.series import BINNED
 from phasemill.plans.relational import EVENTS_OF, observed
 from phasemill.session import cut_lineage
@@ -117,16 +118,12 @@ def _(t):
     return exports(t)
 
 
-@query("id08_snapshot_build", """, ln AS (SELECT source, entity, external_id, reason FROM nx), b AS (SELECT source, entity, hash_b, count(*) AS n, count(reason) AS held, count(*)-count(DISTINCT external_id) AS dup, sha256(string_agg(CASE WHEN reason IS NULL THEN external_id END, chr(10) ORDER BY external_id)) AS d FROM (SELECT *, substr(sha256(external_id),1,1) AS hash_b FROM ln) GROUP BY ALL)
- SELECT source, entity, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(held) AS BIGINT) AS n_held, CAST(sum(dup) AS BIGINT) AS n_duplicates, sha256(string_agg(coalesce(d, sha256('')), chr(10) ORDER BY hash_b)) AS digest FROM b GROUP BY ALL""", ctes=EXPORT)
+@query("id08_snapshot_build", ", d AS (SELECT source, entity, external_id, count(*) AS c FROM nx GROUP BY ALL), e AS (SELECT source, entity, CAST(sum(c-1) AS BIGINT) AS n_duplicates FROM d GROUP BY ALL), g AS (SELECT source, entity, count(*) AS n_ok, " + set_digest_sql("""'{"entity":"' || entity || '","external_id":"' || external_id || '","source":"' || source || '"}'""") + " AS digest FROM nx WHERE reason IS NULL GROUP BY ALL) SELECT source, entity, coalesce(n_ok,0) AS n_ok, n_duplicates, digest FROM e LEFT JOIN g USING (source, entity)", ctes=EXPORT)
 def _(t):
-    # Rows are hashed per (entity, id bucket), then bucket digests per entity.
-    x = exports(t).withColumn("bucket", F.substring(F.sha2("external_id", 256), 1, 1))
-    ok = F.when(F.col("reason").isNull(), F.col("external_id"))
-    b = x.groupBy("source", "entity", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("held"), (F.count(F.lit(1)) - F.count_distinct("external_id")).alias("dup"),
-                                                    F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(ok))), 256).alias("d"))
-    return b.groupBy("source", "entity").agg(F.sum("n").alias("n_rows"), F.sum("held").alias("n_held"), F.sum("dup").alias("n_duplicates"),
-                                             F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda r: r.d)), 256).alias("digest"))
+    x = exports(t).select("source", "entity", "external_id", "reason")
+    copies = x.groupBy("source", "entity", "external_id").agg(F.count(F.lit(1)).alias("c")).groupBy("source", "entity").agg(F.sum(F.col("c") - 1).alias("n_duplicates"))
+    d = record_set_digest(x.filter("reason IS NULL"), ["source", "entity"], ["source", "entity", "external_id"])
+    return copies.join(d, ["source", "entity"], "left").select("source", "entity", F.coalesce("n_rows", F.lit(0)).alias("n_ok"), "n_duplicates", "digest")
 
 
 MATCH = f""", ob AS (SELECT series_id, t FROM obs WHERE q=0), nr AS (SELECT * FROM pp WHERE dist<=0.5 AND greatest(ad,bd)/least(ad,bd)<=2),

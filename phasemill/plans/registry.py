@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phasemill.session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,6 +18,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        tune(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -89,6 +92,12 @@ VIEWS = {
 }
 
 
+def set_digest_sql(line: str) -> str:
+    """The digest of a record set as a DuckDB aggregate over row lines."""
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr(sha256({line}), {1 + 12 * i}, 12) AS BIGINT)) AS VARCHAR)" for i in range(5))
+    return f"sha256(concat_ws(':', count(*), {sums}))"
+
+
 def query(name: str, sql: str | None = None, views: str = "", ctes: str = ""):
     """Register ``fn(tables) -> DataFrame``, with the SQL that must give the same rows."""
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from phasemill.functions import hashing, scalars
-from phasemill.plans.registry import query
+from phasemill.plans.registry import query, set_digest_sql
 
 
 @query("hx01_canonical_json_hash",
@@ -17,11 +17,9 @@ def _(t):
     return t.embeddings.select("vec_id", hashing.array_checksum(F.col("embedding")).alias("checksum"))
 
 
-@query("hx03_record_set_checksum",
-       """SELECT c_nationkey, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT c_nationkey, c_custkey//1000 AS b, count(*) AS n,
-       sha256(string_agg('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}', chr(10) ORDER BY c_custkey)) AS d FROM customer GROUP BY ALL) GROUP BY c_nationkey""")
+@query("hx03_record_set_checksum", "SELECT c_nationkey, count(*) AS n_rows, " + set_digest_sql("""'{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}'""") + " AS digest FROM customer GROUP BY 1")
 def _(t):
-    return hashing.record_set_digest(t.customer, ["c_nationkey"], ["c_custkey", "c_mktsegment"], ["c_custkey"], F.floor(F.col("c_custkey") / 1000))
+    return hashing.record_set_digest(t.customer, ["c_nationkey"], ["c_custkey", "c_mktsegment"])
 
 
 @query("hx04_version_digest",
@@ -38,12 +36,10 @@ def _(t):
     return t.part.select("p_partkey", hashing.hash_bucket(F.concat("p_name", "p_partkey"), 13).alias("bucket"), F.pmod("p_partkey", F.lit(7)).alias("id_bucket"))
 
 
-@query("hx06_ordered_stream_hash",
-       """SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT o_orderkey//10000 AS b, count(*) AS n,
-       sha256(string_agg('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}', chr(10) ORDER BY o_orderkey)) AS d FROM orders GROUP BY ALL)""")
+@query("hx06_ordered_stream_hash", "SELECT count(*) AS n_rows, " + set_digest_sql("""'{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}'""") + " AS digest FROM orders")
 def _(t):
-    whole = hashing.record_set_digest(t.orders.withColumn("_all", F.lit(1)), ["_all"], ["o_custkey", "o_orderkey"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 10000))
-    return whole.select("n_rows", "digest")
+    # Each row carries its sort key, so the set of rows fixes the sorted stream.
+    return hashing.record_set_digest(t.orders, [], ["o_custkey", "o_orderkey"])
 
 
 @query("hx07_json_path", "SELECT event_id, json_extract_string(props,'$.k') AS k, json_extract_string(props,'$.missing.deep') AS gone FROM events")

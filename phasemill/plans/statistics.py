@@ -8,7 +8,7 @@ from phasemill.operators import statistics as st
 from phasemill.operators.medians import grouped_median
 from phasemill.operators.ordered import latest
 from phasemill.operators.sizing import small
-from phasemill.plans.registry import query
+from phasemill.plans.registry import query, set_digest_sql
 from phasemill.plans.relational import LATEST, latest_matches
 from phasemill.plans.scalars import evidence
 
@@ -144,13 +144,12 @@ def _(t):
     return keys.join(use, "key", "left").fillna(0)
 
 
-@query("ag14_ordered_ids_and_first", "SELECT user_id, star_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids, arg_min(match_result, created_at) AS first_result, CAST(floor(date_part('epoch', created_at)/604800) AS BIGINT) AS week FROM sub GROUP BY user_id, star_id, week", "sub")
+@query("ag14_ordered_ids_and_first", "SELECT user_id, star_id, id//1000 AS page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids, arg_min(match_result, created_at) AS first_result FROM sub GROUP BY user_id, star_id, page", "sub")
 def _(t):
-    # Ids are listed per week: the list of a busy pair stays short.
-    week = F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / 604800).alias("week")
-    x = t.submissions().groupBy("user_id", "star_id", week).agg(
+    # Ids are unique, so a page lists at most a thousand, however busy the pair.
+    x = t.submissions().groupBy("user_id", "star_id", F.floor(F.col("id") / 1000).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("r"), F.min_by("match_result", F.struct("created_at", "id")).alias("first_result"))
-    return x.select("user_id", "star_id", "week", F.concat_ws(",", F.col("r.id").cast("array<string>")).alias("ids"), "first_result")
+    return x.select("user_id", "star_id", "page", F.concat_ws(",", F.col("r.id").cast("array<string>")).alias("ids"), "first_result")
 
 
 @query("ag15_having_participants", "SELECT candidate_id, count(DISTINCT user_id) AS users FROM sub GROUP BY 1 HAVING count(DISTINCT user_id)>=75", "sub")
@@ -218,10 +217,9 @@ def _(t):
     return x.filter("c > 1").groupBy("star_id").agg(n("conflicting"))
 
 
-@query("ag23_change_fingerprint", """, l AS (SELECT user_id, id//5000 AS b, id, '{"candidate_id":' || candidate_id || ',"id":' || id || ',"judgment":"' || judgment || '"}' AS j FROM latest)
-       SELECT user_id, CAST(sum(c) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT user_id, b, count(*) AS c, sha256(string_agg(j, chr(10) ORDER BY id)) AS d FROM l GROUP BY ALL) GROUP BY user_id""", "sub", LATEST)
+@query("ag23_change_fingerprint", " SELECT user_id, count(*) AS n_rows, " + set_digest_sql("""'{"candidate_id":' || candidate_id || ',"id":' || id || ',"judgment":"' || judgment || '"}'""") + " AS digest FROM latest GROUP BY 1", "sub", LATEST)
 def _(t):
-    return record_set_digest(latest_matches(t), ["user_id"], ["id", "candidate_id", "judgment"], ["id"], F.floor(F.col("id") / 5000))
+    return record_set_digest(latest_matches(t), ["user_id"], ["id", "candidate_id", "judgment"])
 
 
 @query("ag24_run_roll_up", """, s AS (SELECT series_id, CASE WHEN count(*) FILTER (q=0)>=60 THEN 'ready' WHEN count(*) FILTER (q=0)>=50 THEN 'held' ELSE 'no_signal' END AS status FROM obs GROUP BY 1)

@@ -35,3 +35,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+# Runtime settings the plans rely on; a value the cluster has set stays.
+TUNING = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows meet per-key statistics all the time: split a hot key even where that costs a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A row of a search holds whole arrays; keep the Arrow batches small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+}
+
+
+def tune(spark: SparkSession) -> None:
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in TUNING.items():
+        if key not in given:
+            spark.conf.set(key, value)
