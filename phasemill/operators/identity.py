@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phasemill.functions.ephemeris import alias_multipliers, distance
 from phasemill.functions.phase import in_window
+from phasemill.session import cut_lineage
 
 SIGNAL = ("period", "epoch", "duration", "depth", "score")
 
@@ -39,9 +40,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"deg_a": F.count(F.lit(1)).over(a), "deg_b": F.count(F.lit(1)).over(b)})
 
 
-def reconcile(old: DataFrame, new: DataFrame, start: float, end: float, tolerance: float) -> DataFrame:
+def reconcile(old: DataFrame, new: DataFrame, start: float, end: float, tolerance: float, *, paired: DataFrame | None = None) -> DataFrame:
     """Per series: resolved with matches, additions and retirements, or held as ambiguous or possible_alias."""
-    p = pairs(old, new, start, end, tolerance)
+    p = paired if paired is not None else cut_lineage(pairs(old, new, start, end, tolerance))
     edges = degrees(p.filter("direct"))
     amb = edges.groupBy("series_id").agg(F.bool_or((F.col("deg_a") > 1) | (F.col("deg_b") > 1)).alias("amb"), F.count(F.lit(1)).alias("n_edges"))
     ma, mb = edges.select("series_id", "a_cid").distinct().withColumn("_ma", F.lit(True)), edges.select("series_id", "b_cid").distinct().withColumn("_mb", F.lit(True))
@@ -58,8 +59,9 @@ def reconcile(old: DataFrame, new: DataFrame, start: float, end: float, toleranc
 
 def lifecycle(old: DataFrame, new: DataFrame, start: float, end: float, tolerance: float) -> DataFrame:
     """One action per signal: keep, add or retire; every signal of a held series is held with the reason."""
-    verdict = reconcile(old, new, start, end, tolerance).select("series_id", "status")
-    edges = pairs(old, new, start, end, tolerance).filter("direct").select("series_id", F.col("a_cid").alias("old_cid"), F.col("b_cid").alias("new_cid"))
+    p = cut_lineage(pairs(old, new, start, end, tolerance))
+    verdict = reconcile(old, new, start, end, tolerance, paired=p).select("series_id", "status")
+    edges = p.filter("direct").select("series_id", F.col("a_cid").alias("old_cid"), F.col("b_cid").alias("new_cid"))
     kept = edges.withColumn("action", F.lit("keep"))
     gone = old.select("series_id", F.col("cid").alias("old_cid")).join(edges.select("series_id", "old_cid"), ["series_id", "old_cid"], "left_anti").withColumn("action", F.lit("retire"))
     added = new.select("series_id", F.col("cid").alias("new_cid")).join(edges.select("series_id", "new_cid"), ["series_id", "new_cid"], "left_anti").withColumn("action", F.lit("add"))
@@ -77,9 +79,10 @@ def review(signals: DataFrame, start: float, end: float, tolerance: float) -> Da
 
 def representative(signals: DataFrame) -> DataFrame:
     """The strongest signal of each series and whether another one ties with it."""
-    top = signals.groupBy("series_id").agg(F.max("score").alias("_top"), F.min_by("cid", F.struct((-F.col("score")).alias("s"), "cid")).alias("representative"))
-    tie = signals.join(top, "series_id").groupBy("series_id").agg((F.count_if(F.col("score") == F.col("_top")) > 1).alias("tie"))
-    return top.join(tie, "series_id").select("series_id", "representative", "tie")
+    # A series carries few signals: the ordered list is short and answers both questions in one pass.
+    x = signals.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cid"))).alias("r"))
+    first, second = F.col("r")[0], F.get("r", F.lit(1))
+    return x.select("series_id", first.cid.alias("representative"), F.coalesce(first.s == second.s, F.lit(False)).alias("tie"))
 
 
 def exact_groups(signals: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def shared_points(near: DataFrame, obs: DataFrame) -> DataFrame:
 def match_external(ours: DataFrame, external: DataFrame, obs: DataFrame, start: float, end: float, *, tolerance: float = 0.5,
                    ratio_max: float = 2.0, shared_min: int = 1, jaccard_min: float = 0.5) -> DataFrame:
     """Status of every external signal: direct_match, ambiguous_match, possible_alias or external_only."""
-    p = pairs(ours, external, start, end, tolerance)
+    p = cut_lineage(pairs(ours, external, start, end, tolerance))  # read for edges and for aliases
     ratio = F.greatest("a_duration", "b_duration") / F.least("a_duration", "b_duration")
     near = p.filter(F.col("direct") & (ratio <= ratio_max))
     seen = shared_points(near, obs)
