@@ -409,10 +409,17 @@ def _(t):
     return paired_blocks(se.points(t), short=(2.0, 0.5, 1.0), long=(4.0, 0.5, 1.0), value="y", min_points=2, min_blocks=3, margin=5.0)
 
 
-@query("ts38_discoverability")
+DISC = f""", sg0 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY series_id ORDER BY t, seq) >= 0.5 THEN 1 ELSE 0 END AS o FROM pts), sg1 AS (SELECT *, sum(o) OVER (PARTITION BY series_id ORDER BY t, seq) AS sg FROM sg0), sg2 AS (SELECT *, min(t) OVER (PARTITION BY series_id, sg) AS s0, max(t) OVER (PARTITION BY series_id, sg) AS s1 FROM sg1), ins AS (SELECT series_id, t FROM sg2 WHERE t-s0>=0.5 AND s1-t>=0.5),
+pk AS (SELECT * FROM mx WHERE snr>=2 AND sde>=1.5 AND idx>0 AND idx<79), cy AS (SELECT pk.series_id, pk.idx, any_value(duration) AS d, count(*) AS k FROM pk JOIN ins ON ins.series_id=pk.series_id AND abs({se.dist('ins.t', 'pk.period', 'pk.epoch')})<pk.duration/2 GROUP BY pk.series_id, pk.idx, round_even((ins.t-pk.epoch)/pk.period,0)),
+gd AS (SELECT series_id, idx FROM cy WHERE k>=0.5*d/0.25 GROUP BY ALL HAVING count(*)>=2), gp AS (SELECT pk.* FROM pk JOIN gd USING (series_id, idx)), m1 AS (SELECT * FROM md WHERE model_id=1)
+SELECT m1.series_id, count(gp.idx) AS n_peaks, count(*) FILTER (abs(ln(gp.period/m1.period))/(ln(9.5::DOUBLE/1.5::DOUBLE)/79)<=3 AND abs({se.dist('gp.epoch', 'm1.period', 'm1.epoch')})<=greatest(gp.duration,m1.duration)/2) AS n_matched FROM m1 LEFT JOIN gp ON gp.series_id=m1.series_id GROUP BY ALL"""
+
+
+@query("ts38_discoverability", se.MAXIMA + DISC, "obs", se.PG + ", " + se.MD)
 def _(t):
     pts = se.points(t)
-    return discoverable(pts, se.pgram_of(pts), se.models(t).filter("model_id = 1"), value="y", grid=se.GRID, snr_min=2.0, sde_min=1.5)
+    x = discoverable(pts, se.pgram_of(pts), se.models(t).filter("model_id = 1"), value="y", grid=se.GRID, snr_min=2.0, sde_min=1.5)
+    return x.select("series_id", "n_peaks", "n_matched")
 
 
 @query("ts39_candidate_discoverability")

@@ -180,12 +180,6 @@ def local_power(inputs, models, keys, *, rel=0.02, n=41, oversample=OVERSAMPLE):
     return bs.box_search(inputs, jobs, oversample=oversample).groupBy(*keys).agg(F.max("power").alias("local_power"))
 
 
-@query("ts22_local_max_power")
-def _(t):
-    inputs = bs.search_input(points(t), value="y", cell_days=CELL)
-    return local_power(inputs, models(t), ["series_id", "model_id"])
-
-
 MD = """md AS (SELECT series_id, m AS model_id, 2.1::DOUBLE+(series_id%5)*0.7::DOUBLE+m AS period, 0.3::DOUBLE*m AS epoch, 0.6::DOUBLE AS duration, 0.1::DOUBLE*m AS depth FROM (SELECT DISTINCT series_id FROM obs), (VALUES (1),(2)) z(m)),
 pm AS (SELECT pts.*, md.model_id, md.period, md.epoch, md.duration, md.depth, """ + dist("t", "period", "epoch") + """ AS ph FROM pts JOIN md USING (series_id))"""
 MODELS = PTS + ", " + MD
@@ -198,6 +192,20 @@ def models(t):
     return x.withColumns({"period": F.lit(2.1) + (F.col("series_id") % 5) * 0.7 + m, "epoch": F.lit(0.3) * m, "duration": F.lit(0.6), "depth": F.lit(0.1) * m})
 
 
+LOCAL = """, cel AS (SELECT series_id, (floor(t/0.02::DOUBLE)+0.5)*0.02::DOUBLE AS tc, count(*) AS n, CAST(sum(CAST(round(y*1000000000) AS BIGINT)) AS BIGINT) AS s FROM pts GROUP BY ALL), tot AS (SELECT series_id, CAST(sum(n) AS BIGINT) AS nn, CAST(sum(s) AS BIGINT) AS ss FROM cel GROUP BY 1),
+jb AS (SELECT series_id, model_id, i AS idx, period*(1-0.02::DOUBLE)+(period*(1+0.02::DOUBLE)-period*(1-0.02::DOUBLE))*i/40 AS p, duration AS d FROM md, range(41) r(i)), jn AS (SELECT *, greatest(ceil(p/(d/4)),1) AS nb FROM jb), jk AS (SELECT *, CAST(greatest(floor(d*nb/p+0.5),1) AS BIGINT) AS k FROM jn),
+oc AS (SELECT series_id, model_id, idx, k, nb, CAST(least(floor((tc/p-floor(tc/p))*nb), nb-1) AS BIGINT) AS b, sum(n) AS n, sum(s) AS s FROM jk JOIN cel USING (series_id) WHERE k<nb GROUP BY ALL),
+wi AS (SELECT series_id, model_id, idx, CAST((b-j+nb)%nb AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS s FROM (SELECT *, unnest(range(k)) AS j FROM oc) GROUP BY ALL),
+dp AS (SELECT w.*, sigma, (CAST(ss-s AS DOUBLE)/(nn-n) - CAST(s AS DOUBLE)/n)/1000000000 AS depth FROM wi w JOIN tot USING (series_id) JOIN sig USING (series_id) WHERE nn>n AND sigma>0)
+SELECT md.series_id, md.model_id, round(coalesce(max(0.5*n*dp.depth*dp.depth/(sigma*sigma)) FILTER (dp.depth>0),0),6) AS local_power FROM md LEFT JOIN dp USING (series_id, model_id) GROUP BY ALL"""
+
+
+@query("ts22_local_max_power", LOCAL, "obs", MODELS)
+def _(t):
+    inputs = bs.search_input(points(t), value="y", cell_days=CELL)
+    return local_power(inputs, models(t), ["series_id", "model_id"]).select("series_id", "model_id", r("local_power", 6))
+
+
 def on_models(t):
     return points(t).select("series_id", "part_id", "seq", "t", "y").join(models(t), "series_id")
 

@@ -39,6 +39,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 # Runtime settings the plans rely on; a value the cluster has set stays.
 TUNING = {
+    # Timestamps without a zone are UTC.
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Rows meet per-key statistics all the time: split a hot key even where that costs a shuffle.
