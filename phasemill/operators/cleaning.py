@@ -60,23 +60,32 @@ def normalise_parts(obs: DataFrame) -> DataFrame:
              .withColumn("nv", F.when(F.col("part_median") > 0, F.col("v") / F.col("part_median"))))
 
 
+def _middle(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Median of each row of a matrix sorted along its rows, of which ``length`` leading values count."""
+    at = np.arange(len(rows))
+    return (rows[at, (length - 1) // 2] + rows[at, length // 2]) / 2
+
+
 def biweight(windows: pd.Series) -> pd.Series:
-    """Tukey biweight location of each window: three steps from the median, frozen when degenerate."""
-    out = np.empty(len(windows))
-    for i, w in enumerate(windows):
-        x = np.asarray(w, dtype=float)
-        m = np.median(x)
-        for _ in range(3):
-            mad = np.median(np.abs(x - m))
-            if mad == 0:
-                break
-            u = (x - m) / (BIWEIGHT_C * mad)
+    """Tukey biweight location of each sorted window: three steps from the median, frozen when degenerate.
+
+    The windows of a batch are the rows of one matrix, filled up with NaN.
+    """
+    length = windows.map(len).to_numpy()
+    x = np.full((len(windows), length.max(initial=1)), np.nan)
+    for row, w in zip(x, windows):
+        row[:len(w)] = w
+    m = _middle(x, length)
+    moving = np.ones(len(x), dtype=bool)
+    for _ in range(3):
+        mad = _middle(np.sort(np.abs(x - m[:, None]), axis=1), length)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = (x - m[:, None]) / (BIWEIGHT_C * mad[:, None])
             weight = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
-            if weight.sum() == 0:
-                break
-            m = (weight * x).sum() / weight.sum()
-        out[i] = m
-    return pd.Series(out)
+        total = weight.sum(axis=1)
+        moving &= (mad > 0) & (total > 0)
+        m = np.where(moving, np.nansum(weight * x, axis=1) / np.where(moving, total, 1.0), m)
+    return pd.Series(m)
 
 
 def anchor_centres(x: DataFrame, keys: list[str], *, stride: int, half_window: float, value: str) -> DataFrame:

@@ -115,3 +115,21 @@ def test_reconcile_holds_ambiguity(spark):
     new = spark.createDataFrame([row(1, 11, 3.0001), row(1, 12, 7.1), row(2, 11, 3.0), row(2, 12, 3.0, 1.01), row(3, 11, 6.0)], cols)
     got = {r.series_id: (r.status, r.matched, r.added, r.retired) for r in identity.reconcile(old, new, 0.0, 27.0, 0.5).collect()}
     assert got == {1: ("resolved", 1, 1, 0), 2: ("ambiguous", 0, 0, 0), 3: ("possible_alias", 0, 0, 0)}
+
+
+def test_biweight_of_a_batch_equals_one_window_at_a_time():
+    from phasemill.operators.cleaning import biweight
+    rng = np.random.default_rng(8)
+    windows = [np.sort(rng.normal(1, 0.1, n)) for n in (1, 2, 5, 30, 31)] + [np.ones(6), np.sort(np.r_[np.ones(5), 9.0])]
+    want = []
+    for x in windows:
+        m = np.median(x)
+        for _ in range(3):
+            mad = np.median(np.abs(x - m))
+            if mad == 0:
+                break
+            u = (x - m) / (6 * mad)
+            w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
+            m = (w * x).sum() / w.sum()
+        want.append(m)
+    assert biweight(pd.Series(windows)).tolist() == pytest.approx(want, rel=1e-12)
