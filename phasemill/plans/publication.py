@@ -92,11 +92,11 @@ def bundles(t):
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), page.alias("page")).agg(rows.alias("candidates"), F.count_distinct("l_linenumber").alias("steps"), n("n_rows"), F.max("l_linenumber").alias("top"))
     x = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").join(lines, "o_orderkey", "left")
     bad = F.array_compact(F.array(F.when(F.col("n_rows").isNull(), "no_candidates"), F.when(F.col("steps") != F.col("n_rows"), "duplicate_step"), F.when(F.col("top") != F.col("steps"), "step_gap")))
-    return x.withColumns({"page": F.coalesce("page", F.lit(0)), "violations": F.concat_ws(",", bad)})
+    return x.withColumns({"page": F.coalesce("page", F.lit(0).cast("bigint")), "violations": F.concat_ws(",", bad)})
 
 
-@query("inc07_bundle_assembly", """SELECT o_orderkey, coalesce(page,0) AS page, '{"bundle":{"id":' || o_orderkey || ',"owner":' || o_custkey || ',"status":"' || o_orderstatus || '"}' || coalesce(',"candidates":[' || c || ']','') || '}' AS document, concat_ws(',', CASE WHEN c IS NULL THEN 'no_candidates' END, CASE WHEN s<>nr THEN 'duplicate_step' END, CASE WHEN top<>s THEN 'step_gap' END) AS violations
- FROM orders LEFT JOIN (SELECT l_orderkey, (l_linenumber-1)//1000 AS page, string_agg('{"step":' || l_linenumber || ',"candidate_id":' || l_partkey || ',"depth":' || l_quantity || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS c, count(DISTINCT l_linenumber) AS s, count(*) AS nr, max(l_linenumber) AS top FROM lineitem GROUP BY ALL) ON l_orderkey=o_orderkey""")
+@query("inc07_bundle_assembly", """SELECT o_orderkey, coalesce(page,0::BIGINT) AS page, '{"bundle":{"id":' || o_orderkey || ',"owner":' || o_custkey || ',"status":"' || o_orderstatus || '"}' || coalesce(',"candidates":[' || c || ']','') || '}' AS document, concat_ws(',', CASE WHEN c IS NULL THEN 'no_candidates' END, CASE WHEN s<>nr THEN 'duplicate_step' END, CASE WHEN top<>s THEN 'step_gap' END) AS violations
+ FROM orders LEFT JOIN (SELECT l_orderkey, CAST((l_linenumber-1)//1000 AS BIGINT) AS page, string_agg('{"step":' || l_linenumber || ',"candidate_id":' || l_partkey || ',"depth":' || l_quantity || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS c, count(DISTINCT l_linenumber) AS s, count(*) AS nr, max(l_linenumber) AS top FROM lineitem GROUP BY ALL) ON l_orderkey=o_orderkey""")
 def _(t):
     head = F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status"))
     return bundles(t).select("o_orderkey", "page", F.to_json(F.struct(head.alias("bundle"), "candidates")).alias("document"), "violations")

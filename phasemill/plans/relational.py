@@ -120,7 +120,7 @@ def observed(t):
 
 
 @query("jn13_interval_overlap",
-       """, w AS (SELECT series_id, 0.7+k*3.3 AS c, 0.7+k*3.3-0.4 AS w0, 0.7+k*3.3+0.4 AS w1 FROM (SELECT DISTINCT series_id FROM obs), (SELECT unnest(range(10)) AS k))
+       """, w AS (SELECT series_id, 0.7::DOUBLE+k*3.3::DOUBLE AS c, 0.7::DOUBLE+k*3.3::DOUBLE-0.4 AS w0, 0.7::DOUBLE+k*3.3::DOUBLE+0.4 AS w1 FROM (SELECT DISTINCT series_id FROM obs), (SELECT unnest(range(10)) AS k))
        SELECT w.series_id, round(w.c,8) AS centre, count(*) AS n_runs, round(min(greatest(w0,r0)),8) AS lo FROM w JOIN run ON run.series_id=w.series_id AND greatest(w0,r0)<=least(w1,r1) GROUP BY w.series_id, w.c""", "obs", BINNED + "," + EVENTS_OF)
 def _(t):
     w = t.obs().select("series_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))

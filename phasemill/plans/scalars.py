@@ -61,7 +61,7 @@ def _(t):
     return evidence(t).select("event_id", F.explode(scalars.json_strings(F.col("checks"))).alias("element"))
 
 
-@query("hx09_json_build", """SELECT l_orderkey, (l_linenumber-1)//1000 AS page, '[' || string_agg('{"line":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS payload FROM lineitem GROUP BY l_orderkey, page""")
+@query("hx09_json_build", """SELECT l_orderkey, CAST((l_linenumber-1)//1000 AS BIGINT) AS page, '[' || string_agg('{"line":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS payload FROM lineitem GROUP BY l_orderkey, page""")
 def _(t):
     # A document is paged by line number, so its list is bounded whatever the order holds.
     rows = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))))

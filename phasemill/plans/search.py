@@ -71,7 +71,7 @@ def _(t):
     s = t.obs().groupBy("series_id").agg(((F.max("t") - F.min("t")) / 3).alias("hi")).filter("hi > 0.5")
     lo, hi = F.lit(0.5), F.col("hi")
     x = s.select("series_id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(49)).alias("idx"), bs.linear_grid(lo, hi, 50).alias("lin"), bs.log_grid(lo, hi, 50).alias("log"))).alias("g"))
-    return x.select("series_id", F.col("g.idx").alias("idx"), F.round("g.lin", 8).alias("linear_days"), F.round("g.log", 8).alias("log_days"))
+    return x.select("series_id", F.col("g.idx").cast("bigint").alias("idx"), F.round("g.lin", 8).alias("linear_days"), F.round("g.log", 8).alias("log_days"))
 
 
 @query("ts16_box_search", "SELECT series_id, idx, round(period,8) AS period, round(power,6) AS power, round(depth,7) AS depth, round(depth_err,7) AS depth_err, round(snr,6) AS snr, duration, round(epoch,8) AS epoch, n_in, round(sde,6) AS sde FROM pg", "obs", PG)

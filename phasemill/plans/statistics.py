@@ -23,7 +23,7 @@ def nif(cond, name):
     return F.count_if(F.expr(cond) if isinstance(cond, str) else cond).alias(name)
 
 
-@query("ag01_children_as_structs", """SELECT l_orderkey, (l_linenumber-1)//1000 AS page, count(*) AS n_lines, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey, page""")
+@query("ag01_children_as_structs", """SELECT l_orderkey, CAST((l_linenumber-1)//1000 AS BIGINT) AS page, count(*) AS n_lines, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey, page""")
 def _(t):
     # Children are paged by their ordinal, so a list is bounded whatever the parent holds.
     x = t.lineitem.groupBy("l_orderkey", F.floor((F.col("l_linenumber") - 1) / 1000).alias("page")).agg(

@@ -35,7 +35,7 @@ def written_and_checked(df: DataFrame, path: str) -> DataFrame:
     rows = df.count()
     immutable(df, path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    return back.agg(F.count(F.lit(1)).alias("written")).select(F.lit(rows).alias("computed"), "written", (F.col("written") == rows).alias("contract_ok"))
+    return back.agg(F.count(F.lit(1)).alias("written")).select(F.lit(rows).cast("bigint").alias("computed"), "written", (F.col("written") == rows).alias("contract_ok"))
 
 
 def manifest_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType, key: str) -> DataFrame:
