@@ -23,5 +23,6 @@ def _register(name: str, module: str, *tables: str) -> None:
 for _entry in [
     ("op6_benchmark_decontamination", "decontaminate", "documents", "benchmark"),
     ("op7_quality_rules", "rules", "documents"),
+    ("op8_quality_classifier", "quality", "documents", "labels"),
 ]:
     _register(*_entry)
