@@ -24,5 +24,7 @@ for _entry in [
     ("op6_benchmark_decontamination", "decontaminate", "documents", "benchmark"),
     ("op7_quality_rules", "rules", "documents"),
     ("op8_quality_classifier", "quality", "documents", "labels"),
+    ("op3_language_identification", "language", "documents"),
+    ("op9_language_model_scores", "contexttree", "documents"),
 ]:
     _register(*_entry)
