@@ -26,5 +26,6 @@ for _entry in [
     ("op8_quality_classifier", "quality", "documents", "labels"),
     ("op3_language_identification", "language", "documents"),
     ("op9_language_model_scores", "contexttree", "documents"),
+    ("op10_secret_scans", "secrets", "documents"),
 ]:
     _register(*_entry)
