@@ -27,5 +27,8 @@ for _entry in [
     ("op3_language_identification", "language", "documents"),
     ("op9_language_model_scores", "contexttree", "documents"),
     ("op10_secret_scans", "secrets", "documents"),
+    ("op5_minhash_near_duplicates", "oddsketch", "documents"),
+    ("op1_warc_round_trip", "warc", "pages"),
+    ("op2_best_fit_packing", "packing", "documents"),
 ]:
     _register(*_entry)
