@@ -30,5 +30,6 @@ for _entry in [
     ("op5_minhash_near_duplicates", "oddsketch", "documents"),
     ("op1_warc_round_trip", "warc", "pages"),
     ("op2_best_fit_packing", "packing", "documents"),
+    ("op4_suffix_array_dedup", "suffix", "documents"),
 ]:
     _register(*_entry)
