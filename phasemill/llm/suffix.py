@@ -212,7 +212,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     different = stored(different, "suffix-different")
     counts = different.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("all > 1")
     crowded = counts.filter(F.col("m") > hot).select("anchor")
-    normal = different.join(counts.filter((F.col("m") <= hot) & (F.col("m") > 1)).select("anchor"), "anchor").select("anchor", "run", "ahead", "bytes").repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    normal = different.join(counts.filter((F.col("m") <= hot) & (F.col("m") > 1)).select("anchor"), "anchor").select("anchor", "run", "ahead", "bytes").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
 
     def judged(table: pa.Table):
         """Stretches of repeated starts of the runs of whole buckets."""
