@@ -22,17 +22,16 @@ COLS = ["series_id", "cid", "period", "epoch", "duration", "depth", "score"]
 
 def side(name, kind):
     return f"""{name} AS (SELECT user_id AS series_id, event_id AS cid, 2.0::DOUBLE+k%4 AS period, floor(t*2)/2 AS epoch, 0.5::DOUBLE+0.25::DOUBLE*(k%2) AS duration, (1+k%3)/8.0::DOUBLE AS depth, value AS score
- FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k, CAST(epoch_us(ts) AS DOUBLE)/CAST(86400000000 AS DOUBLE) - 19723 AS t FROM events WHERE event_type='{kind}') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)<=5)"""
+ FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k, CAST(epoch_us(ts) AS DOUBLE)/CAST(86400000000 AS DOUBLE) - 19723 AS t FROM events WHERE event_type='{kind}'))"""
 
 
 def signals(t, kind):
-    """Five strongest signals of each series, as a search would leave them."""
+    """Every signal of each series."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     days = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / F.lit(86400000000.0) - F.lit(19723.0)
-    x = t.events.filter(F.col("event_type") == kind).withColumns({"k": k, "d": days}).select(
+    return t.events.filter(F.col("event_type") == kind).withColumns({"k": k, "d": days}).select(
         F.col("user_id").alias("series_id"), F.col("event_id").alias("cid"), (F.lit(2.0) + F.col("k") % 4).alias("period"), (F.floor(F.col("d") * 2) / 2).alias("epoch"),
         (F.lit(0.5) + F.lit(0.25) * (F.col("k") % 2)).alias("duration"), ((1 + F.col("k") % 3) / F.lit(8.0)).alias("depth"), F.col("value").alias("score"))
-    return idt.strongest(x, ["series_id"], 5)
 
 
 def one_sided(p, e, q, f):
