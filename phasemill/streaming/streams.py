@@ -18,9 +18,9 @@ from phasemill.session import scratch_path
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet table of a folder as a stream, with its schema pinned."""
-    schema = spark.read.option("pathGlobFilter", f"{name}*.parquet").parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """The Parquet file <name>.parquet of a folder as a stream, with its schema pinned."""
+    schema = spark.read.option("pathGlobFilter", f"{name}.parquet").parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
