@@ -93,10 +93,11 @@ def _some(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, c, bands): set size, class key and band keys; both null for empty sets."""
+    """(doc_id, n, c, bands): set size, class key (null for empty sets) and band keys, given once per class and task."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def each(batches):
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in slices(offsets):
@@ -107,8 +108,11 @@ def signed(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: s
                 keys = np.zeros(0, np.uint64)
                 if len(has):
                     c[has] = _class(sets, own)
-                    keys = signatures(sets, own)[0].ravel()
-                bands[has] = BANDS
+                    fresh = np.array([k for k, x in enumerate(c[has].tolist()) if x not in seen and not seen.add(x)], np.int64)
+                    if len(fresh):
+                        chosen = [sets[own[k]: own[k + 1]] for k in fresh]
+                        keys = signatures(np.concatenate(chosen), np.concatenate([[0], np.cumsum([len(x) for x in chosen])]))[0].ravel()
+                        bands[has[fresh]] = BANDS
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(bands)]).astype(np.int32), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(c, mask=n == 0), lists], ["doc_id", "n", "c", "bands"])
 
@@ -183,14 +187,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     """(doc_id, n_shingles, component_id, kept) of every document; links need ``percent`` (80 or more) Jaccard."""
     sigs = stored(signed(docs, size, doc_id, text), "near-signatures")
     classes = sigs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("m"), F.max("n").alias("n"))
-    bands = sigs.filter("n > 0").select("c", F.explode("bands").alias("key")).distinct()
+    bands = sigs.filter("n > 0").select("c", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("key", "a")
-    stars = bands.join(shared, "key").filter("c <> a").select("a", F.col("c").alias("b"))
+    # Neither side has a size bound: merged at every size, so small and large inputs take the same plan.
+    stars = bands.join(shared.hint("merge"), "key").filter("c <> a").select("a", F.col("c").alias("b"))
     clusters = components(stars).select(F.col("id").alias("c"), F.col("label").alias("cluster"))
     members = stored(clusters.join(classes, "c"), "near-members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = members.select(F.col("m").alias("w_id"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    # One text per class is read, with its place; its set is made after the join, so no set is shuffled twice.
+    wanted = members.select(F.col("m").alias("w_id"), "c", "cluster").join(sizes, "cluster")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    placed = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "c", "cluster", "blocks")
 
     def full(batches):
         for batch in batches:
@@ -200,10 +207,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
                 sets, ends = shingle_sets(data[part[0]: part[-1]], part - part[0], size)
                 has, own = _some(sets, ends)
                 if len(has):
-                    yield pa.RecordBatch.from_arrays([pa.array(_class(sets, own)), pa.array([sets[a:b].tobytes() for a, b in zip(own[:-1], own[1:])], pa.binary())], ["c", "shingles"])
+                    # Rows may repeat an id with another text: a place belongs to the text of its class.
+                    right = np.flatnonzero(_class(sets, own) == batch.column("c").slice(i, j - i).to_numpy()[has])
+                    place = batch.select(["c", "cluster", "blocks"]).slice(i, j - i).take(pa.array(has[right]))
+                    blobs = pa.array([sets[own[k]: own[k + 1]].tobytes() for k in right], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*place.columns, blobs], ["c", "cluster", "blocks", "shingles"])
 
-    sets = texts.select("text").mapInArrow(full, "c long, shingles binary")
-    dealt = sets.join(members.select("c", "cluster"), "c").join(sizes, "cluster")
+    dealt = placed.mapInArrow(full, "c long, cluster long, blocks int, shingles binary")
     # A member of block k meets every block: it goes to the tasks (i, k) for i up to k and (k, j) for j beyond.
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).select("c", "shingles", "cluster", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
