@@ -22,7 +22,7 @@ def grid_bin(t: Column, start: Column, minutes: Column) -> Column:
 def fixed_grid(obs: DataFrame, *, minutes: float, valid: Column, value: str = "v", max_bins: int = 20_000) -> DataFrame:
     """Mean per bin of a grid that starts at the first prepared time; empty bins stay, as null.
 
-    The grid is bounded (``max_bins`` per part); an over-long part has status ``point_limit``.
+    The grid is bounded (``max_bins`` per part); an over-long part is one row without a bin, of status ``point_limit``.
     """
     return _grid(obs, F.lit(float(minutes)), valid, value, max_bins, "mean")
 
@@ -31,7 +31,9 @@ def adaptive_grid(obs: DataFrame, *, minutes: float, max_bins: int, reducer: str
     """As ``fixed_grid``, the bin width grown by a whole factor until the part fits ``max_bins``."""
     span = (F.max("t") - F.min("t")) * 1440
     factor = F.greatest(F.lit(1), F.floor(span / (minutes * max_bins)) + 1)
-    widths = obs.groupBy(*PART).agg((F.lit(float(minutes)) * factor).alias("minutes"))
+    # A last point that snaps onto the final edge needs one factor more.
+    over = F.floor(span / (minutes * factor) + EDGE_SNAP) >= max_bins
+    widths = obs.groupBy(*PART).agg((F.lit(float(minutes)) * (factor + F.when(over, 1).otherwise(0))).alias("minutes"))
     return _grid(obs.join(widths, PART), F.col("minutes"), F.lit(True), value, max_bins, reducer)
 
 
@@ -45,21 +47,22 @@ def _grid(obs: DataFrame, minutes: Column, valid: Column, value: str, max_bins:
         cells = grouped_median(x, keys, F.col(value), "flux").join(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
     else:
         cells = x.groupBy(*keys).agg(F.avg(value).alias("flux"), F.count(F.lit(1)).alias("n"))
-    spine = (starts.filter(F.col("n_bins") <= max_bins)
-             .select(*PART, "start", "bin_minutes", "n_bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin")))
+    fits = F.col("n_bins") <= max_bins
+    bins = F.when(fits, F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).otherwise(F.array(F.lit(None).cast("bigint")))
+    spine = starts.select(*PART, "start", "bin_minutes", "n_bins", F.when(fits, "ok").otherwise("point_limit").alias("status"), F.explode(bins).alias("bin"))
     return (spine.join(cells, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
             .withColumn("centre", F.col("start") + (F.col("bin") + 0.5) * F.col("bin_minutes") / 1440))
 
 
 def grid_summary(grid: DataFrame) -> DataFrame:
-    """Per part: bins, filled bins, kept points and the scatter of the filled bins."""
-    head = grid.groupBy(*PART).agg(F.count(F.lit(1)).alias("n_bins"), F.count("flux").alias("n_filled"), F.sum("n").alias("n_kept"))
+    """Per part: its status, bins, filled bins, kept points and the scatter of the filled bins."""
+    head = grid.groupBy(*PART, "status").agg(F.count("bin").alias("n_bins"), F.count("flux").alias("n_filled"), F.sum("n").alias("n_kept"))
     return head.join(grouped_mad(grid.filter(F.col("flux").isNotNull()), PART, F.col("flux"), bounded=True), PART, "left")
 
 
 def runs(grid: DataFrame, *, empty: bool) -> DataFrame:
-    """[first, last] bin of each run of empty (or filled) bins of a grid."""
-    rows = grid.filter(F.col("flux").isNull() if empty else F.col("flux").isNotNull())
+    """[first, last] bin of each run of empty (or filled) bins of a grid; a part over the limit has no bins, so no runs."""
+    rows = grid.filter(F.col("bin").isNotNull() & (F.col("flux").isNull() if empty else F.col("flux").isNotNull()))
     x = segmented(rows, PART, ["bin"], "bin", 1, F.floor(F.col("bin") / 4096), "run")
     return x.groupBy(*PART, "run").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"),
                                        F.min("centre").alias("t_first"), F.max("centre").alias("t_last"))

@@ -3,17 +3,43 @@
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from phasemill.functions.phase import in_window, phase_distance
 from phasemill.operators.cleaning import interior
 from phasemill.operators.medians import grouped_mad
 from phasemill.operators.peaks import local_maxima
 
-# Student-t quantile at 1 - 0.001/n with n - 1 degrees of freedom, by number of blocks n.
-CRITICAL = {4: 16.3263, 5: 10.9155, 6: 8.6925, 7: 7.5230, 8: 6.8140, 9: 6.3432, 10: 6.0101, 11: 5.7634, 12: 5.5740, 13: 5.4246, 14: 5.3041}
+
+def critical(n: int, level: float = 0.001) -> float:
+    """Student-t quantile at 1 - level/n with n - 1 degrees of freedom; NaN below two blocks.
+
+    For a whole number of degrees f, P(|T| <= sqrt(f) tan a) is a finite sum in sin a and cos a; bisection finds a.
+    """
+    f = int(n) - 1
+    if f < 1:
+        return math.nan
+    j = np.arange(1, (f - 1) // 2 if f % 2 else f // 2)
+    terms = np.cumprod(np.concatenate([[1.0], 2 * j / (2 * j + 1) if f % 2 else (2 * j - 1) / (2 * j)]))
+    power = 2 * np.arange(len(terms)) + f % 2
+    lo, hi = 0.0, math.pi / 2
+    for _ in range(100):
+        a = (lo + hi) / 2
+        tail = math.sin(a) * float(terms @ math.cos(a) ** power) if f > 1 else 0.0
+        inside = 2 / math.pi * (a + tail) if f % 2 else tail
+        lo, hi = (a, hi) if inside < 1 - 2 * level / n else (lo, a)
+    return math.sqrt(f) * math.tan(lo)
+
+
+@F.pandas_udf(DoubleType())
+def critical_of(n: pd.Series) -> pd.Series:
+    return n.map({k: critical(k) for k in n.unique()})
 
 
 def discoverable(points: DataFrame, pg: DataFrame, models: DataFrame, *, value: str, grid: tuple[float, float, int], snr_min: float = 7.0,
@@ -43,22 +69,30 @@ def discoverable(points: DataFrame, pg: DataFrame, models: DataFrame, *, value:
 
 def paired_blocks(points: DataFrame, *, short: tuple[float, float, float], long: tuple[float, float, float], value: str, min_points: int = 5,
                   min_blocks: int = 4, margin: float) -> DataFrame:
-    """Do the odd and even events of a double period differ? One mean difference per block of the long period."""
+    """Do the odd and even events of a double period differ? One mean difference per block of the long period.
+
+    Every block whose two events lie within the series' span must have ``min_points`` in each class;
+    one that has not, be it wholly missing, holds the series (``missing_distinguishing_windows``).
+    """
     ms, ml = in_window("t", *short), in_window("t", *long)
-    p, e, _ = long
+    p, e, d = long
     cls = F.when(ml, "y").when(ms, "x").otherwise("o")
     x = points.withColumn("_blk", F.floor((F.col("t") - e) / p + 0.25)).withColumn("_cls", cls)
     v = lambda c: F.when(F.col("_cls") == c, F.col(value))
     b = x.groupBy("series_id", "_blk").agg(*[f(v(c)).alias(f"{name}{c}") for c in "xyo" for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     b = b.filter((F.col("nx") >= min_points) & (F.col("ny") >= min_points) & (F.col("no") >= min_points))
     b = b.withColumns({"diff": F.col("mx") - F.col("my"), "err": F.sqrt(F.col("vx") / F.col("nx") + F.col("vy") / F.col("ny")), "depth": F.col("mo") - (F.col("mx") + F.col("my")) / 2})
-    s = b.groupBy("series_id").agg(F.count(F.lit(1)).alias("paired_blocks"), F.avg("diff").alias("mean_diff"), F.max(F.abs("diff")).alias("max_diff"), F.min("depth").alias("min_depth"),
-                                   F.greatest(F.max("err"), F.stddev_samp("diff") / F.sqrt(F.count(F.lit(1)))).alias("error")).filter(F.col("paired_blocks") >= min_blocks)
-    table = F.create_map(*[F.lit(x) for kv in CRITICAL.items() for x in kv])
-    crit = F.try_element_at(table, F.greatest(F.least(F.col("paired_blocks"), F.lit(max(CRITICAL))), F.lit(min(CRITICAL))).cast("int"))
-    s = s.withColumn("critical", crit)
+    span = points.groupBy("series_id").agg(F.ceil((F.min("t") + d / 2 - e) / p).alias("_first"), F.floor((F.max("t") - d / 2 - p / 2 - e) / p).alias("_last"))
+    b = span.join(b, "series_id", "left").withColumn("_in", F.coalesce(F.col("_blk").between(F.col("_first"), F.col("_last")), F.lit(False)))
+    own = lambda c: F.when(F.col("_in"), F.col(c))
+    s = b.groupBy("series_id").agg(F.greatest(F.first("_last") - F.first("_first") + 1, F.lit(0)).alias("expected_blocks"), F.count_if("_in").alias("paired_blocks"), F.avg(own("diff")).alias("mean_diff"),
+                                   F.max(F.abs(own("diff"))).alias("max_diff"), F.min(own("depth")).alias("min_depth"),
+                                   F.greatest(F.max(own("err")), F.try_divide(F.stddev_samp(own("diff")), F.sqrt(F.count_if("_in")))).alias("error"))
+    s = s.withColumn("critical", critical_of("expected_blocks"))
     upper, lower = F.col("max_diff") + F.col("critical") * F.col("error"), F.abs(F.col("mean_diff")) - F.col("critical") * F.col("error")
-    verdict = (F.when(F.col("min_depth") <= F.col("critical") * F.col("error"), "primary_depth_not_supported").when(upper < margin, "equivalent_within_margin")
+    verdict = (F.when(F.col("paired_blocks") < F.col("expected_blocks"), "missing_distinguishing_windows").when(F.col("expected_blocks") < min_blocks, "insufficient_paired_blocks")
+               .when(F.col("error") <= sys.float_info.epsilon, "noise_not_measurable")
+               .when(F.col("min_depth") <= F.col("critical") * F.col("error"), "primary_depth_not_supported").when(upper < margin, "equivalent_within_margin")
                .when(lower > margin, "distinct_depth_pattern").otherwise("uncertainty_exceeds_margin"))
     return s.withColumn("verdict", verdict)
 

@@ -98,13 +98,22 @@ def current_state(stages: DataFrame, key: str, order: dict[str, int]) -> DataFra
     return x.select(key, state.alias("state"), F.col("f.stage").alias("failed_stage"))
 
 
-def violations(rules: list[tuple[str, DataFrame, Column]], limit: int | None = None) -> DataFrame:
-    """(rule, key) rows of several checks; ``limit`` bounds a report, not the checking."""
+def violations(rules: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """(rule, key) rows of several checks."""
     out = None
     for name, df, key in rules:
         row = df.select(F.lit(name).alias("rule"), key.cast("string").alias("key"))
         out = row if out is None else out.unionByName(row)
-    return out.orderBy("rule", "key").limit(limit) if limit else out
+    return out
+
+
+def gate(rules: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """Per rule all its violations counted, the least key and the verdict; the row ``all`` judges the publication."""
+    found = violations(rules).groupBy("rule").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_key"))
+    names = rules[0][1].sparkSession.createDataFrame([(name,) for name, _, _ in rules], "rule string")
+    total = F.coalesce(F.sum("_n"), F.lit(0))
+    x = names.join(found, "rule", "left").rollup("rule").agg(total.alias("n_violations"), F.min("_key").alias("first_key"), F.when(total > 0, "hold").otherwise("publish").alias("verdict"))
+    return x.select(F.coalesce("rule", F.lit("all")).alias("rule"), "n_violations", "first_key", "verdict")
 
 
 def anonymise(rows: DataFrame, withdrawn: DataFrame, owner: str, *, remove: Column) -> DataFrame:

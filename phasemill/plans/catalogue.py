@@ -7,7 +7,7 @@ from phasemill.functions.phase import in_window
 from phasemill.functions.scalars import to_btjd
 from phasemill.operators import boxsearch as bs, cleaning, identity as idt, matching as mt, models as mo
 from phasemill.operators.contracts import first_reason
-from phasemill.operators.discover import discoverable, noise_series, paired_blocks
+from phasemill.operators.discover import critical, discoverable, noise_series, paired_blocks
 from phasemill.operators.medians import grouped_mad, grouped_median
 from phasemill.operators.ordered import latest
 from phasemill.plans import search as se
@@ -303,12 +303,15 @@ def _(t):
     return injection_matches(t)[1].select("series_id", "match", "matched_rank", F.round("window_overlap", 8).alias("window_overlap"), F.round("period_rel_err", 8).alias("period_rel_err"))
 
 
-@query("ag27_recovery_summary", MI + """ SELECT CASE WHEN period<3.4 THEN 'short' ELSE 'long' END AS band, count(*) AS n_signals, round(count(*) FILTER (kind='direct')*1.0/count(*),8) AS direct_recovery, round(count(*) FILTER (kind IS NOT NULL)*1.0/count(*),8) AS alias_inclusive, median(abs(pp/period-1)) FILTER (kind IS NOT NULL) IS NOT NULL AS has_error FROM mi GROUP BY GROUPING SETS ((CASE WHEN period<3.4 THEN 'short' ELSE 'long' END), ())""", "obs", INJ_PG)
+@query("ag27_recovery_summary", MI + """ SELECT coalesce(band,'all') AS band, count(*) AS n_signals, round(count(*) FILTER (kind='direct')*1.0/count(*),8) AS direct_recovery, round(count(*) FILTER (kind IS NOT NULL)*1.0/count(*),8) AS alias_inclusive, round(count(*) FILTER (kind IS NULL)*1.0/count(*),8) AS wrong_rate, round(median(abs(pp/period-1)) FILTER (kind IS NOT NULL),8) AS median_period_error FROM (SELECT *, CASE WHEN period<3.4 THEN 'short' ELSE 'long' END AS band FROM mi) GROUP BY GROUPING SETS ((band), ())""", "obs", INJ_PG)
 def _(t):
-    m = injection_matches(t)[1].withColumn("band", F.when(F.col("period") < 3.4, "short").otherwise("long"))
-    hit = F.col("match").isin("direct", "alias_half", "alias_double")
-    return m.rollup("band").agg(F.count(F.lit(1)).alias("n_signals"), F.round(F.count_if(F.col("match") == "direct") / F.count(F.lit(1)), 8).alias("direct_recovery"),
-                                F.round(F.count_if(hit) / F.count(F.lit(1)), 8).alias("alias_inclusive"), (F.count_if(hit) > 0).alias("has_error"))
+    band = F.when(F.col("period") < 3.4, "short").otherwise("long")
+    m = injection_matches(t)[1].withColumn("band", F.explode(F.array(band, F.lit("all"))))
+    m = cut_lineage(m.select("band", "match", F.abs("period_rel_err").alias("error"), F.col("match").isin("direct", "alias_half", "alias_double").alias("hit")))
+    share = lambda cond: F.round(F.count_if(cond) / F.count(F.lit(1)), 8)
+    rates = m.groupBy("band").agg(F.count(F.lit(1)).alias("n_signals"), share(F.col("match") == "direct").alias("direct_recovery"), share(F.col("hit")).alias("alias_inclusive"), share(~F.col("hit")).alias("wrong_rate"))
+    errors = grouped_median(m.filter("hit"), ["band"], F.col("error"), "e").select("band", F.round("e", 8).alias("median_period_error"))
+    return rates.join(errors, "band", "left")
 
 
 @query("ag29_gate_grid", MI + f""", tn AS (SELECT a.series_id, a.rank, count(DISTINCT floor((t-epoch)/period+0.5)) AS ntr FROM a5 a JOIN pts ON pts.series_id=a.series_id AND abs({se.dist('pts.t', 'a.period', 'a.epoch')})<a.duration/2 GROUP BY ALL), z AS (SELECT a.series_id, a.rank, snr, sde, coalesce(tn.ntr,0) AS ntr, mi.series_id IS NOT NULL AS rec FROM a5 a LEFT JOIN tn USING (series_id, rank) LEFT JOIN mi ON mi.series_id=a.series_id AND mi.rank=a.rank AND mi.kind IS NOT NULL)
@@ -338,13 +341,15 @@ def _(t):
  SELECT name, count(*) AS pairs, count(*) FILTER (blocked) AS blocked_pairs, count(*) FILTER (blocked AND dist<=0.5) AS blocked_direct FROM d GROUP BY 1""", ctes=PAIRS)
 def _(t):
     from phasemill.operators.iterate import harmonic_duplicate
-    p = idt.pairs(*both(t), 0.0, 30.0, 0.5)
-    out = None
-    for name, ms in (("unity", (1.0,)), ("octave", (0.5, 1.0, 2.0)), ("wide", (0.25, 0.5, 1.0, 2.0, 4.0))):
+    sets = {"unity": (1.0,), "octave": (0.5, 1.0, 2.0), "wide": (0.25, 0.5, 1.0, 2.0, 4.0)}
+    # One pass over the pairs counts for all rule sets.
+    counts = [F.count(F.lit(1)).alias("pairs")]
+    for name, ms in sets.items():
         hit = harmonic_duplicate("b_period", "b_duration", F.lit(3), "a_period", "a_duration", ms)
-        row = p.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("pairs"), F.count_if(hit).alias("blocked_pairs"), F.count_if(hit & F.col("direct")).alias("blocked_direct"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        counts += [F.count_if(hit).alias(f"{name}_pairs"), F.count_if(hit & F.col("direct")).alias(f"{name}_direct")]
+    row = idt.pairs(*both(t), 0.0, 30.0, 0.5).agg(*counts)
+    rows = [F.struct(F.lit(name).alias("name"), "pairs", F.col(f"{name}_pairs").alias("blocked_pairs"), F.col(f"{name}_direct").alias("blocked_direct")) for name in sets]
+    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 @query("id18_tolerance_sweep", "SELECT tol, count(*) FILTER (dist<=tol) AS edges, count(DISTINCT CASE WHEN dist<=tol THEN a_cid END) AS matched_old, count(DISTINCT CASE WHEN dist<=tol THEN b_cid END) AS matched_new FROM pp, (VALUES (0.1::DOUBLE),(0.25),(0.5),(1.0)) z(tol) GROUP BY tol", ctes=PAIRS)
@@ -395,17 +400,29 @@ def _(t):
     return x.select("id", "candidate_id", F.when(F.col("src") == F.col("id"), "inference").otherwise("reuse_score").alias("mode"), verdict.alias("verdict"), (F.col("id") == F.col("cur")).alias("current"))
 
 
-@query("ts31_paired_block_equivalence", f""", m AS (SELECT series_id, y, CAST(floor((t-0.5)/4.0::DOUBLE+0.25) AS BIGINT) AS blk, abs({se.dist('t', '2.0::DOUBLE', '0.5::DOUBLE')})<1.0::DOUBLE/2 AS ms, abs({se.dist('t', '4.0::DOUBLE', '0.5::DOUBLE')})<1.0::DOUBLE/2 AS ml FROM pts),
- b AS (SELECT series_id, blk, count(*) FILTER (ms AND NOT ml) AS nx, count(*) FILTER (ml) AS ny, count(*) FILTER (NOT ms AND NOT ml) AS no, avg(y) FILTER (ms AND NOT ml)-avg(y) FILTER (ml) AS diff, sqrt(var_samp(y) FILTER (ms AND NOT ml)/count(*) FILTER (ms AND NOT ml)+var_samp(y) FILTER (ml)/count(*) FILTER (ml)) AS err FROM m GROUP BY ALL)
- SELECT series_id, count(*) AS paired_blocks, round(avg(diff),6) AS mean_diff, round(greatest(max(err), stddev_samp(diff)/sqrt(count(*))),6) AS error FROM b WHERE nx>=2 AND ny>=2 AND no>=2 GROUP BY 1 HAVING count(*)>=3""", "obs", se.PTS)
+BLOCKS = f""", m AS (SELECT series_id, y, CAST(floor((t-0.5)/4.0::DOUBLE+0.25) AS BIGINT) AS blk, abs({se.dist('t', '2.0::DOUBLE', '0.5::DOUBLE')})<1.0::DOUBLE/2 AS ms, abs({se.dist('t', '4.0::DOUBLE', '0.5::DOUBLE')})<1.0::DOUBLE/2 AS ml FROM pts),
+ b AS (SELECT series_id, blk, count(*) FILTER (ms AND NOT ml) AS nx, count(*) FILTER (ml) AS ny, count(*) FILTER (NOT ms AND NOT ml) AS no, avg(y) FILTER (ms AND NOT ml)-avg(y) FILTER (ml) AS diff, sqrt(var_samp(y) FILTER (ms AND NOT ml)/count(*) FILTER (ms AND NOT ml)+var_samp(y) FILTER (ml)/count(*) FILTER (ml)) AS err,
+  avg(y) FILTER (NOT ms AND NOT ml)-(avg(y) FILTER (ms AND NOT ml)+avg(y) FILTER (ml))/2 AS depth FROM m GROUP BY ALL),
+ bd AS (SELECT series_id, CAST(ceil((min(t)+0.5-0.5)/4.0::DOUBLE) AS BIGINT) AS f0, CAST(floor((max(t)-0.5-2.0-0.5)/4.0::DOUBLE) AS BIGINT) AS l0 FROM pts GROUP BY 1),
+ pb AS (SELECT bd.series_id, greatest(any_value(l0)-any_value(f0)+1,0) AS expected_blocks, count(blk) AS paired_blocks, avg(diff) AS mean_diff, max(abs(diff)) AS max_diff, min(depth) AS min_depth, greatest(max(err), stddev_samp(diff)/sqrt(count(blk))) AS error
+  FROM bd LEFT JOIN b ON b.series_id=bd.series_id AND blk BETWEEN f0 AND l0 AND nx>=2 AND ny>=2 AND no>=2 GROUP BY 1)"""
+
+
+def blocks(t):
+    return paired_blocks(se.points(t), short=(2.0, 0.5, 1.0), long=(4.0, 0.5, 1.0), value="y", min_points=2, min_blocks=3, margin=5.0)
+
+
+@query("ts31_paired_block_equivalence", BLOCKS + " SELECT series_id, expected_blocks, paired_blocks, round(mean_diff,6) AS mean_diff, round(error,6) AS error FROM pb", "obs", se.PTS)
 def _(t):
-    x = paired_blocks(se.points(t), short=(2.0, 0.5, 1.0), long=(4.0, 0.5, 1.0), value="y", min_points=2, min_blocks=3, margin=5.0)
-    return x.select("series_id", "paired_blocks", F.round("mean_diff", 6).alias("mean_diff"), F.round("error", 6).alias("error"))
+    return blocks(t).select("series_id", "expected_blocks", "paired_blocks", F.round("mean_diff", 6).alias("mean_diff"), F.round("error", 6).alias("error"))
 
 
-@query("ts31_equivalence_verdict")
+# SQL has no t quantile: the table of its values covers any span of the inputs.
+@query("ts31_equivalence_verdict", BLOCKS + ", cr(n, c) AS (VALUES " + ",".join(f"({n}, {critical(n)!r}::DOUBLE)" for n in range(2, 40)) + """)
+ SELECT series_id, expected_blocks, paired_blocks, CASE WHEN paired_blocks<expected_blocks THEN 'missing_distinguishing_windows' WHEN expected_blocks<3 THEN 'insufficient_paired_blocks' WHEN error<=2.220446049250313e-16::DOUBLE THEN 'noise_not_measurable' WHEN min_depth<=c*error THEN 'primary_depth_not_supported'
+  WHEN max_diff+c*error<5 THEN 'equivalent_within_margin' WHEN abs(mean_diff)-c*error>5 THEN 'distinct_depth_pattern' ELSE 'uncertainty_exceeds_margin' END AS verdict FROM pb LEFT JOIN cr ON n=expected_blocks""", "obs", se.PTS)
 def _(t):
-    return paired_blocks(se.points(t), short=(2.0, 0.5, 1.0), long=(4.0, 0.5, 1.0), value="y", min_points=2, min_blocks=3, margin=5.0)
+    return blocks(t).select("series_id", "expected_blocks", "paired_blocks", "verdict")
 
 
 DISC = f""", sg0 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY series_id ORDER BY t, seq) >= 0.5 THEN 1 ELSE 0 END AS o FROM pts), sg1 AS (SELECT *, sum(o) OVER (PARTITION BY series_id ORDER BY t, seq) AS sg FROM sg0), sg2 AS (SELECT *, min(t) OVER (PARTITION BY series_id, sg) AS s0, max(t) OVER (PARTITION BY series_id, sg) AS s1 FROM sg1), ins AS (SELECT series_id, t FROM sg2 WHERE t-s0>=0.5 AND s1-t>=0.5),

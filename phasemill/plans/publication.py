@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from phasemill.functions.hashing import content_hash
 from phasemill.operators import publish as pb
-from phasemill.operators.ordered import latest
+from phasemill.operators.ordered import latest, numbered
 from phasemill.plans.registry import query
 
 D = "dummy AS (SELECT 1)"
@@ -85,21 +85,29 @@ def _(t):
                     pick(["", "external:source_held", "catalog:no_quality_peak", "discoverability:not_ready", "malformed_input", ""]).alias("reasons"))
 
 
-def bundles(t):
-    """One nested document per order: header, lines paged by number, and the checks that failed."""
-    page = F.floor((F.col("l_linenumber") - 1) / 1000)
-    rows = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("candidate_id"), F.col("l_quantity").alias("depth"))))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), page.alias("page")).agg(rows.alias("candidates"), F.count_distinct("l_linenumber").alias("steps"), n("n_rows"), F.max("l_linenumber").alias("top"))
+def bundle_heads(t):
+    """One header per order, with the checks over all its lines that failed."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_linenumber").alias("steps"), n("n_rows"), F.max("l_linenumber").alias("top"))
     x = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").join(lines, "o_orderkey", "left")
     bad = F.array_compact(F.array(F.when(F.col("n_rows").isNull(), "no_candidates"), F.when(F.col("steps") != F.col("n_rows"), "duplicate_step"), F.when(F.col("top") != F.col("steps"), "step_gap")))
-    return x.withColumns({"page": F.coalesce("page", F.lit(0).cast("bigint")), "violations": F.concat_ws(",", bad)})
+    return x.withColumn("violations", F.concat_ws(",", bad))
 
 
-@query("inc07_bundle_assembly", """SELECT o_orderkey, coalesce(page,0::BIGINT) AS page, '{"bundle":{"id":' || o_orderkey || ',"owner":' || o_custkey || ',"status":"' || o_orderstatus || '"}' || coalesce(',"candidates":[' || c || ']','') || '}' AS document, concat_ws(',', CASE WHEN c IS NULL THEN 'no_candidates' END, CASE WHEN s<>nr THEN 'duplicate_step' END, CASE WHEN top<>s THEN 'step_gap' END) AS violations
- FROM orders LEFT JOIN (SELECT l_orderkey, CAST((l_linenumber-1)//1000 AS BIGINT) AS page, string_agg('{"step":' || l_linenumber || ',"candidate_id":' || l_partkey || ',"depth":' || l_quantity || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS c, count(DISTINCT l_linenumber) AS s, count(*) AS nr, max(l_linenumber) AS top FROM lineitem GROUP BY ALL) ON l_orderkey=o_orderkey""")
+def bundle_lines(t):
+    """The lines of all orders."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("candidate_id"), F.col("l_quantity").alias("depth"))
+    return lines.join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi")
+
+
+@query("inc07_bundle_assembly", """SELECT o_orderkey, 0::BIGINT AS ordinal, '{"bundle":{"id":' || o_orderkey || ',"owner":' || o_custkey || ',"status":"' || o_orderstatus || '"}}' AS document, concat_ws(',', CASE WHEN nr IS NULL THEN 'no_candidates' END, CASE WHEN s<>nr THEN 'duplicate_step' END, CASE WHEN top<>s THEN 'step_gap' END) AS violations
+ FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS s, count(*) AS nr, max(l_linenumber) AS top FROM lineitem GROUP BY ALL) ON l_orderkey=o_orderkey
+ UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity), '{"step":' || l_linenumber || ',"candidate_id":' || l_partkey || ',"depth":' || l_quantity || '}', NULL FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def _(t):
+    # A bundle is its header, numbered 0, and its children, numbered on: no document grows with its lines.
     head = F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status"))
-    return bundles(t).select("o_orderkey", "page", F.to_json(F.struct(head.alias("bundle"), "candidates")).alias("document"), "violations")
+    heads = bundle_heads(t).select("o_orderkey", F.lit(0).cast("bigint").alias("ordinal"), F.to_json(F.struct(head.alias("bundle"))).alias("document"), "violations")
+    lines = numbered(bundle_lines(t), "o_orderkey", ["step", "candidate_id", "depth"], F.floor(F.col("step") / 1000), "ordinal")
+    return heads.unionByName(lines.select("o_orderkey", "ordinal", F.to_json(F.struct("step", "candidate_id", "depth")).alias("document"), F.lit(None).cast("string").alias("violations")))
 
 
 @query("inc08_child_rows_with_lineage", "SELECT l_orderkey, l_linenumber, l_partkey, p_type AS source, CASE WHEN p_size>25 THEN 'match' ELSE 'absence' END AS evidence, o_orderpriority AS lineage FROM lineitem JOIN orders ON o_orderkey=l_orderkey LEFT JOIN part ON p_partkey=l_partkey WHERE l_linestatus='O'")
@@ -116,13 +124,15 @@ def _(t):
     return v.groupBy("l_partkey").agg(n("n_versions"), (F.count(F.lit(1)) == 1).alias("agrees"), F.sum("c").alias("n"))
 
 
-@query("inc10_publish_gate", """SELECT rule, key FROM (SELECT 'duplicate_child' AS rule, l_orderkey || '/' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*)>3 UNION ALL SELECT 'missing_children', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
- UNION ALL SELECT 'orphan_child', CAST(l_orderkey AS VARCHAR) FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) ORDER BY rule, key LIMIT 20""")
+@query("inc10_publish_gate", """WITH v AS (SELECT 'duplicate_child' AS rule, l_orderkey || '/' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*)>3 UNION ALL SELECT 'missing_children', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+ UNION ALL SELECT 'orphan_child', CAST(l_orderkey AS VARCHAR) FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)),
+ r AS (SELECT z.rule, count(key) AS n, min(key) AS k FROM (VALUES ('duplicate_child'),('missing_children'),('orphan_child')) z(rule) LEFT JOIN v ON v.rule=z.rule GROUP BY 1)
+ SELECT coalesce(rule,'all') AS rule, CAST(sum(n) AS BIGINT) AS n_violations, min(k) AS first_key, CASE WHEN sum(n)>0 THEN 'hold' ELSE 'publish' END AS verdict FROM r GROUP BY ROLLUP (rule)""")
 def _(t):
     kids = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(n("c"))
     orders, owners = t.orders.select(F.col("o_orderkey").alias("l_orderkey")), kids.select("l_orderkey").distinct()
-    return pb.violations([("duplicate_child", kids.filter("c > 3"), F.concat_ws("/", "l_orderkey", "l_linenumber")),
-                          ("missing_children", orders.join(owners, "l_orderkey", "left_anti"), F.col("l_orderkey")), ("orphan_child", owners.join(orders, "l_orderkey", "left_anti"), F.col("l_orderkey"))], 20)
+    return pb.gate([("duplicate_child", kids.filter("c > 3"), F.concat_ws("/", "l_orderkey", "l_linenumber")),
+                    ("missing_children", orders.join(owners, "l_orderkey", "left_anti"), F.col("l_orderkey")), ("orphan_child", owners.join(orders, "l_orderkey", "left_anti"), F.col("l_orderkey"))])
 
 
 OLDNEW = "old AS (SELECT c_custkey AS k, c_mktsegment AS seg, CASE WHEN c_acctbal>0 THEN c_acctbal END AS bal, CASE WHEN c_acctbal<1000 THEN 'inactive' ELSE 'active' END AS status FROM customer WHERE c_nationkey<20), new AS (SELECT c_custkey AS k, CASE WHEN c_acctbal>8000 THEN 'MACHINERY' ELSE c_mktsegment END AS seg, CASE WHEN c_acctbal<500 THEN 1.5 END AS bal FROM customer WHERE c_nationkey>=3)"
@@ -200,7 +210,7 @@ def _(t):
 
 @query("inc21_document_to_load_body", "SELECT l_orderkey, count(*) AS dispositions, count(*) FILTER (p_partkey IS NOT NULL AND p_size>25) AS refs, count(*) FILTER (p_partkey IS NULL OR p_size<=25) AS external_only, bool_or(l_returnflag='A') AS any_active, CASE WHEN bool_or(l_returnflag='A') THEN 'open' ELSE 'complete' END AS initial_status FROM lineitem LEFT JOIN part ON p_partkey=l_partkey GROUP BY 1")
 def _(t):
-    docs = bundles(t).select("o_orderkey", F.explode("candidates").alias("c")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c.candidate_id").alias("p_partkey"))
+    docs = bundle_lines(t).select(F.col("o_orderkey").alias("l_orderkey"), F.col("candidate_id").alias("p_partkey"))
     active = t.lineitem.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("any_active"))
     x = docs.join(t.part.select("p_partkey", "p_size"), "p_partkey", "left").groupBy("l_orderkey").agg(n("dispositions"), F.count_if(F.col("p_size") > 25).alias("refs"), F.count_if(F.col("p_size").isNull() | (F.col("p_size") <= 25)).alias("external_only"))
     return x.join(active, "l_orderkey").withColumn("initial_status", F.when(F.col("any_active"), "open").otherwise("complete"))

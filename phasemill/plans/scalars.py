@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from phasemill.functions import hashing, scalars
+from phasemill.operators.ordered import numbered
 from phasemill.plans.registry import query, set_digest_sql
 
 
@@ -52,7 +53,7 @@ EVID = """ev AS (SELECT event_id, user_id, CASE event_id%4 WHEN 0 THEN '["oddeve
 
 def evidence(t):
     m = F.col("event_id") % 4
-    return t.events.select("event_id", "user_id", F.when(m == 0, '["oddeven","ushape"]').when(m == 1, '["secondary","oddeven","oddeven"]').when(m == 2, '{"x":1}').alias("checks"))
+    return t.events.select("event_id", "user_id", "value", F.when(m == 0, '["oddeven","ushape"]').when(m == 1, '["secondary","oddeven","oddeven"]').when(m == 2, '{"x":1}').alias("checks"))
 
 
 @query("hx08_json_array_explode", "SELECT event_id, unnest(CAST(checks AS VARCHAR[])) AS element FROM ev WHERE checks LIKE '[%'",
@@ -61,11 +62,12 @@ def _(t):
     return evidence(t).select("event_id", F.explode(scalars.json_strings(F.col("checks"))).alias("element"))
 
 
-@query("hx09_json_build", """SELECT l_orderkey, CAST((l_linenumber-1)//1000 AS BIGINT) AS page, '[' || string_agg('{"line":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS payload FROM lineitem GROUP BY l_orderkey, page""")
+@query("hx09_json_build", """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS ordinal, '{"line":' || l_linenumber || ',"part":' || l_partkey || '}' AS payload FROM lineitem""")
 def _(t):
-    # A document is paged by line number, so its list is bounded whatever the order holds.
-    rows = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))))
-    return t.lineitem.groupBy("l_orderkey", F.floor((F.col("l_linenumber") - 1) / 1000).alias("page")).agg(F.to_json(rows).alias("payload"))
+    # One object per line, numbered within its order: no list grows with an order.
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    x = numbered(rows, "l_orderkey", ["l_linenumber", "l_partkey"], F.floor(F.col("l_linenumber") / 1000), "ordinal")
+    return x.select("l_orderkey", "ordinal", F.to_json(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))).alias("payload"))
 
 
 @query("hx10_local_time_buckets", """SELECT CAST(d AS VARCHAR) AS local_date, CAST(CAST(date_trunc('week', d) AS DATE) AS VARCHAR) AS week_start, count(*) AS n FROM (SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS d FROM events) GROUP BY ALL""")

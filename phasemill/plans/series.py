@@ -60,8 +60,8 @@ sc AS (SELECT o.*, s, (t-s)*1440/720.0 AS x, (e-s)*1440/720.0 AS xe FROM obs o J
 bn AS (SELECT *, CAST(floor(CASE WHEN abs(x-round_even(x,0))<=1e-8 THEN round_even(x,0) ELSE x END) AS BIGINT) AS bin,
        CAST(floor(CASE WHEN abs(xe-round_even(xe,0))<=1e-8 THEN round_even(xe,0) ELSE xe END) AS BIGINT)+1 AS nb FROM sc),
 cells AS (SELECT series_id, part_id, bin, avg(v) AS flux, count(*) AS n FROM bn WHERE q=0 GROUP BY ALL),
-grid AS (SELECT sp.series_id, sp.part_id, sp.bin, sp.s, flux, coalesce(n,0) AS n, sp.s + (sp.bin+0.5)*720.0/1440 AS centre
-  FROM (SELECT series_id, part_id, s, unnest(range(nb)) AS bin FROM (SELECT DISTINCT series_id, part_id, s, nb FROM bn)) sp
+grid AS (SELECT sp.series_id, sp.part_id, sp.bin, sp.s, status, flux, coalesce(n,0) AS n, sp.s + (sp.bin+0.5)*720.0/1440 AS centre
+  FROM (SELECT series_id, part_id, s, CASE WHEN nb<=20000 THEN 'ok' ELSE 'point_limit' END AS status, unnest(CASE WHEN nb<=20000 THEN range(nb) ELSE [NULL::BIGINT] END) AS bin FROM (SELECT DISTINCT series_id, part_id, s, nb FROM bn)) sp
   LEFT JOIN cells USING (series_id, part_id, bin))"""
 
 
@@ -69,18 +69,18 @@ def half_day_grid(t):
     return binning.fixed_grid(t.obs(), minutes=720.0, valid=F.col("q") == 0)
 
 
-@query("ts04_fixed_grid_bins", "SELECT series_id, part_id, bin, round(flux,8) AS flux, n FROM grid", "obs", BINNED)
+@query("ts04_fixed_grid_bins", "SELECT series_id, part_id, status, bin, round(flux,8) AS flux, n FROM grid", "obs", BINNED)
 def _(t):
-    return half_day_grid(t).select("series_id", "part_id", "bin", r8("flux", "flux"), "n")
+    return half_day_grid(t).select("series_id", "part_id", "status", "bin", r8("flux", "flux"), "n")
 
 
 @query("ts04_grid_summary",
        """, m AS (SELECT series_id, part_id, median(flux) AS med FROM grid WHERE flux IS NOT NULL GROUP BY ALL),
        d AS (SELECT series_id, part_id, 1.4826*median(abs(flux-med)) AS scatter FROM grid JOIN m USING (series_id, part_id) WHERE flux IS NOT NULL GROUP BY ALL)
-       SELECT series_id, part_id, count(*) AS n_bins, count(flux) AS n_filled, CAST(sum(n) AS BIGINT) AS n_kept, round(any_value(scatter),8) AS scatter
+       SELECT series_id, part_id, status, count(bin) AS n_bins, count(flux) AS n_filled, CAST(sum(n) AS BIGINT) AS n_kept, round(any_value(scatter),8) AS scatter
        FROM grid LEFT JOIN d USING (series_id, part_id) GROUP BY ALL""", "obs", BINNED)
 def _(t):
-    return binning.grid_summary(half_day_grid(t)).select("series_id", "part_id", "n_bins", "n_filled", "n_kept", r8("scatter", "scatter"))
+    return binning.grid_summary(half_day_grid(t)).select("series_id", "part_id", "status", "n_bins", "n_filled", "n_kept", r8("scatter", "scatter"))
 
 
 @query("ts05_adaptive_grid_bins",
@@ -93,11 +93,11 @@ def _(t):
     return g.filter("n > 0").select("series_id", "part_id", "bin", r8("bin_minutes", "bin_minutes"), r8("flux", "flux"), "n")
 
 
-@query("ts06_grid_times", "SELECT series_id, part_id, count(*) AS n, round(min(s + bin*720.0/1440),8) AS first_start, round(max(centre),8) AS last_centre FROM grid GROUP BY ALL", "obs", BINNED)
+@query("ts06_grid_times", "SELECT series_id, part_id, status, count(bin) AS n, round(min(s + bin*720.0/1440),8) AS first_start, round(max(centre),8) AS last_centre FROM grid GROUP BY ALL", "obs", BINNED)
 def _(t):
     g = half_day_grid(t)
     start = F.col("start") + F.col("bin") * F.col("bin_minutes") / 1440
-    return g.groupBy("series_id", "part_id").agg(F.count(F.lit(1)).alias("n"), r8(F.min(start), "first_start"), r8(F.max("centre"), "last_centre"))
+    return g.groupBy("series_id", "part_id", "status").agg(F.count("bin").alias("n"), r8(F.min(start), "first_start"), r8(F.max("centre"), "last_centre"))
 
 
 RUNS = """, r AS (SELECT *, bin - row_number() OVER (PARTITION BY series_id, part_id ORDER BY bin) AS g FROM grid WHERE flux IS {0}NULL)

@@ -6,7 +6,7 @@ from phasemill.functions.hashing import record_set_digest
 from phasemill.functions.scalars import json_strings, local_date
 from phasemill.operators import statistics as st
 from phasemill.operators.medians import grouped_median
-from phasemill.operators.ordered import latest
+from phasemill.operators.ordered import latest, numbered
 from phasemill.operators.sizing import small
 from phasemill.plans.registry import query, set_digest_sql
 from phasemill.plans.relational import LATEST, latest_matches
@@ -23,12 +23,13 @@ def nif(cond, name):
     return F.count_if(F.expr(cond) if isinstance(cond, str) else cond).alias(name)
 
 
-@query("ag01_children_as_structs", """SELECT l_orderkey, CAST((l_linenumber-1)//1000 AS BIGINT) AS page, count(*) AS n_lines, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey, page""")
+@query("ag01_children_as_structs", """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS ordinal, count(*) OVER (PARTITION BY l_orderkey) AS n_lines, l_linenumber || ':' || l_partkey AS line FROM lineitem""")
 def _(t):
-    # Children are paged by their ordinal, so a list is bounded whatever the parent holds.
-    x = t.lineitem.groupBy("l_orderkey", F.floor((F.col("l_linenumber") - 1) / 1000).alias("page")).agg(
-        n("n_lines"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("rows"))
-    return x.select("l_orderkey", "page", "n_lines", F.concat_ws(";", F.transform("rows", lambda r: F.concat_ws(":", r.l_linenumber, r.l_partkey))).alias("lines"))
+    # A parent may hold any number of children: they stay rows with their place, not one list.
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    x = numbered(rows, "l_orderkey", ["l_linenumber", "l_partkey"], F.floor(F.col("l_linenumber") / 1000), "ordinal")
+    x = x.join(rows.groupBy("l_orderkey").agg(n("n_lines")), "l_orderkey")
+    return x.select("l_orderkey", "ordinal", "n_lines", F.concat_ws(":", "l_linenumber", "l_partkey").alias("line"))
 
 
 @query("ag02_status_tally", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -137,19 +138,19 @@ def _(t):
        """ev AS (SELECT event_id, value, CASE event_id%4 WHEN 0 THEN ['oddeven','ushape'] WHEN 1 THEN ['secondary','oddeven'] ELSE [] END AS checks FROM events), x AS (SELECT event_id, value, unnest(checks) AS k FROM ev)
        SELECT keys.k AS key, count(event_id) AS uses, count(event_id) FILTER (value>=20) AS graded, count(event_id) FILTER (value>=60) AS agreed FROM (VALUES ('oddeven'),('secondary'),('ushape')) keys(k) LEFT JOIN x ON x.k=keys.k GROUP BY keys.k""".replace("ev AS", "WITH ev AS", 1))
 def _(t):
-    e = evidence(t).join(t.events.select("event_id", "value"), "event_id")
-    x = e.select("event_id", "value", F.explode(F.array_distinct(json_strings(F.col("checks")))).alias("key"))
+    x = evidence(t).select("event_id", "value", F.explode(F.array_distinct(json_strings(F.col("checks")))).alias("key"))
     use = x.groupBy("key").agg(n("uses"), nif("value >= 20", "graded"), nif("value >= 60", "agreed"))
     keys = t.spark.createDataFrame([("oddeven",), ("secondary",), ("ushape",)], "key string")
     return keys.join(use, "key", "left").fillna(0)
 
 
-@query("ag14_ordered_ids_and_first", "SELECT user_id, star_id, id//1000 AS page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids, arg_min(match_result, created_at) AS first_result FROM sub GROUP BY user_id, star_id, page", "sub")
+@query("ag14_ordered_ids_and_first", "SELECT user_id, star_id, id, row_number() OVER w AS ordinal, first_value(match_result) OVER w AS first_result FROM sub WINDOW w AS (PARTITION BY user_id, star_id ORDER BY created_at, id)", "sub")
 def _(t):
-    # Ids are unique, so a page lists at most a thousand, however busy the pair.
-    x = t.submissions().groupBy("user_id", "star_id", F.floor(F.col("id") / 1000).alias("page")).agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("r"), F.min_by("match_result", F.struct("created_at", "id")).alias("first_result"))
-    return x.select("user_id", "star_id", "page", F.concat_ws(",", F.col("r.id").cast("array<string>")).alias("ids"), "first_result")
+    pair = ["user_id", "star_id"]
+    s = t.submissions().select(*pair, "created_at", "id", "match_result")
+    first = s.groupBy(*pair).agg(F.min_by("match_result", F.struct("created_at", "id")).alias("first_result"))
+    x = numbered(s, pair, ["created_at", "id"], F.to_date("created_at"), "ordinal").join(first, pair)
+    return x.select(*pair, "id", "ordinal", "first_result")
 
 
 @query("ag15_having_participants", "SELECT candidate_id, count(DISTINCT user_id) AS users FROM sub GROUP BY 1 HAVING count(DISTINCT user_id)>=75", "sub")

@@ -24,8 +24,8 @@ def week():
 
 @query("st01_outbox_deduplication", "SELECT DISTINCT user_id, event_type || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS event_key FROM events")
 def _(t):
-    x = events(t).select("user_id", "ts", F.concat_ws(":", "event_type", F.to_date("ts").cast("string")).alias("event_key"))
-    return s.append_table(s.deduplicated(x, ["user_id", "event_key"], time="ts", delay="2 days"), "outbox").select("user_id", "event_key")
+    x = events(t).select("user_id", F.concat_ws(":", "event_type", F.to_date("ts").cast("string")).alias("event_key"))
+    return s.append_table(s.deduplicated(x, ["user_id", "event_key"]), "outbox")
 
 
 @query("st02_preference_gate", """SELECT event_id, e.user_id, CASE WHEN status<>'active' THEN 'dropped_inactive' WHEN c_nationkey%3=0 THEN 'dropped_preference' WHEN f.user_id IS NULL THEN 'dropped_unfollowed' ELSE 'delivered' END AS outcome FROM events e JOIN mem m ON m.user_id=e.user_id
@@ -63,8 +63,8 @@ def _(t):
 def _(t):
     follow = t.submissions().filter("match_result = 'matched_harmonic'").select(F.col("user_id").alias("receiver"), F.col("candidate_id").alias("k")).distinct()
     # New versions are made unique before they meet the followers, so the dedupe state is per version.
-    new = events(t).filter("event_type = 'purchase' AND value > 100").select("ts", k().alias("k"), F.to_date("ts").cast("string").alias("day"))
-    new = s.deduplicated(new, ["k", "day"], time="ts", delay="2 days")
+    new = events(t).filter("event_type = 'purchase' AND value > 100").select(k().alias("k"), F.to_date("ts").cast("string").alias("day"))
+    new = s.deduplicated(new, ["k", "day"])
     return s.append_table(new.join(follow, "k").select(F.col("receiver").alias("user_id"), F.col("k").alias("candidate_id"), "day"), "versions")
 
 
@@ -79,25 +79,22 @@ def _(t):
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("event_type") != "view").alias("unread"))
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
-
 def windowed(t, w, *keys):
-    x = events(t).withWatermark("ts", "1 hour").groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    return s.append_table(x.select(text(F.col("w.start")).alias("start"), *keys, "n"), "windows")
+    x = events(t).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return x.select(text(F.col("w.start")).alias("start"), *keys, "n")
 
 
-@query("st09_tumbling_activity", f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS w FROM events) WHERE w + INTERVAL 6 HOUR <= {CLOSED} GROUP BY ALL")
+@query("st09_tumbling_activity", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS w FROM events) GROUP BY ALL")
 def _(t):
-    return windowed(t, F.window("ts", "6 hours"), "event_type")
+    return s.updated(windowed(t, F.window("ts", "6 hours"), "event_type"), "windows", ["start", "event_type"], ["n"])
 
 
-@query("st09_sliding_activity", f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - (j * INTERVAL 6 HOUR) AS w FROM events, (VALUES (0),(1)) z(j)) WHERE w + INTERVAL 12 HOUR <= {CLOSED} GROUP BY ALL")
+@query("st09_sliding_activity", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - (j * INTERVAL 6 HOUR) AS w FROM events, (VALUES (0),(1)) z(j)) GROUP BY ALL")
 def _(t):
-    return windowed(t, F.window("ts", "12 hours", "6 hours"), "event_type")
+    return s.updated(windowed(t, F.window("ts", "12 hours", "6 hours"), "event_type"), "windows", ["start", "event_type"], ["n"])
 
 
-@query("st09_session_activity", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS o FROM events), ss AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
- SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM ss GROUP BY user_id, sid HAVING max(ts) + INTERVAL 4 HOUR <= {CLOSED}""")
+@query("st09_session_activity", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS o FROM events), ss AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
+ SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM ss GROUP BY user_id, sid""")
 def _(t):
-    return windowed(t, F.session_window("ts", "4 hours"), "user_id")
+    return s.completed(windowed(t, F.session_window("ts", "4 hours"), "user_id"), "sessions")

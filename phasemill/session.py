@@ -47,6 +47,8 @@ TUNING = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A row of a search holds whole arrays; keep the Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # The state of a stream may outgrow an executor's heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

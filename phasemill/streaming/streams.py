@@ -53,9 +53,12 @@ def _state(batch: DataFrame, folder: str, i: int, columns: str) -> DataFrame:
     return spark.read.schema(columns).parquet(f"{folder}/state/batch={i - 1}") if i > 0 else spark.createDataFrame([], columns)
 
 
-def deduplicated(events: DataFrame, keys: list[str], *, time: str, delay: str) -> DataFrame:
-    """One event per key; copies arrive within ``delay`` of each other."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One event per key over the whole stream, however late a copy comes.
+
+    The keys seen are state partitioned by key, on the executors' disks (see ``session.TUNING``).
+    """
+    return events.dropDuplicates(keys)
 
 
 def sequenced(stream: DataFrame, label: str, key: str, order: list[str], chunk) -> DataFrame:
@@ -96,10 +99,22 @@ def changes(stream: DataFrame, label: str, key: str, value: str, order: list[str
 def compacted(stream: DataFrame, label: str, key: str, order: list[str], cols: list[str]) -> DataFrame:
     """Latest row per key: a streaming aggregate in update mode, the newest update of each key wins."""
     latest = stream.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_row"))
+    return updated(latest.select(key, "_row.*"), label, [key], cols)
+
+
+def _write(batch: DataFrame, i: int, folder: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{folder}/data/batch={i}")
+
+
+def updated(aggregate: DataFrame, label: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Every group of a streaming aggregate, those still open included: the newest update of each wins."""
+    path = per_batch(aggregate, label, _write, mode="update")
+    seen = aggregate.sparkSession.read.parquet(f"{path}/data")
+    return seen.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row")).select(*keys, "_row.*")
 
-    def step(batch: DataFrame, i: int, folder: str) -> None:
-        batch.select(key, "_row.*").write.mode("overwrite").parquet(f"{folder}/data/batch={i}")
 
-    path = per_batch(latest, label, step, mode="update")
-    seen = stream.sparkSession.read.parquet(f"{path}/data")
-    return seen.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("_row")).select(key, "_row.*")
+def completed(aggregate: DataFrame, label: str) -> DataFrame:
+    """As ``updated`` for session windows, which know no update mode: the last complete result."""
+    path = per_batch(aggregate, label, _write, mode="complete")
+    seen = aggregate.sparkSession.read.parquet(f"{path}/data")
+    return seen.filter(F.col("batch") == seen.agg(F.max("batch")).first()[0]).drop("batch")
