@@ -9,7 +9,7 @@ Suffixes are judged to that depth, so the corpus' suffix array is never built wh
   with their bytes, not one row per suffix. Buckets with a single run are dropped
   before any text moves; equal texts and equal runs are counted, not repeated.
 * Blockwise sorting. A task sorts a few buckets at a time, in bounded memory. Ranks
-  of 128 bytes come from doubling 8-byte words. Suffixes that tie on their first and
+  of 128 bytes come from doubling 4-byte words. Suffixes that tie on their first and
   last 128 bytes are resolved by the precomputed ranks of a difference-cover sample:
   only positions in the cover modulo ``PERIOD`` carry deep ranks, and any two
   suffixes reach sample positions after the same few bytes.
@@ -26,12 +26,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.llm.common import mix, range_hashes, slices, stored, text_bytes
 
-LENGTH, GRAM, DEPTH, BATCH, HOT, PIECE = 400, 64, 128, 1 << 21, 4096, 1 << 23
+LENGTH, GRAM, WORD, DEPTH, BATCH, HOT, PIECE = 400, 64, 4, 128, 1_800_000, 4096, 1 << 23
 ORDER = 1
 
 
@@ -88,12 +89,36 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     return doc[a], a, b, p, hashes[p]
 
 
+def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted keys and their places, ties by place; None where key and place don't fit one word.
+
+    Sorting the words themselves costs a fraction of sorting places by them.
+    """
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    if int(keys.max(initial=0)).bit_length() + int(bits) > 64:
+        return None
+    both = np.sort(keys.astype(np.uint64) << bits | np.arange(len(keys), dtype=np.uint64))
+    return both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of whole numbers that are not negative."""
+    found = _order(keys)
+    if found is None:
+        return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    value, place = found
+    rank = np.empty(len(keys), np.int64)
+    rank[place] = np.cumsum(np.concatenate([np.zeros(min(1, len(keys)), bool), value[1:] != value[:-1]]))
+    return rank
+
+
 def _ranked(*parts: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows of whole numbers, in lexicographic order."""
-    rank = np.unique(parts[0], return_inverse=True)[1].astype(np.int64)
+    """Dense ranks of rows of whole numbers that are not negative, in lexicographic order."""
+    rank = _dense(parts[0])
     for part in parts[1:]:
-        part = np.unique(part, return_inverse=True)[1].astype(np.int64)
-        rank = np.unique(rank * (int(part.max(initial=0)) + 1) + part, return_inverse=True)[1].astype(np.int64)
+        if int(part.max(initial=0)) > len(part):
+            part = _dense(part)
+        rank = _dense(rank * (int(part.max(initial=0)) + 1) + part)
     return rank
 
 
@@ -105,10 +130,10 @@ def repeated(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: i
     n = len(text)
     padded = np.concatenate([text, np.zeros(DEPTH, np.uint8)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(WORD):
         word = (word << np.uint64(8)) | padded[k: n + k]
     rank = _ranked(word)
-    width = 8
+    width = WORD
     while width < DEPTH:
         ahead = np.concatenate([rank[width:], np.zeros(min(width, n), np.int64)])[:n]
         rank = _ranked(rank, ahead)
@@ -122,7 +147,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: i
         cover[sample] = _ranked(*[rank[sample + k] for k in steps])
     # Sort by bucket, first bytes and last bytes; then each tie against its leader by the cover's ranks.
     tie = _ranked(bucket, rank[starts], rank[starts + length - DEPTH])
-    order = np.argsort(tie, kind="stable")
+    order = _order(tie)[1]
     out = np.zeros(len(starts), bool)
     while len(order):
         t = tie[order]
@@ -226,13 +251,16 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
         k, a, b = _stretches(repeated(data, starts, bucket, length), row)
         return pa.RecordBatch.from_arrays([table.column("run").combine_chunks().take(pa.array(k)), pa.array(a), pa.array(b)], ["run", "a", "b"])
 
+    def held_bytes(batch: pa.RecordBatch) -> int:
+        return pc.sum(pc.binary_length(batch.column("bytes"))).as_py() or 0
+
     def sorted_buckets(batches):
         waiting: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                waiting.append(batch.slice(lo, 1024))
-                size += sum(len(x) for x in waiting[-1].column("bytes").to_pylist())
+            for lo in range(0, batch.num_rows, 256):
+                waiting.append(batch.slice(lo, 256))
+                size += held_bytes(waiting[-1])
                 if size >= BATCH:
                     table = pa.Table.from_batches(waiting)
                     anchor = table.column("anchor").to_numpy()
@@ -240,7 +268,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
                     if whole:
                         yield judged(table.slice(0, whole))
                         waiting = table.slice(whole).combine_chunks().to_batches()
-                        size = sum(len(x) for w in waiting for x in w.column("bytes").to_pylist())
+                        size = sum(map(held_bytes, waiting))
         if waiting and sum(w.num_rows for w in waiting):
             yield judged(pa.Table.from_batches(waiting))
 
