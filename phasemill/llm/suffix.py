@@ -202,8 +202,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     copies = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
     # One text of each digest goes on; a repeated row may go on twice, which changes nothing for it or others.
     single = rows.join(copies, "digest").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("digest", "copies", F.explode("anchors").alias("anchor"))
-    repeats = single.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    shared = single.join(repeats, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("shared"))
+    # Written, so that the join stands alone in its stage and a hot anchor's rows can be split over tasks.
+    repeats = stored(single.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-repeats")
+    shared = single.join(repeats.hint("merge"), "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("shared"))
     shared = shared.join(copies, "digest").select(F.col("digest").alias("s_digest"), "one", "shared")
     held = base.join(shared, (F.col("digest") == F.col("s_digest")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("digest", "text", "shared")
     held = stored(held, "suffix-texts")
@@ -235,9 +236,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     cuts = stored(held.mapInArrow(cut, "anchor long, run binary, digest binary, start long, ahead long, bytes binary"), "suffix-runs")
     different = cuts.groupBy("run").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("ahead").alias("ahead"), F.first("bytes").alias("bytes"))
     different = stored(different, "suffix-different")
-    counts = different.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("all > 1")
+    counts = stored(different.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("all > 1"), "suffix-buckets")
     crowded = counts.filter(F.col("m") > hot).select("anchor")
-    normal = different.join(counts.filter((F.col("m") <= hot) & (F.col("m") > 1)).select("anchor"), "anchor").select("anchor", "run", "ahead", "bytes").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
+    normal = different.join(counts.filter((F.col("m") <= hot) & (F.col("m") > 1)).select("anchor").hint("merge"), "anchor").select("anchor", "run", "ahead", "bytes").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
 
     def judged(table: pa.Table):
         """Stretches of repeated starts of the runs of whole buckets."""
