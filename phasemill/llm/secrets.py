@@ -72,8 +72,12 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> set[int]:
     raw, folded = data.tobytes(), FOLD[data].tobytes()
     at = [p for w in (b"passw", b"secret", b"token", b"apikey", b"api_key") for p in _find(folded, w)] + _find(raw, b"AKIA")
     run = HEXDIGIT[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], run, [False]]).astype(np.int8)))
-    at += edges[::2][edges[1::2] - edges[::2] >= 24].tolist()
+    # The texts lie end to end: a run ends with its text.
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.concatenate([[False], run[:-1]]) & ~edge[:-1], np.concatenate([run[1:], [False]]) & ~edge[1:]
+    start, end = np.flatnonzero(run & ~before), np.flatnonzero(run & ~after) + 1
+    at += start[end - start >= 24].tolist()
     return set((np.searchsorted(offsets, at, "right") - 1).tolist()) if at else set()
 
 

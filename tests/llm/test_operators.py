@@ -145,6 +145,16 @@ def test_secret_patterns_and_redaction(docs, empty):
     assert secrets.query(empty).count() == 0
 
 
+def test_hex_runs_end_with_their_text():
+    # Texts of one slice lie end to end; none of these has another hint.
+    texts = ["the word before is done", "0123456789" * 4 + " is a hash", "abc", "def" * 7, "", "f" * 24, "ends in cafe", "", "9" * 23 + " x"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert secrets._suspects(data, offsets) == {1, 5}
+    spans = secrets.spans_of(data, offsets, secrets.Field())
+    assert [[s for s in x if s[0] == "hex"] for x in spans] == [[("hex", m.start(), m.end()) for m in secrets.HEX.finditer(t)] for t in texts]
+
+
 def test_viterbi_equals_full_recursion():
     rng = np.random.default_rng(0)
     field = secrets.Field()
