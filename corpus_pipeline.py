@@ -32,9 +32,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    groups = oddsketch.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One row of each group of near copies: that with the smallest id, a null id last; texts without words stay."""
+    # Decided by row, since ids repeat or are null; as a struct the key orders by id first.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-near-rows")
+    keyed = rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    bad = oddsketch.near_duplicates(keyed, doc_id="__key").filter("not kept").select(F.col("doc_id.__row").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
