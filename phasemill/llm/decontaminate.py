@@ -45,21 +45,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     """(doc_id, tag, starts, items) of documents with a hit; ``tag`` hashes the text; starts are (word position, length)."""
     win = windows(benchmark, window=window)
     shape = win.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("len")).alias("lens")).first()
-    win = F.broadcast(win) if shape.n <= BROADCAST_WINDOWS else win
+    small = shape.n <= BROADCAST_WINDOWS
     lens = shape.lens or [window]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tag"), words(F.col(text)).alias("w"))
     d = d.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     rolled = [F.when(F.size("wh") >= k, F.transform(F.sequence(F.lit(0), F.size("wh") - k), _window_hash("wh", k))).otherwise(F.array().cast("array<bigint>")) for k in lens]
+    # A text's words ride on its windows only where no window is shuffled.
+    text_words = ["w"] if small else []
     # The outer form: for the inner one Spark would infer a filter that splits the text anew for each window.
-    d = d.select("doc_id", "tag", "w", (F.concat(*rolled) if len(rolled) > 1 else rolled[0]).alias("hs"))
-    d = d.select("doc_id", "tag", "w", F.posexplode_outer("hs").alias("at", "h")).join(win, "h")
+    d = d.select("doc_id", "tag", *text_words, F.size("w").alias("n"), (F.concat(*rolled) if len(rolled) > 1 else rolled[0]).alias("hs"))
+    d = d.select("doc_id", "tag", *text_words, "n", F.posexplode_outer("hs").alias("at", "h")).join(F.broadcast(win) if small else win.select("h", "len").distinct(), "h")
     # The windows of each length lie one after another; give the position within its length.
     before, ends = F.lit(0), F.lit(None).cast("int")
     for k in lens:
-        here = F.greatest(F.lit(0), F.size("w") - (k - 1))
+        here = F.greatest(F.lit(0), F.col("n") - (k - 1))
         ends = F.coalesce(ends, F.when(F.col("at") < before + here, F.when(F.col("len") == k, F.col("at") - before)))
         before = before + here
-    d = d.withColumn("pos", ends).filter(F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("gram"))
+    d = d.withColumn("pos", ends)
+    if small:
+        d = d.filter(F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("gram"))
+    else:
+        # Each text with a hit is read once more and gives the words of those windows, to be compared as a whole.
+        at = d.filter(F.col("pos").isNotNull()).groupBy(F.col("doc_id").alias("h_id"), F.col("tag").alias("h_tag")).agg(F.collect_set(F.struct("pos", "len")).alias("at"))
+        again = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+        again = again.join(at, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tag") == F.col("h_tag"))).select("doc_id", "tag", "at", words(F.col("text")).alias("w"))
+        own = F.transform("at", lambda s: F.struct(s["pos"].alias("pos"), s["len"].alias("len"), F.slice("w", s["pos"] + 1, s["len"]).alias("gram")))
+        d = again.select("doc_id", "tag", own.alias("own")).select("doc_id", "tag", F.explode_outer("own").alias("o")).select("doc_id", "tag", "o.*").join(win.select("gram", "len", "items"), ["gram", "len"])
     return d.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "len")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 

@@ -225,6 +225,28 @@ def test_decontamination_of_short_items_and_spans(spark, docs, empty):
     assert decontaminate.query(empty, bench).count() == 0 and decontaminate.query(docs, bench.filter("false")).count() == len(TEXTS)
 
 
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+def test_decontamination_by_shuffle_equals_broadcast_without_shipping_words(spark, docs, empty, monkeypatch):
+    items = [("a", " ".join(BASE.split()[40:70])), ("b", "one two"), ("b", "one two"), ("c", None), ("d", "ÀB"), (None, " ".join(BASE.split()[50:64])), ("e", "a b c d e " * 4)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    line = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, sorted(map(tuple, r.starts or [])))
+    want = sorted(map(line, decontaminate.report(docs, benchmark).collect()))
+    assert sum(x[3] > 0 for x in want) >= 7
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(line, decontaminate.report(docs, benchmark).collect())) == want
+    assert decontaminate.query(empty, benchmark).count() == 0
+    # A text's word array on each of its windows would make the shuffled bytes grow with the square of its words.
+    spread = [n for n in _nodes(decontaminate.hits(docs, benchmark)._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate"]
+    names = [[n.output().apply(k).name() for k in range(n.output().size())] for n in spread]
+    names = [x for x in names if "tag" in x]
+    assert any("h" in x for x in names) and not any("w" in x for x in names)
+
+
 def test_language_and_quality_learn_and_take_hard_cases(spark, docs, empty):
     got = {r.doc_id: r for r in language.query(docs).collect()}
     assert got[3].lang_pred == got[10].lang_pred == "und" and got[0].lang_pred in ("en", "fr") and 0 <= got[0].score <= 1
