@@ -58,7 +58,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [("quality_classifier", quality_filter), ("minhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination),
           ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
 
-#: Neither the classifier nor the random field can be expressed in SQL; tests check the stages against plain versions.
+#: Neither the classifier nor the random field can be expressed in SQL; a test holds near_dedup against brute force,
+#: the other stages and run() have no test of their own.
 ORACLE_SQL = None
 
 
