@@ -31,5 +31,8 @@ for _entry in [
     ("op1_warc_round_trip", "warc", "pages"),
     ("op2_best_fit_packing", "packing", "documents"),
     ("op4_suffix_array_dedup", "suffix", "documents"),
+    ("op11_periodic_runs", "periodic", "documents"),
+    ("op12_document_fingerprints", "permutation", "documents"),
+    ("op13_phrase_collocations", "collocations", "documents"),
 ]:
     _register(*_entry)
