@@ -141,9 +141,9 @@ def spliced(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = pa.schema([("pid", pa.int32()), ("place", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.list_(pa.int64())),
+_RESULT = pa.schema([("pid", pa.int32()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.list_(pa.int64())),
                      ("edited_fingerprint", pa.list_(pa.int64())), ("next_fingerprint", pa.list_(pa.int64())), ("first_text", pa.string()), ("last_text", pa.string())])
-_KIND = ("pid int, place long, n_chars long, edited_sha256 string, fingerprint array<long>, edited_fingerprint array<long>, "
+_KIND = ("pid int, n_chars long, edited_sha256 binary, fingerprint array<long>, edited_fingerprint array<long>, "
          "next_fingerprint array<long>, first_text string, last_text string")
 
 
@@ -151,12 +151,12 @@ def _judged(texts: list[str]) -> list[pa.Array]:
     """n_chars, digest of the edited text and three fingerprints of all texts but the last, each beside the one after it."""
     edited = [spliced(a, b) for a, b in zip(texts, texts[1:])]
     own = _of(texts)
-    return [pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+    return [pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(e.encode()).digest() for e in edited], pa.binary()),
             own.slice(0, len(edited)), _of(edited), own.slice(1)]
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint) of every row beside the next one.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_next) of every row beside the next one.
 
     Rows follow by doc_id, nulls first, equal ids by a hash of the text; after the last
     comes the first. Rows are sorted in ranges, so no task holds them all, also where
@@ -169,26 +169,27 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     d = d.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def each(batches):
-        pid, place, held = TaskContext.get().partitionId(), 0, None
+        pid, alone, held = TaskContext.get().partitionId(), True, None
         for batch in batches:
             for i, j in slices(text_bytes(batch.column("text"))[1]):
                 ids, texts = batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i).to_pylist()
-                first = held is None
-                if not first:
+                if held is not None:
                     ids, texts = pa.concat_arrays([held[0], ids]), [held[1], *texts]
                 n = len(texts) - 1
                 if n:
-                    marks = [texts[0] if first and k == 0 else None for k in range(n)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(0, n), pa.array([pid] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), *_judged(texts),
+                    marks = [texts[0] if alone and k == 0 else None for k in range(n)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(0, n), pa.array([pid] * n, pa.int32()), *_judged(texts),
                                                       pa.array(marks, pa.string()), pa.nulls(n, pa.string())], ["doc_id", *_RESULT.names])
-                place += n
+                alone = alone and not n
                 held = ids.slice(n), texts[n]
         if held is not None:
-            none = [pa.nulls(1, t) for t in _RESULT.types[2:7]]
-            yield pa.RecordBatch.from_arrays([held[0], pa.array([pid], pa.int32()), pa.array([place], pa.int64()), *none,
-                                              pa.array([held[1] if place == 0 else None], pa.string()), pa.array([held[1]], pa.string())], ["doc_id", *_RESULT.names])
+            none = [pa.nulls(1, t) for t in _RESULT.types[1:6]]
+            yield pa.RecordBatch.from_arrays([held[0], pa.array([pid], pa.int32()), *none,
+                                              pa.array([held[1] if alone else None], pa.string()), pa.array([held[1]], pa.string())], ["doc_id", *_RESULT.names])
 
-    rows = stored(d.select("doc_id", "text").mapInArrow(each, f"doc_id {kind.simpleString()}, {_KIND}"), "print-rows")
+    # The next row's fingerprint is used up before the rows are written.
+    rows = d.select("doc_id", "text").mapInArrow(each, f"doc_id {kind.simpleString()}, {_KIND}")
+    rows = stored(rows.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint"))).drop("next_fingerprint"), "print-rows")
     firsts = rows.filter("first_text IS NOT NULL").select(F.col("pid").alias("f_pid"), "first_text")
     # One row a range: pairs of neighbouring ranges, the last one's neighbour being the first.
     pids = firsts.agg(F.array_sort(F.collect_list("f_pid")).alias("pids")).select(F.posexplode("pids").alias("k", "l_pid"), "pids")
@@ -199,13 +200,14 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             for k in range(batch.num_rows):
                 texts = [batch.column("last_text")[k].as_py(), batch.column("first_text")[k].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), *_judged(texts)], ["doc_id", *_RESULT.names[2:7]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), *_judged(texts)], ["doc_id", *_RESULT.names[1:6]])
 
-    closed = last.select("doc_id", "last_text", "first_text").mapInArrow(close, f"doc_id {kind.simpleString()}, " + ", ".join(_KIND.split(", ")[2:7]))
-    return rows.filter("last_text IS NULL").select("doc_id", *_RESULT.names[2:7]).union(closed)
+    closed = last.select("doc_id", "last_text", "first_text").mapInArrow(close, f"doc_id {kind.simpleString()}, " + ", ".join(_KIND.split(", ")[1:6]))
+    closed = closed.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint"))).drop("next_fingerprint")
+    return rows.filter("last_text IS NULL").select(*closed.columns).union(closed)
 
 
 def query(docs: DataFrame) -> DataFrame:
     own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
-    return with_next(docs).select("doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
-                                  likeness(own, edited).alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"))
+    return with_next(docs).select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
+                                  likeness(own, edited).alias("near_edited"), "near_next")

@@ -151,6 +151,10 @@ def test_fingerprints_of_hard_tables(spark, docs, empty):  # noqa: F811
     assert permutation.query(docs).count() == len(TEXTS)
     one = permutation.query(spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")).collect()[0]
     assert (one.edited_sha256, one.near_next) == (hashlib.sha256(b"a b a b").hexdigest(), 1.0)
+    # Texts longer than one step of the reader, at the start of a range.
+    long = [(k, _prose(30 + k, 220_000)) for k in range(2)] + [(9, "x")]
+    got = {r.doc_id: r for r in permutation.query(spark.createDataFrame(long, "doc_id long, text string").coalesce(1)).collect()}
+    assert {i: got[i].edited_sha256 for i, _ in long} == {a[0]: hashlib.sha256(permutation.spliced(a[1], b[1]).encode()).hexdigest() for a, b in _next_rows(long)}
     same = spark.createDataFrame([(None, f"t{k % 2} " * 9) for k in range(30)], "doc_id long, text string")
     assert [r.n_chars for r in permutation.query(same).collect()] == [27] * 30
 
