@@ -8,8 +8,8 @@ counts are per language (null: 'und').
 
 Two passes over the stored texts:
 
-1. The fingerprints of words and word pairs are counted by bucket (32 bits). The
-   buckets that reach ``least`` go into a bitmap of 2^``MAP_BITS`` bits, a fixed size that
+1. The fingerprints of words and word pairs are counted by their first 40 bits. The
+   keys that reach ``least`` go into a bitmap of 2^``MAP_BITS`` bits, a fixed size that
    every task can hold. A phrase that reaches ``least`` has only parts that do, so
    what the bitmap lacks can be left out; what it holds by chance only costs work.
 2. n-grams that pass are counted by fingerprint (64 bits and 32 more), each with the
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from phasemill.llm.common import FOLD, STEP, mix, slices, stored, text_bytes, word_spans
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
-MAP_BITS = 27
-#: Distinct keys that a task holds before it passes their counts on.
-HELD = 1 << 21
+MAP_BITS, KEY_BITS = 27, 40
+#: Keys that a task holds before it passes their counts on.
+HELD = 1 << 19
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -136,50 +136,77 @@ def _summed(keys: list[np.ndarray], counts: np.ndarray, firsts: list[np.ndarray]
     return ([k[at] for k in keys], np.add.reduceat(counts[order], at), [np.minimum.reduceat(x[order], at) for x in firsts], [np.maximum.reduceat(x[order], at) for x in lasts])
 
 
-def _buckets(texts: DataFrame, poly: Polynomials, least: int) -> DataFrame:
-    """(bucket): the 32-bit buckets of words and word pairs that reach ``least`` together."""
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising keys and their counts, as compressed byte planes of the keys' steps and of the counts."""
+    planes = lambda x, n: x.view(np.uint8).reshape(len(x), -1)[:, :n].T.tobytes()
+    return pa.compress(planes(np.diff(keys, prepend=np.uint64(0)), KEY_BITS // 8) + planes(counts.astype(np.uint32), 4), codec="zstd", asbytes=True)
+
+
+def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = KEY_BITS // 8
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=n * (wide + 4), codec="zstd", asbytes=True), np.uint8).reshape(wide + 4, n)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :wide] = planes[:wide].T
+    return np.cumsum(steps.view(np.uint64).ravel()), np.ascontiguousarray(planes[wide:].T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _frequent_bits(texts: DataFrame, poly: Polynomials, least: int) -> DataFrame:
+    """(bit): the places in the bitmap of the keys of words and word pairs that reach ``least`` together.
+
+    The key space is cut into ranges by the bytes of all texts, so that a range holds
+    some million keys at any size of the input (keys are hashes, and a task adds up
+    its own first); tasks send a compressed piece of each range.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, min(size >> 23, 1 << 22))
 
     def each(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
+        def passed():
             (keys,), counts, _, _ = _summed([np.concatenate([h[0] for h in held])], np.concatenate([h[1] for h in held]), [], [])
-            return keys, counts
+            bounds = np.searchsorted((keys * np.uint64(ranges)) >> np.uint64(KEY_BITS), np.arange(ranges + 1, dtype=np.uint64))
+            own = np.flatnonzero(np.diff(bounds))
+            blobs = [_packed(keys[bounds[r]: bounds[r + 1]], counts[bounds[r]: bounds[r + 1]]) for r in own.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.diff(bounds)[own].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "n", "blob"])
 
-        size = 0
+        kept = 0
         for batch in batches:
             for _, _, grams in _grams(batch, poly):
                 for n in (1, 2):
-                    key = (grams.fingerprints(grams.first_words(n), n) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    keys, counts = np.unique(key, return_counts=True)
+                    keys, counts = np.unique(_key(grams.fingerprints(grams.first_words(n), n)), return_counts=True)
                     held.append((keys, counts))
-                    size += len(keys)
-                if size >= HELD:
-                    held[:] = [merged()]
-                    size = len(held[0][0])
-                    if size >= HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(np.int32))], ["bucket", "n"])
-                        held, size = [], 0
+                    kept += len(keys)
+                if kept >= HELD:
+                    yield passed()
+                    held, kept = [], 0
         if held:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int32))], ["bucket", "n"])
+            yield passed()
+
+    def merged(table: pa.Table) -> pa.Table:
+        pieces = [_unpacked(n, blob) for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
+        (keys,), counts, _, _ = _summed([np.concatenate([p[0] for p in pieces])], np.concatenate([p[1] for p in pieces]), [], [])
+        return pa.table({"bit": np.unique(keys[counts >= least] & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)})
+
+    return texts.select("lang", "text").mapInArrow(each, "part int, n int, blob binary").groupBy("part").applyInArrow(merged, "bit long")
+
 
-    # Counts stay below 2^31 within a task; the sum over tasks is a long.
-    return texts.select("lang", "text").mapInArrow(each, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("bucket")
+def _key(fingerprints: np.ndarray) -> np.ndarray:
+    return fingerprints >> np.uint64(64 - KEY_BITS)
 
 
 def _bit(fingerprints: np.ndarray) -> np.ndarray:
-    return (fingerprints >> np.uint64(32)) & np.uint64((1 << MAP_BITS) - 1)
+    return _key(fingerprints) & np.uint64((1 << MAP_BITS) - 1)
 
 
-def _bitmap(buckets: DataFrame) -> np.ndarray:
-    """The buckets as 2^MAP_BITS bits, at most 16 MB; built by Spark in blocks of 4 KB."""
+def _bitmap(bits: DataFrame) -> np.ndarray:
+    """The bits as a map of 2^MAP_BITS, at most 16 MB; built by Spark in blocks of 4 KB."""
     # Spark numbers the bits from 1 on and the blocks from 1 on.
-    bit = F.col("bucket").cast("long").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
-    blocks = buckets.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.col("bit") + 1
+    blocks = bits.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for block, bits in blocks.collect():
-        out[(block - 1) * 4096: block * 4096] = np.frombuffer(bits, np.uint8)
+    for block, part in blocks.collect():
+        out[(block - 1) * 4096: block * 4096] = np.frombuffer(part, np.uint8)
     return out
 
 
@@ -219,7 +246,7 @@ def _counted(texts: DataFrame, poly: Polynomials, bitmap, longest: int) -> DataF
                         at, h = at[through], h[through]
                     ok = np.zeros(len(one) + 1, bool)
                     ok[at] = True
-                    parts.append((np.full(len(at), n, np.int8), h, grams.checks(at, n), row[at]))
+                    parts.append((np.full(len(at), n, np.int8), h, grams.checks(at, n), row[at] if n > 1 else np.zeros(len(at), np.int64)))
                 cols = [np.concatenate([p[k] for p in parts]) for k in range(4)]
                 keys, counts, (first,), (last,) = _summed(cols[:3], np.ones(len(cols[0]), np.int64), [cols[3]], [cols[3]])
                 held.append((*keys, counts, first, last))
@@ -288,7 +315,7 @@ class Collision(RuntimeError):
 
 def _mined(texts: DataFrame, poly: Polynomials, least: int, longest: int, share: int) -> DataFrame:
     spark = texts.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(_buckets(texts, poly, least)))
+    bitmap = spark.sparkContext.broadcast(_bitmap(_frequent_bits(texts, poly, least)))
     counts = stored(_counted(texts, poly, bitmap, longest).filter((F.col("a") >= least) | (F.col("size") == 0)), "phrase-counts")
     spelt = _spelt(texts, counts.filter("size > 1"), poly)
     spelt = stored(spelt.groupBy("size", "h", "c").agg(F.min(F.struct("lang", "phrase")).alias("low"), F.max(F.struct("lang", "phrase")).alias("high"), F.first("parts").alias("parts")), "phrase-texts")
