@@ -8,10 +8,10 @@ counts are per language (null: 'und').
 
 Two passes over the stored texts:
 
-1. The fingerprints of words and word pairs are counted by their first 40 bits. The
-   keys that reach ``least`` go into a bitmap of 2^``MAP_BITS`` bits, a fixed size that
-   every task can hold. A phrase that reaches ``least`` has only parts that do, so
-   what the bitmap lacks can be left out; what it holds by chance only costs work.
+1. The fingerprints of all n-grams are counted by their first 40 bits. The keys that
+   reach ``least`` go into a bitmap of 2^``MAP_BITS`` bits, a fixed size that every task
+   can hold. What the bitmap lacks is no frequent phrase, nor a part of one, and can
+   be left out; what it holds by chance only costs work.
 2. n-grams that pass are counted by fingerprint (64 bits and 32 more), each with the
    first and last row in which it occurs. Phrases that reach ``least`` are read from
    both rows, where every occurrence of a wanted fingerprint in the row is spelt out
@@ -150,8 +150,8 @@ def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.view(np.uint64).ravel()), np.ascontiguousarray(planes[wide:].T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _frequent_bits(texts: DataFrame, poly: Polynomials, least: int) -> DataFrame:
-    """(bit): the places in the bitmap of the keys of words and word pairs that reach ``least`` together.
+def _frequent_bits(texts: DataFrame, poly: Polynomials, least: int, longest: int) -> DataFrame:
+    """(bit): the places in the bitmap of the keys of n-grams that reach ``least`` together.
 
     The key space is cut into ranges by the bytes of all texts, so that a range holds
     some million keys at any size of the input (keys are hashes, and a task adds up
@@ -173,7 +173,7 @@ def _frequent_bits(texts: DataFrame, poly: Polynomials, least: int) -> DataFrame
         kept = 0
         for batch in batches:
             for _, _, grams in _grams(batch, poly):
-                for n in (1, 2):
+                for n in range(1, longest + 1):
                     keys, counts = np.unique(_key(grams.fingerprints(grams.first_words(n), n)), return_counts=True)
                     held.append((keys, counts))
                     kept += len(keys)
@@ -231,21 +231,14 @@ def _counted(texts: DataFrame, poly: Polynomials, bitmap, longest: int) -> DataF
             numbers = batch.column("row").to_numpy()
             for i, _, grams in _grams(batch, poly):
                 row = numbers[i + grams.doc]
-                one = np.arange(len(grams.doc))
-                ok = None
-                parts = [(np.zeros(len(one), np.int8), grams.salt[0] & poly.mask, np.zeros(len(one), np.int32), row)]
+                words = len(grams.doc)
+                parts = [(np.zeros(words, np.int8), grams.salt[0] & poly.mask, np.zeros(words, np.int32), row)]
                 for n in range(1, longest + 1):
                     at = grams.first_words(n)
-                    if n > 2:
-                        # Both shorter phrases must have passed.
-                        at = at[ok[at] & ok[at + 1]]
                     h = grams.fingerprints(at, n)
-                    if n <= 2:
-                        b = _bit(h)
-                        through = (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        at, h = at[through], h[through]
-                    ok = np.zeros(len(one) + 1, bool)
-                    ok[at] = True
+                    b = _bit(h)
+                    through = (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    at, h = at[through], h[through]
                     parts.append((np.full(len(at), n, np.int8), h, grams.checks(at, n), row[at] if n > 1 else np.zeros(len(at), np.int64)))
                 cols = [np.concatenate([p[k] for p in parts]) for k in range(4)]
                 keys, counts, (first,), (last,) = _summed(cols[:3], np.ones(len(cols[0]), np.int64), [cols[3]], [cols[3]])
@@ -315,7 +308,7 @@ class Collision(RuntimeError):
 
 def _mined(texts: DataFrame, poly: Polynomials, least: int, longest: int, share: int) -> DataFrame:
     spark = texts.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(_frequent_bits(texts, poly, least)))
+    bitmap = spark.sparkContext.broadcast(_bitmap(_frequent_bits(texts, poly, least, longest)))
     counts = stored(_counted(texts, poly, bitmap, longest).filter((F.col("a") >= least) | (F.col("size") == 0)), "phrase-counts")
     spelt = _spelt(texts, counts.filter("size > 1"), poly)
     spelt = stored(spelt.groupBy("size", "h", "c").agg(F.min(F.struct("lang", "phrase")).alias("low"), F.max(F.struct("lang", "phrase")).alias("high"), F.first("parts").alias("parts")), "phrase-texts")
@@ -362,10 +355,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     raise ValueError("no attempt was asked for")
 
 
+def best_of(found: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` phrases of each language, ranked; first within 64 parts of a language, so no task ranks more than 64 limits."""
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    some = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= limit)
+    return some.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= limit)
+
+
 def query(docs: DataFrame) -> DataFrame:
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = collocations(docs).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP)
-    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return best_of(collocations(docs), TOP).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
