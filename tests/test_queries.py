@@ -43,3 +43,20 @@ def test_query_equals_sql(spark, con, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert got == rows(cols, cur.fetchall())
+
+
+def test_registry_without_the_training_data_part(tmp_path):
+    """A copy without the optional folders imports and lists the other queries, with or without the pipeline file."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "phasemill", tmp_path / "phasemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    n, m = map(int, out.stdout.split())
+    assert n >= 263 and m >= 255
