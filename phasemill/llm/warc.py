@@ -40,6 +40,12 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, a bare path being on the session's default one as Spark reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
@@ -116,6 +122,7 @@ def write(records: DataFrame, folder: str, record_id: str, uri: str, payload: st
     ``records`` is read twice and must come in the same order both times, as stored
     tables do; the writer digests what it writes again and fails otherwise.
     """
+    folder = qualified(records.sparkSession, folder)
     heads = stored(digests(chunked(records, record_id, uri, payload, chunk)), "warc-heads")
     role = roles(heads, revisit_from)
     chunks = chunked(records, record_id, uri, payload, chunk)
@@ -252,7 +259,8 @@ def read(spark: SparkSession, archives: DataFrame, payloads: bool = False) -> Da
                     yield _batch(rows, payloads)
 
     kind = "id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.select("path").repartition(F.col("path")).mapInArrow(each, kind + (", chunk_no int, chunk binary" if payloads else ""))
+    # As many tasks as archives: a number is kept, where a key's small rows would be merged into few tasks.
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(each, kind + (", chunk_no int, chunk binary" if payloads else ""))
 
 
 FIELDS = [("id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.binary())]
