@@ -1,7 +1,8 @@
 """Best-fit packing with several permitted sequence lengths.
 
 A document of ``length`` tokens is cut into pieces of the largest capacity and a
-rest. Pieces are dealt over shards of about ``SHARD`` pieces by a hash; each shard
+rest. Pieces are dealt over shards of about ``SHARD`` pieces by a hash of their row's
+number, so equal rows spread like all others; each shard
 is packed on its own, longest piece first: a piece goes to the open bin with the
 least room that still holds it. If none does, a bin of the capacity with the least
 cost per token is opened among those that hold the piece, where the cost of a
@@ -9,7 +10,7 @@ capacity is ``cost(c)`` and counts against the tokens still to be packed. At the
 end every bin is downsized to the smallest capacity that holds its contents.
 
 A null or negative length counts as 0 and gives no piece. Repeated rows are packed
-each. Only the id and the length are read. At most SHARD-sized shards are held by
+each; ties go by id and piece, and between equal rows in any order. Only the id and the length are read. At most SHARD-sized shards are held by
 a task, as two arrays; the number of shards follows from a count of the pieces.
 """
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phasemill.llm.common import stored
+
 CAPACITIES, SHARD = (512, 1024, 2048, 4096), 20_000
 
 
@@ -66,10 +69,12 @@ def pack(docs: DataFrame, length: str, doc_id: str = "doc_id", capacities: Seque
     most = max(capacities)
     n = F.col("n")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    # Ids and lengths are written once: lengths are counted once, and the rows keep their numbers.
+    d = stored(d, "packing-lengths").withColumn("row", F.monotonically_increasing_id())
     shards = max(1, -(-(d.agg(F.sum(F.ceil(n / most))).first()[0] or 0) // shard))
-    d = d.filter(n > 0).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / most) - 1)).alias("piece"))
+    d = d.filter(n > 0).select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / most) - 1)).alias("piece"))
     d = d.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), n - F.col("piece") * most).cast("long").alias("n_tokens"),
-                 F.pmod(F.xxhash64("doc_id", "piece", "n"), F.lit(shards)).alias("shard"))
+                 F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
