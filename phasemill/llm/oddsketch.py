@@ -6,7 +6,8 @@ equal sets are one class from the start, so copies cost no comparison.
 
 MinHash samples give ``BANDS`` keys of ``ROWS`` samples; two sets of Jaccard 0.85
 share no key with probability below 1e-7, of 0.80 below 2e-5. Classes that share keys, directly or
-through others, form a cluster, found by label propagation over one star per key;
+through others, form a cluster, found by label propagation over one star per key, each class
+being sent to the least of its stars' hubs and hubs to each other;
 no bucket is ever gathered or expanded into pairs. Within a cluster every pair is
 judged: each sample is folded into a parity bitmap of ``BITS`` bits, the XOR
 population count of two bitmaps bounds how many samples differ, pairs beyond
@@ -134,6 +135,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what ``edges`` connect: each b with its least a, and the distinct pairs of that one and b's other a.
+
+    Many b share few a here, so members times hubs become members plus pairs of hubs.
+    """
+    least = edges.groupBy("b").agg(F.min("a").alias("low"))
+    pairs = edges.join(least.withColumnRenamed("b", "l_b"), F.col("b") == F.col("l_b")).filter("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")).distinct()
+    return least.select(F.col("low").alias("a"), "b").union(pairs)
+
+
 def far_limit(percent: int) -> int:
     """The most bits two bitmaps differ in at this Jaccard: the mean of differing samples and six deviations, two bits each."""
     apart = 1 - percent / 100
@@ -190,8 +201,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     bands = sigs.filter("n > 0").select("c", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("key", "a")
     # Neither side has a size bound: merged at every size, so small and large inputs take the same plan.
-    stars = bands.join(shared.hint("merge"), "key").filter("c <> a").select("a", F.col("c").alias("b"))
-    clusters = components(stars).select(F.col("id").alias("c"), F.col("label").alias("cluster"))
+    stars = bands.join(shared.hint("merge"), "key").filter("c <> a").groupBy("c").agg(F.array_sort(F.collect_set("a")).alias("hubs"))
+    # A class has BANDS hubs at most: it goes to the least, and the hubs are linked among themselves once for all that share them.
+    hubs = stars.select(F.explode(F.slice("hubs", 2, BANDS)).alias("b"), F.get("hubs", F.lit(0)).alias("a")).distinct()
+    clusters = components(stars.select(F.get("hubs", F.lit(0)).alias("a"), F.col("c").alias("b")).union(hubs.select("a", "b"))).select(F.col("id").alias("c"), F.col("label").alias("cluster"))
     members = stored(clusters.join(classes, "c"), "near-members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # One text per class is read, with its place; its set is made after the join, so no set is shuffled twice.
@@ -227,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         return pa.table({"a": keys[label[out]], "b": keys[out]})
 
     links = stored(dealt.groupBy("cluster", "i", "j").applyInArrow(judged, "a long, b long"), "near-links")
-    linked = components(links)
+    linked = components(thinned(links))
     least = linked.join(members, F.col("id") == F.col("c")).groupBy("label").agg(F.min("m").alias("least"))
     least = linked.join(least, "label").select(F.col("id").alias("l_c"), "least")
     named = classes.join(least, F.col("c") == F.col("l_c"), "left").select(F.col("c").alias("n_c"), F.coalesce("least", "m").alias("component"))

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_operators import BASE, TEXTS, _prose, docs, empty  # noqa: F401
 
-from phasemill.llm import collocations, periodic, permutation
+from phasemill.llm import collocations, oddsketch, packing, periodic, permutation, warc
+from phasemill.session import scratch_path
 
 
 def _plain_runs(w, least=24, repeats=3):
@@ -236,3 +237,25 @@ def test_ranks_and_limit(spark, monkeypatch):
 def test_large_counts_do_not_overflow(spark):
     got = spark.sql("SELECT cast(cast(900000000000 as decimal(19,0)) * cast(900000000000 as decimal(19,0)) * 1000000 as decimal(38,0)) div (cast(900000000001 as decimal(19,0)) * cast(900000000000 as decimal(19,0))) AS s")
     assert got.collect()[0].s == 900000000000**2 * 1000000 // (900000000001 * 900000000000)
+
+
+def test_equal_rows_spread_over_shards(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(3).alias("n"))
+    shards = [r["count"] for r in packing.pack(same, "n", shard=500).groupBy(F.shiftright("bin_id", 32)).count().collect()]
+    assert len(shards) == 8 and max(shards) < 700
+
+
+def test_archives_are_read_in_as_many_tasks(spark):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("text "), F.col("id")).alias("html"))
+    archives = warc.write(pages, scratch_path(spark, "warc"), "page_id", "url", "html", archive=40)
+    assert archives.count() > 8 and "://" in archives.first().path.replace("file:/", "file://")
+    seen = warc.read(spark, archives).withColumn("task", F.spark_partition_id())
+    assert seen.count() == 60 and seen.select("task").distinct().count() > archives.count() // 3
+
+
+def test_hubs_and_links_are_thinned(spark):
+    star = [(h, m) for m in range(10, 400) for h in range(3)] + [(1000, 2000), (2000, 3000), (5, 9)]
+    edges = spark.createDataFrame(star, "a long, b long")
+    assert oddsketch.thinned(edges).count() <= 390 + 2 + 4
+    groups = lambda e: sorted(tuple(r) for r in oddsketch.components(e).collect())
+    assert groups(oddsketch.thinned(edges)) == groups(edges)
