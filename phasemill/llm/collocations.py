@@ -6,17 +6,15 @@ hashes then give the fingerprint of every n-gram in a text as one difference and
 product, n-grams across pieces left out. A fingerprint covers the language, so
 counts are per language (null: 'und').
 
-Two passes over the stored texts:
-
-1. The fingerprints of all n-grams are counted by their first 40 bits. The keys that
-   reach ``least`` go into a bitmap of 2^``MAP_BITS`` bits, a fixed size that every task
-   can hold. What the bitmap lacks is no frequent phrase, nor a part of one, and can
-   be left out; what it holds by chance only costs work.
-2. n-grams that pass are counted by fingerprint (64 bits and 32 more), each with the
-   first and last row in which it occurs. Phrases that reach ``least`` are read from
-   both rows, where every occurrence of a wanted fingerprint in the row is spelt out
-   and compared: one fingerprint with two spellings is a collision, and the work is
-   done again with other polynomials. So only frequent phrases are ever materialised.
+The shuffle aggregates fingerprints with pointers: a task adds up its own n-grams and
+sends, for each range of the fingerprints, the sorted fingerprints, their counts and
+one row in which each occurs, as compressed byte planes; a range is merged at once,
+and what reaches ``least`` stays, with the first and the last row named. Phrases are
+then read from both rows, where every occurrence of a wanted fingerprint is spelt out
+and compared: one fingerprint with two spellings is a collision, and the work is done
+again with other polynomials. So only frequent phrases are ever materialised. (62 bits
+tell n-grams apart: a count could be touched by an n-gram of equal fingerprint that
+occurs in neither row with a chance of distinct n-grams / 2^62.)
 
 Tasks add up counts before the shuffle, so a word that is everywhere is one row per
 task. Products of counts are decimals of 38 digits. Words without limit of length,
@@ -34,9 +32,8 @@ from pyspark.sql import functions as F
 from phasemill.llm.common import FOLD, STEP, mix, slices, stored, text_bytes, word_spans
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
-MAP_BITS, KEY_BITS = 27, 40
-#: Keys that a task holds before it passes their counts on.
-HELD = 1 << 19
+#: Keys that a task holds before it passes their counts on, and bytes of text for each range of the fingerprints.
+HELD, RANGE = 1 << 21, 1 << 22
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -44,37 +41,36 @@ _GAP[list(BREAKS + SPACES)] = True
 
 
 class Polynomials:
-    """Byte codes and odd bases of the two hashes of one attempt; ``bits`` of the result are used."""
+    """Byte codes and an odd base modulo 2^64 for one attempt; ``bits`` of a fingerprint are used."""
 
     def __init__(self, attempt: int = 0, bits: int = 64):
         rng = np.random.default_rng(1300 + attempt)
-        self.codes = rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-        self.bases = [int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
+        self.codes = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1
         self.mask = np.uint64((1 << bits) - 1)
-        self._tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._tables: list[np.ndarray] = []
 
-    def powers(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of a base and of its inverse modulo 2^64."""
-        if k not in self._tables or len(self._tables[k][0]) < n:
-            inverse = pow(self.bases[k], -1, 1 << 64)
+    def powers(self, n: int) -> list[np.ndarray]:
+        """Powers of the base and of its inverse."""
+        if not self._tables or len(self._tables[0]) < n:
             with np.errstate(over="ignore"):
-                self._tables[k] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, STEP + 4096), b, np.uint64)])) for b in (self.bases[k], inverse))
-        return self._tables[k]
+                self._tables = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, STEP + 4096), b, np.uint64)])) for b in (self.base, pow(self.base, -1, 1 << 64))]
+        return self._tables
 
-    def ranges(self, k: int, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of ranges of ``values``, from prefix polynomials."""
-        power, inverse = self.powers(k, len(values))
+        power, inverse = self.powers(len(values))
         with np.errstate(over="ignore"):
             run = np.concatenate([[np.uint64(0)], np.cumsum(values * power[: len(values)], dtype=np.uint64)])
             return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
-    def words(self, k: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.empty(len(starts), np.uint64)
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, "right")))
             at = starts[i]
-            out[i:j] = self.ranges(k, self.codes[k][data[at: ends[j - 1]]], starts[i:j] - at, ends[i:j] - at)
+            out[i:j] = self.ranges(self.codes[data[at: ends[j - 1]]], starts[i:j] - at, ends[i:j] - at)
             i = j
         return out
 
@@ -93,11 +89,9 @@ class Grams:
         tongues = sorted(set(langs))
         which = np.array([tongues.index(x) for x in langs], np.int64)
         raw = [np.array(list(x.encode()), np.uint8) for x in tongues]
-        self.salt, self.hashes = [], []
-        for k in range(2):
-            code = np.array([poly.ranges(k, poly.codes[k][b], np.array([0]), np.array([len(b)]))[0] for b in raw], np.uint64)
-            self.salt.append(code[which][self.doc] if len(self.doc) else np.zeros(0, np.uint64))
-            self.hashes.append(poly.words(k, self.data, self.starts, self.ends))
+        code = np.array([poly.ranges(poly.codes[b], np.array([0]), np.array([len(b)]))[0] for b in raw], np.uint64)
+        self.salt = code[which][self.doc] if len(self.doc) else np.zeros(0, np.uint64)
+        self.hashes = poly.words(self.data, self.starts, self.ends)
 
     def first_words(self, n: int) -> np.ndarray:
         """The first word of every n-gram that lies in one piece."""
@@ -106,12 +100,9 @@ class Grams:
         return np.flatnonzero(self.piece[: len(self.piece) - n + 1] == self.piece[n - 1:])
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
-        h = mix(self.poly.ranges(0, self.hashes[0], at, at + n) ^ self.salt[0][at])
-        return h & self.poly.mask
-
-    def checks(self, at: np.ndarray, n: int) -> np.ndarray:
-        h = mix(self.poly.ranges(1, self.hashes[1], at, at + n) ^ self.salt[1][at])
-        return (h & self.poly.mask & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        """Fingerprints of the n-grams that start there; the two low bits are n, with 0 for the language itself."""
+        h = self.poly.ranges(self.hashes, at, at + n) if n else np.zeros(len(at), np.uint64)
+        return (mix(h ^ self.salt[at]) & self.poly.mask & np.uint64(2**64 - 4)) | np.uint64(n)
 
     def spelt(self, at: int, n: int) -> str:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[at: at + n].tolist(), self.ends[at: at + n].tolist())).decode()
@@ -124,156 +115,97 @@ def _grams(batch: pa.RecordBatch, poly: Polynomials):
         yield i, j, Grams(poly, data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], batch.column("lang").slice(i, j - i).to_pylist())
 
 
-def _summed(keys: list[np.ndarray], counts: np.ndarray, firsts: list[np.ndarray], lasts: list[np.ndarray]):
-    """Rows of equal keys as one: counts added, least of ``firsts``, greatest of ``lasts``."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    head = np.ones(len(order), bool)
-    head[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(head)
+def _summed(keys: np.ndarray, counts: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Rows of equal keys as one, by rising key: counts added, least ``first``, greatest ``last``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
     if not len(at):
-        return keys, counts, firsts, lasts
-    return ([k[at] for k in keys], np.add.reduceat(counts[order], at), [np.minimum.reduceat(x[order], at) for x in firsts], [np.maximum.reduceat(x[order], at) for x in lasts])
+        return keys, counts, first, first
+    high = np.maximum.reduceat((first if last is None else last)[order], at)
+    return keys[at], np.add.reduceat(counts[order], at), np.minimum.reduceat(first[order], at), high
+
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rising keys and their counts, as compressed byte planes of the keys' steps and of the counts."""
-    planes = lambda x, n: x.view(np.uint8).reshape(len(x), -1)[:, :n].T.tobytes()
-    return pa.compress(planes(np.diff(keys, prepend=np.uint64(0)), KEY_BITS // 8) + planes(counts.astype(np.uint32), 4), codec="zstd", asbytes=True)
 
+def _packed(keys: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> bytes:
+    """Rising keys, their counts and rows, as compressed byte planes of the keys' steps and the others' values."""
+    return pa.compress(_planes(np.diff(keys, prepend=np.uint64(0))) + _planes(counts.astype(np.uint32)) + _planes(rows), codec="zstd", asbytes=True)
 
-def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide = KEY_BITS // 8
-    planes = np.frombuffer(pa.decompress(blob, decompressed_size=n * (wide + 4), codec="zstd", asbytes=True), np.uint8).reshape(wide + 4, n)
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :wide] = planes[:wide].T
-    return np.cumsum(steps.view(np.uint64).ravel()), np.ascontiguousarray(planes[wide:].T).view(np.uint32).ravel().astype(np.int64)
 
+def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=20 * n, codec="zstd", asbytes=True), np.uint8).reshape(20, n)
+    column = lambda a, b, kind: np.ascontiguousarray(planes[a:b].T).view(kind).ravel()
+    return np.cumsum(column(0, 8, np.uint64), dtype=np.uint64), column(8, 12, np.uint32).astype(np.int64), column(12, 20, np.int64)
 
-def _frequent_bits(texts: DataFrame, poly: Polynomials, least: int, longest: int) -> DataFrame:
-    """(bit): the places in the bitmap of the keys of n-grams that reach ``least`` together.
 
-    The key space is cut into ranges by the bytes of all texts, so that a range holds
-    some million keys at any size of the input (keys are hashes, and a task adds up
-    its own first); tasks send a compressed piece of each range.
+def _counted(texts: DataFrame, poly: Polynomials, least: int, longest: int) -> DataFrame:
+    """(size, h, a, first, last): n-grams that reach ``least``, with counts and rows; size 0 counts a language's words.
+
+    The fingerprints are cut into ranges by the bytes of all texts, so that a range
+    holds about a million at any size of the input: they are hashes, and a task adds
+    up its own before, so that a frequent n-gram is one entry of each task.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(size >> 23, 1 << 22))
+    ranges = max(1, min(size // RANGE, 1 << 30))
 
     def each(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged():
+            return _summed(*[np.concatenate([h[k] for h in held]) for k in range(3)])[:3]
 
-        def passed():
-            (keys,), counts, _, _ = _summed([np.concatenate([h[0] for h in held])], np.concatenate([h[1] for h in held]), [], [])
-            bounds = np.searchsorted((keys * np.uint64(ranges)) >> np.uint64(KEY_BITS), np.arange(ranges + 1, dtype=np.uint64))
+        def passed(keys, counts, rows):
+            bounds = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
             own = np.flatnonzero(np.diff(bounds))
-            blobs = [_packed(keys[bounds[r]: bounds[r + 1]], counts[bounds[r]: bounds[r + 1]]) for r in own.tolist()]
+            blobs = [_packed(*[x[bounds[r]: bounds[r + 1]] for x in (keys, counts, rows)]) for r in own.tolist()]
             return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.diff(bounds)[own].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "n", "blob"])
 
         kept = 0
-        for batch in batches:
-            for _, _, grams in _grams(batch, poly):
-                for n in range(1, longest + 1):
-                    keys, counts = np.unique(_key(grams.fingerprints(grams.first_words(n), n)), return_counts=True)
-                    held.append((keys, counts))
-                    kept += len(keys)
-                if kept >= HELD:
-                    yield passed()
-                    held, kept = [], 0
-        if held:
-            yield passed()
-
-    def merged(table: pa.Table) -> pa.Table:
-        pieces = [_unpacked(n, blob) for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
-        (keys,), counts, _, _ = _summed([np.concatenate([p[0] for p in pieces])], np.concatenate([p[1] for p in pieces]), [], [])
-        return pa.table({"bit": np.unique(keys[counts >= least] & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)})
-
-    return texts.select("lang", "text").mapInArrow(each, "part int, n int, blob binary").groupBy("part").applyInArrow(merged, "bit long")
-
-
-def _key(fingerprints: np.ndarray) -> np.ndarray:
-    return fingerprints >> np.uint64(64 - KEY_BITS)
-
-
-def _bit(fingerprints: np.ndarray) -> np.ndarray:
-    return _key(fingerprints) & np.uint64((1 << MAP_BITS) - 1)
-
-
-def _bitmap(bits: DataFrame) -> np.ndarray:
-    """The bits as a map of 2^MAP_BITS, at most 16 MB; built by Spark in blocks of 4 KB."""
-    # Spark numbers the bits from 1 on and the blocks from 1 on.
-    bit = F.col("bit") + 1
-    blocks = bits.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for block, part in blocks.collect():
-        out[(block - 1) * 4096: block * 4096] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def _counted(texts: DataFrame, poly: Polynomials, bitmap, longest: int) -> DataFrame:
-    """(size, h, c, a, first, last): n-grams that the bitmap lets through, with counts and rows; size 0 counts a language's words."""
-
-    def each(batches):
-        bits = bitmap.value
-        held: list[tuple] = []
-
-        def merged():
-            keys, counts, (first,), (last,) = _summed([np.concatenate([h[k] for h in held]) for k in range(3)], np.concatenate([h[3] for h in held]),
-                                                      [np.concatenate([h[4] for h in held])], [np.concatenate([h[5] for h in held])])
-            return (*keys, counts, first, last)
-
-        def passed(rows):
-            size, h, c, counts, first, last = rows
-            return pa.RecordBatch.from_arrays([pa.array(size), pa.array(h.view(np.int64)), pa.array(c), pa.array(counts), pa.array(first), pa.array(last)], ["size", "h", "c", "a", "first", "last"])
-
-        size = 0
         for batch in batches:
             numbers = batch.column("row").to_numpy()
             for i, _, grams in _grams(batch, poly):
                 row = numbers[i + grams.doc]
-                words = len(grams.doc)
-                parts = [(np.zeros(words, np.int8), grams.salt[0] & poly.mask, np.zeros(words, np.int32), row)]
-                for n in range(1, longest + 1):
-                    at = grams.first_words(n)
-                    h = grams.fingerprints(at, n)
-                    b = _bit(h)
-                    through = (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    at, h = at[through], h[through]
-                    parts.append((np.full(len(at), n, np.int8), h, grams.checks(at, n), row[at] if n > 1 else np.zeros(len(at), np.int64)))
-                cols = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-                keys, counts, (first,), (last,) = _summed(cols[:3], np.ones(len(cols[0]), np.int64), [cols[3]], [cols[3]])
-                held.append((*keys, counts, first, last))
-                size += len(counts)
-                if size >= HELD:
+                places = [np.arange(len(row)), *[grams.first_words(n) for n in range(1, longest + 1)]]
+                keys = np.concatenate([grams.fingerprints(at, n) for n, at in enumerate(places)])
+                held.append(_summed(keys, np.ones(len(keys), np.int64), np.concatenate([row[at] for at in places]))[:3])
+                kept += len(held[-1][0])
+                if kept >= HELD:
                     held[:] = [merged()]
-                    size = len(held[0][0])
-                    if size >= HELD // 2:
-                        yield passed(held[0])
-                        held, size = [], 0
+                    kept = len(held[0][0])
+                    if kept >= HELD // 2:
+                        yield passed(*held[0])
+                        held, kept = [], 0
         if held:
-            yield passed(merged())
-
-    found = texts.mapInArrow(each, "size tinyint, h long, c int, a long, first long, last long")
-    return found.groupBy("size", "h", "c").agg(F.sum("a").alias("a"), F.min("first").alias("first"), F.max("last").alias("last"))
+            yield passed(*merged())
 
+    def joined(table: pa.Table) -> pa.Table:
+        pieces = [_unpacked(n, blob.as_py()) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+        keys, counts, first, last = _summed(*[np.concatenate([p[k] for p in pieces]) for k in range(3)])
+        sizes = (keys & np.uint64(3)).astype(np.int8)
+        good = (counts >= least) | (sizes == 0)
+        return pa.table({"size": sizes[good], "h": keys[good].view(np.int64), "a": counts[good], "first": first[good], "last": last[good]})
 
-_PART = "struct<h:bigint,c:int>"
+    found = texts.mapInArrow(each, "part int, n int, blob binary")
+    return found.groupBy("part").applyInArrow(joined, "size tinyint, h long, a long, first long, last long")
 
 
 def _spelt(texts: DataFrame, wanted: DataFrame, poly: Polynomials) -> DataFrame:
-    """(size, h, c, lang, phrase, parts): each distinct spelling of the wanted fingerprints in the rows that they name.
+    """(size, h, lang, phrase, parts): each distinct spelling of the wanted fingerprints in the rows that they name.
 
     ``parts`` are the fingerprints of the first k words and of the rest, for every cut k.
     """
-    by_row = wanted.select("size", "h", "c", F.explode(F.array_distinct(F.array("first", "last"))).alias("w_row"))
+    by_row = wanted.select("size", "h", F.explode(F.array_distinct(F.array("first", "last"))).alias("w_row"))
     # A row's list holds no more than twice its own n-grams.
-    by_row = by_row.groupBy("w_row").agg(F.collect_list(F.struct("size", "h", "c")).alias("wanted"))
+    by_row = by_row.groupBy("w_row").agg(F.collect_list(F.struct("size", "h")).alias("wanted"))
 
     def each(batches):
         for batch in batches:
             lists = batch.column("wanted")
             ends, items = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
-            sizes, hs, cs = (items.field(k).to_numpy() for k in range(3))
+            sizes, hs = (items.field(k).to_numpy() for k in range(2))
             for i, j, grams in _grams(batch, poly):
                 out: list[tuple] = []
                 for n in range(2, LONGEST + 1):
@@ -281,25 +213,24 @@ def _spelt(texts: DataFrame, wanted: DataFrame, poly: Polynomials) -> DataFrame:
                     at = grams.first_words(n)
                     if not len(mine) or not len(at):
                         continue
-                    h, c = grams.fingerprints(at, n).view(np.int64), grams.checks(at, n)
+                    h = grams.fingerprints(at, n)
                     # Every word pair, say, of a row whose fingerprint the row's list asks for.
                     owner = np.searchsorted(ends, mine, "right") - 1 - i
-                    name = lambda doc, h, c: mix(h.view(np.uint64) ^ mix((doc.astype(np.uint64) << np.uint64(32)) | c.astype(np.uint64)))
-                    at = at[np.isin(name(grams.doc[at], h, c), name(owner, hs[mine], cs[mine]))]
+                    name = lambda doc, h: mix(h.view(np.uint64) ^ mix(doc.astype(np.uint64)))
+                    at = at[np.isin(name(grams.doc[at], h), name(owner, hs[mine]))]
                     spellings: dict[tuple[int, str], int] = {}
                     for k in at.tolist():
                         spellings.setdefault((int(grams.doc[k]), grams.spelt(k, n)), k)
                     at = np.array(list(spellings.values()), np.int64)
-                    parts = [(grams.fingerprints(at + s, m).view(np.int64), grams.checks(at + s, m)) for k in range(1, n) for s, m in ((0, k), (k, n - k))]
-                    h, c = grams.fingerprints(at, n).view(np.int64), grams.checks(at, n)
-                    for x, (doc, phrase) in enumerate(spellings):
-                        out.append((n, int(h[x]), int(c[x]), batch.column("lang")[i + doc].as_py(), phrase, [{"h": int(p[x]), "c": int(q[x])} for p, q in parts]))
+                    parts = np.stack([grams.fingerprints(at + s, m).view(np.int64) for k in range(1, n) for s, m in ((0, k), (k, n - k))], axis=1).tolist()
+                    h = grams.fingerprints(at, n).view(np.int64).tolist()
+                    out += [(n, h[x], batch.column("lang")[i + doc].as_py(), phrase, parts[x]) for x, (doc, phrase) in enumerate(spellings)]
                 if out:
-                    kinds = [pa.int8(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32())]))]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["size", "h", "c", "lang", "phrase", "parts"])
+                    kinds = [pa.int8(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["size", "h", "lang", "phrase", "parts"])
 
     rows = texts.join(by_row.hint("merge"), F.col("row") == F.col("w_row")).select("lang", "text", "wanted")
-    return rows.mapInArrow(each, f"size tinyint, h long, c int, lang string, phrase string, parts array<{_PART}>")
+    return rows.mapInArrow(each, "size tinyint, h long, lang string, phrase string, parts array<long>")
 
 
 class Collision(RuntimeError):
@@ -307,35 +238,26 @@ class Collision(RuntimeError):
 
 
 def _mined(texts: DataFrame, poly: Polynomials, least: int, longest: int, share: int) -> DataFrame:
-    spark = texts.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(_frequent_bits(texts, poly, least, longest)))
-    counts = stored(_counted(texts, poly, bitmap, longest).filter((F.col("a") >= least) | (F.col("size") == 0)), "phrase-counts")
-    spelt = _spelt(texts, counts.filter("size > 1"), poly)
-    spelt = stored(spelt.groupBy("size", "h", "c").agg(F.min(F.struct("lang", "phrase")).alias("low"), F.max(F.struct("lang", "phrase")).alias("high"), F.first("parts").alias("parts")), "phrase-texts")
+    counts = stored(_counted(texts, poly, least, longest), "phrase-counts")
+    spelt = _spelt(texts, counts.filter("size > 1"), poly).groupBy("size", "h")
+    spelt = stored(spelt.agg(F.min(F.struct("lang", "phrase")).alias("low"), F.max(F.struct("lang", "phrase")).alias("high"), F.first("parts").alias("parts")), "phrase-texts")
     # The words of a language are counted under its own fingerprint.
     totals = counts.filter("size = 0").select("h", F.col("a").alias("n"), F.explode(F.array_distinct(F.array("first", "last"))).alias("row"))
     totals = stored(totals.join(texts.select("row", "lang"), "row").groupBy("h", "n").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")), "phrase-totals")
     if spelt.filter("low <> high").limit(1).count() or totals.filter("lang <> other").limit(1).count():
-        raise Collision(f"two spellings of one fingerprint among {poly.mask}")
-    named = counts.filter("size > 1").join(spelt, ["size", "h", "c"]).select("size", "h", "c", "a", "low.*", "parts")
-    cut = named.select("size", "h", "c", "a", F.posexplode(F.sequence(F.lit(1), F.col("size").cast("int") - 1)).alias("pos", "k"), "parts")
-    cut = cut.select("size", "h", "c", "a", "k", F.get("parts", 2 * F.col("pos")).alias("left"), F.get("parts", 2 * F.col("pos") + 1).alias("right"))
-    part = counts.select(F.col("size").alias("p_size"), F.col("h").alias("p_h"), F.col("c").alias("p_c"), F.col("a").alias("p_a"))
-
-    def with_count(df: DataFrame, side: str, size, name: str) -> DataFrame:
-        on = (size == F.col("p_size")) & (F.col(f"{side}.h") == F.col("p_h")) & (F.col(f"{side}.c") == F.col("p_c"))
-        return df.join(part, on).withColumnRenamed("p_a", name).drop("p_size", "p_h", "p_c")
-
-    cut = with_count(cut, "left", F.col("k"), "l")
-    cut = with_count(cut, "right", F.col("size") - F.col("k"), "r")
+        raise Collision(f"two spellings of one fingerprint under the mask {poly.mask:x}")
+    named = counts.filter("size > 1").join(spelt.drop("size", "high"), "h").select("size", "h", "a", "low.*", "parts")
+    cut = named.select("size", "h", "a", F.posexplode(F.sequence(F.lit(1), F.col("size").cast("int") - 1)).alias("pos", "k"), "parts")
+    cut = cut.select("h", "a", "k", F.get("parts", 2 * F.col("pos")).alias("left"), F.get("parts", 2 * F.col("pos") + 1).alias("right"))
+    # A fingerprint holds its size, so it alone is the key.
+    cut = cut.join(counts.select(F.col("h").alias("left"), F.col("a").alias("l")), "left").join(counts.select(F.col("h").alias("right"), F.col("a").alias("r")), "right")
     big = lambda c: f"cast({c} as decimal(19,0))"
     cut = cut.withColumn("score", F.expr(f"cast({big('a')} * {big('a')} * 1000000 as decimal(38,0)) div ({big('l')} * {big('r')})"))
-    best = cut.groupBy("size", "h", "c").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    best = cut.groupBy("h").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     # The two pairs within three words: the right part of the first cut and the left part of the second.
-    holds = named.filter("size = 3").select("a", F.explode(F.array(F.get("parts", F.lit(1)), F.get("parts", F.lit(2)))).alias("p"))
-    holds = holds.groupBy(F.lit(2).cast("tinyint").alias("size"), F.col("p.h").alias("h"), F.col("p.c").alias("c")).agg(F.max("a").alias("held"))
-    out = named.join(best, ["size", "h", "c"]).join(holds, ["size", "h", "c"], "left")
-    out = out.filter(F.col("held").isNull() | (100 * F.col("held") < share * F.col("a")))
+    holds = named.filter("size = 3").select("a", F.explode(F.array(F.get("parts", F.lit(1)), F.get("parts", F.lit(2)))).alias("h"))
+    holds = holds.groupBy("h").agg(F.max("a").alias("held"))
+    out = named.join(best, "h").join(holds, "h", "left").filter(F.col("held").isNull() | (100 * F.col("held") < share * F.col("a")))
     return out.join(totals.drop("h", "other"), "lang").select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
 
 

@@ -248,7 +248,7 @@ def test_equal_rows_spread_over_shards(spark):
 def test_archives_are_read_in_as_many_tasks(spark):
     pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("text "), F.col("id")).alias("html"))
     archives = warc.write(pages, scratch_path(spark, "warc"), "page_id", "url", "html", archive=40)
-    assert archives.count() > 8 and "://" in archives.first().path.replace("file:/", "file://")
+    assert archives.count() > 8 and archives.first().path.startswith("file:/")
     seen = warc.read(spark, archives).withColumn("task", F.spark_partition_id())
     assert seen.count() == 60 and seen.select("task").distinct().count() > archives.count() // 3
 
