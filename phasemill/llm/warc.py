@@ -92,8 +92,9 @@ class _Archive:
     def __init__(self, folder: str):
         self.fs, base = _open(folder)
         self.fs.create_dir(base, recursive=True)
-        self.path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-        self.out, self.records, self.member = self.fs.open_output_stream(self.path, compression=None), 0, None
+        name = f"{uuid.uuid4().hex}.warc.gz"
+        self.path = f"{folder}/{name}"
+        self.out, self.records, self.member = self.fs.open_output_stream(f"{base}/{name}", compression=None), 0, None
 
     def begin(self, headers: list[tuple[str, str]]) -> None:
         self.member = zlib.compressobj(6, wbits=31)
@@ -231,10 +232,10 @@ def read(spark: SparkSession, archives: DataFrame, payloads: bool = False) -> Da
     def each(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs = _open(path)[0]
+                fs, own = _open(path)
                 rows: list[tuple] = []
                 held = 0
-                for headers, blocks in _records(fs, path):
+                for headers, blocks in _records(fs, own):
                     sha, size, no = hashlib.sha1(), 0, 0
                     number = lambda k: None if k not in headers or "null" in headers[k] else int(headers[k].strip("<>").rsplit(":", 1)[1])  # noqa: E731, B023
                     base = (number("WARC-Record-ID"), headers["WARC-Target-URI"])
