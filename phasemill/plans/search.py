@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from phasemill.functions.phase import cycle, in_window, phase_distance
-from phasemill.operators import boxsearch as bs, cleaning, models as mo, peaks as pk
+from phasemill.operators import boxsearch as bs, cleaning, iterate as it, models as mo, peaks as pk
 from phasemill.operators.medians import grouped_mad
 from phasemill.plans.registry import query
 from phasemill.session import cut_lineage
@@ -156,7 +156,7 @@ def _(t):
     return bs.log_bin_sde(pgram(t), bins=6, lo=1.5, hi=9.5, min_size=8).select("series_id", "idx", "band", r("sde", 6))
 
 
-def refine_jobs(peaks, spacing, *, steps=2, n=41, n_durations=15):
+def refine_jobs(peaks, spacing, *, steps=2, n=201, n_durations=15):
     """A dense period grid around each peak and durations from half to twice its own, up to 0.35 P."""
     lo, hi = F.greatest(F.col("period") - steps * spacing, F.lit(GRID[0])), F.col("period") + steps * spacing
     d_hi = F.least(F.greatest(2 * F.col("duration"), F.lit(0.5)), 0.35 * F.col("period"))
@@ -173,13 +173,6 @@ def _(t):
     return top.select("series_id", "rank", "b.*")
 
 
-def local_power(inputs, models, keys, *, rel=0.02, n=41, oversample=OVERSAMPLE):
-    """Largest power within ``rel`` of each model's period, at its own duration."""
-    p = F.col("period")
-    jobs = models.select(*keys, bs.linear_grid(p * (1 - rel), p * (1 + rel), n).alias("periods"), F.array("duration").alias("durations"))
-    return bs.box_search(inputs, jobs, oversample=oversample).groupBy(*keys).agg(F.max("power").alias("local_power"))
-
-
 MD = """md AS (SELECT series_id, m AS model_id, 2.1::DOUBLE+(series_id%5)*0.7::DOUBLE+m AS period, 0.3::DOUBLE*m AS epoch, 0.6::DOUBLE AS duration, 0.1::DOUBLE*m AS depth FROM (SELECT DISTINCT series_id FROM obs), (VALUES (1),(2)) z(m)),
 pm AS (SELECT pts.*, md.model_id, md.period, md.epoch, md.duration, md.depth, """ + dist("t", "period", "epoch") + """ AS ph FROM pts JOIN md USING (series_id))"""
 MODELS = PTS + ", " + MD
@@ -193,7 +186,7 @@ def models(t):
 
 
 LOCAL = """, cel AS (SELECT series_id, (floor(t/0.02::DOUBLE)+0.5)*0.02::DOUBLE AS tc, count(*) AS n, CAST(sum(CAST(round(y*1000000000) AS BIGINT)) AS BIGINT) AS s FROM pts GROUP BY ALL), tot AS (SELECT series_id, CAST(sum(n) AS BIGINT) AS nn, CAST(sum(s) AS BIGINT) AS ss FROM cel GROUP BY 1),
-jb AS (SELECT series_id, model_id, i AS idx, period*(1-0.02::DOUBLE)+(period*(1+0.02::DOUBLE)-period*(1-0.02::DOUBLE))*i/40 AS p, duration AS d FROM md, range(41) r(i)), jn AS (SELECT *, greatest(ceil(p/(d/4)),1) AS nb FROM jb), jk AS (SELECT *, CAST(greatest(floor(d*nb/p+0.5),1) AS BIGINT) AS k FROM jn),
+jb AS (SELECT series_id, model_id, i AS idx, period*(1-0.02::DOUBLE)+(period*(1+0.02::DOUBLE)-period*(1-0.02::DOUBLE))*i/200 AS p, duration AS d FROM md, range(201) r(i)), jn AS (SELECT *, greatest(ceil(p/(d/4)),1) AS nb FROM jb), jk AS (SELECT *, CAST(greatest(floor(d*nb/p+0.5),1) AS BIGINT) AS k FROM jn),
 oc AS (SELECT series_id, model_id, idx, k, nb, CAST(least(floor((tc/p-floor(tc/p))*nb), nb-1) AS BIGINT) AS b, sum(n) AS n, sum(s) AS s FROM jk JOIN cel USING (series_id) WHERE k<nb GROUP BY ALL),
 wi AS (SELECT series_id, model_id, idx, CAST((b-j+nb)%nb AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS s FROM (SELECT *, unnest(range(k)) AS j FROM oc) GROUP BY ALL),
 dp AS (SELECT w.*, sigma, (CAST(ss-s AS DOUBLE)/(nn-n) - CAST(s AS DOUBLE)/n)/1000000000 AS depth FROM wi w JOIN tot USING (series_id) JOIN sig USING (series_id) WHERE nn>n AND sigma>0)
@@ -203,7 +196,7 @@ SELECT md.series_id, md.model_id, round(coalesce(max(0.5*n*dp.depth*dp.depth/(si
 @query("ts22_local_max_power", LOCAL, "obs", MODELS)
 def _(t):
     inputs = bs.search_input(points(t), value="y", cell_days=CELL)
-    return local_power(inputs, models(t), ["series_id", "model_id"]).select("series_id", "model_id", r("local_power", 6))
+    return it.local_power(inputs, models(t), ["series_id", "model_id"], oversample=OVERSAMPLE).select("series_id", "model_id", r("local_power", 6))
 
 
 def on_models(t):
@@ -266,26 +259,62 @@ def _(t):
     return mo.overlap(on_models(t), KEYS, other_window(t), value="y").select(*KEYS, r("overlap_fraction"), r("overlap_dev", 7))
 
 
-@query("ts26_removal_quality_verdict",
-       RQ + """ SELECT series_id, model_id, concat_ws(',', CASE WHEN n_out>=20 AND n_edge>=5 AND sc>0 AND ed/sc>1.5 THEN 'edge_excess' END, CASE WHEN NOT (n_out>=20 AND n_edge>=5 AND sc>0) OR NOT (n_out>=20 AND n_in>=5 AND sc>0) THEN 'qa_not_measurable' END,
-       CASE WHEN n_out>=20 AND n_in>=5 AND sc>0 AND abs(mi/(sc/sqrt(n_in)))>1 AND NOT abs(mi/(0.1::DOUBLE*model_id))<=0.1 THEN 'window_offset' END) AS failures FROM j""", "obs", MODELS)
+def _power_sql(of, tag):
+    """CTEs w{tag} (series_id, power): the largest local power of model 1 on column ``of`` of the table q."""
+    return f""", s{tag} AS (SELECT q.series_id, count(*) AS np, 1.4826*median(abs({of}-m)) AS sigma FROM q JOIN (SELECT series_id, median({of}) AS m FROM q GROUP BY ALL) USING (series_id) GROUP BY q.series_id),
+cel{tag} AS (SELECT series_id, (floor(t/0.02::DOUBLE)+0.5)*0.02::DOUBLE AS tc, count(*) AS n, CAST(sum(CAST(round({of}*1000000000) AS BIGINT)) AS BIGINT) AS s FROM q GROUP BY ALL), tot{tag} AS (SELECT series_id, CAST(sum(n) AS BIGINT) AS nn, CAST(sum(s) AS BIGINT) AS ss FROM cel{tag} GROUP BY 1),
+oc{tag} AS (SELECT series_id, idx, k, nb, CAST(least(floor((tc/p-floor(tc/p))*nb), nb-1) AS BIGINT) AS b, sum(n) AS n, sum(s) AS s FROM jk JOIN cel{tag} USING (series_id) WHERE k<nb GROUP BY ALL),
+wi{tag} AS (SELECT series_id, idx, CAST((b-j+nb)%nb AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS s FROM (SELECT *, unnest(range(k)) AS j FROM oc{tag}) GROUP BY ALL),
+w{tag} AS (SELECT series_id, coalesce(max(0.5*n*dp*dp/(sigma*sigma)) FILTER (dp>0), 0) AS power FROM (SELECT w.*, sigma, (CAST(ss-s AS DOUBLE)/(nn-n) - CAST(s AS DOUBLE)/n)/1000000000 AS dp FROM wi{tag} w JOIN tot{tag} USING (series_id) JOIN s{tag} USING (series_id) WHERE nn>n AND sigma>0) GROUP BY ALL)"""
+
+
+QA_MIN_POINTS = 30
+QA_SQL = (f""", q AS (SELECT p.series_id, p.t, p.y AS v0, {dist('p.t', 'a.period', 'a.epoch')} AS ph, {dist('p.t', 'b.period', 'b.epoch')} AS ph2, a.duration, b.duration AS d2, a.depth,
+  p.y/(CASE WHEN abs({dist('p.t', 'b.period', 'b.epoch')})<b.duration/2 THEN 1-b.depth ELSE 1 END) AS cur, p.y/(CASE WHEN abs({dist('p.t', 'a.period', 'a.epoch')})<a.duration/2 THEN 1-a.depth ELSE 1 END) AS r0,
+  p.y/(CASE WHEN abs({dist('p.t', 'b.period', 'b.epoch')})<b.duration/2 THEN 1-b.depth ELSE 1 END)/(CASE WHEN abs({dist('p.t', 'a.period', 'a.epoch')})<a.duration/2 THEN 1-a.depth ELSE 1 END) AS res
+  FROM pts p JOIN md a ON a.series_id=p.series_id AND a.model_id=1 JOIN md b ON b.series_id=p.series_id AND b.model_id=2),
+pq AS (SELECT series_id, 1 AS model_id, ph, duration, depth, res AS y FROM q)""" + RQ.replace("pm", "pq") + """,
+jb AS (SELECT series_id, i AS idx, period*(1-0.02::DOUBLE)+(period*(1+0.02::DOUBLE)-period*(1-0.02::DOUBLE))*i/200 AS p, duration AS d FROM md, range(201) r(i) WHERE model_id=1), jn AS (SELECT *, greatest(ceil(p/(d/4)),1) AS nb FROM jb), jk AS (SELECT *, CAST(greatest(floor(d*nb/p+0.5),1) AS BIGINT) AS k FROM jn)"""
+          + _power_sql("cur", "b") + _power_sql("res", "a") + f""",
+ot AS (SELECT series_id, count(r0) AS n0, avg(v0) FILTER (NOT abs(ph2)<d2/2) - avg(v0) FILTER (abs(ph2)<d2/2) AS da, avg(r0) FILTER (NOT abs(ph2)<d2/2) - avg(r0) FILTER (abs(ph2)<d2/2) AS db,
+  count(*) FILTER (abs(ph)<duration/2 AND abs(ph2)<d2/2) AS nb, median(abs(res-1)) FILTER (abs(ph)<duration/2 AND abs(ph2)<d2/2) AS dv, count(cur) AS nv, count(res) AS nr FROM q GROUP BY ALL),
+al AS (SELECT m.series_id, nv, nr, CASE WHEN wb.power>0 AND sa.np>={QA_MIN_POINTS} THEN wa.power/wb.power END AS ratio, CASE WHEN n_out>=20 AND n_edge>=5 AND sc>0 THEN ed/sc END AS ee, CASE WHEN n0>={QA_MIN_POINTS} AND da>0 AND db>0 THEN abs(log2(da)-log2(db)) END AS lg,
+  CASE WHEN ot.nb>=3 AND sa.sigma>0 THEN dv/sa.sigma END AS od, CASE WHEN n_out>=20 AND n_in>=5 AND sc>0 THEN mi/(sc/sqrt(n_in)) END AS wz, CASE WHEN n_out>=20 AND n_in>=5 THEN mi/m.depth END AS wr
+  FROM md m LEFT JOIN ot USING (series_id) LEFT JOIN j ON j.series_id=m.series_id LEFT JOIN wa ON wa.series_id=m.series_id LEFT JOIN wb ON wb.series_id=m.series_id LEFT JOIN sa ON sa.series_id=m.series_id WHERE m.model_id=1)
+SELECT series_id, concat_ws(',', CASE WHEN nr<>nv THEN 'non_finite' END, CASE WHEN NOT coalesce(ratio<=0.5, false) THEN 'power_not_reduced' END, CASE WHEN ee>0.7 THEN 'edge_excess' END, CASE WHEN lg IS NULL THEN 'other_depth_not_measurable' END,
+  CASE WHEN lg>0.5 THEN 'other_candidate_damaged' END, CASE WHEN od>1.5 THEN 'overlap_distortion' END, CASE WHEN ee IS NULL OR wz IS NULL THEN 'qa_not_measurable' END, CASE WHEN abs(wz)>1 AND NOT coalesce(abs(wr)<=0.1, false) THEN 'window_offset' END) AS failures,
+  round(ratio,6) AS power_ratio, round(ee,6) AS edge_excess, round(lg,6) AS other_depth_log2_max, round(od,6) AS overlap_dev, round(wz,5) AS window_offset_z, round(wr,6) AS window_offset_rel FROM al""")
+
+
+@query("ts26_removal_quality_verdict", QA_SQL, "obs", MODELS)
 def _(t):
-    q = mo.residual_quality(on_models(t), KEYS, value="y")
-    from phasemill.operators.iterate import removal_failures
-    depth = F.lit(0.1) * F.col("model_id")
-    return q.select(*KEYS, F.concat_ws(",", removal_failures(depth, edge_max=1.5, z_max=1.0, rel_max=0.1)).alias("failures"))
+    """All eight checks of dividing out the first model of each series, the second being accepted already."""
+    m = models(t)
+    second = m.filter("model_id = 2").select("series_id", F.array(F.struct(F.lit(0).alias("step"), *mo.MODEL)).alias("others"))
+    first = m.filter("model_id = 1").select("series_id", *mo.MODEL).join(second, "series_id")
+    pts = points(t).select("series_id", "t", F.col("y").alias("v0")).join(second, "series_id")
+    pts = pts.select("series_id", "t", "v0", (F.col("v0") / mo.product_of(F.col("others"), F.col("t"))).alias("v"))
+    x = it.removal_measures(pts, first, oversample=OVERSAMPLE, cell_days=CELL, min_points=QA_MIN_POINTS)
+    # Limits at which every check fails for some series of the tables.
+    limits = it.RemovalLimits(edge_excess=0.7, other_log2=0.5, overlap=1.5, offset_z=1.0)
+    return x.select("series_id", F.concat_ws(",", it.removal_failures(limits)).alias("failures"), r("power_ratio", 6), r("edge_excess", 6), r("other_depth_log2_max", 6),
+                    r("overlap_dev", 6), r("window_offset_z", 5), r("window_offset_rel", 6))
 
 
 @query("ts27_harmonic_duplicates",
-       """, c AS (SELECT a.series_id, a.rank, b.rank AS with_rank FROM a5 a JOIN a5 b ON a.series_id=b.series_id AND b.rank<a.rank AND (abs(a.period-0.5::DOUBLE*b.period)*3<=greatest(a.duration,b.duration)/2 OR abs(a.period-b.period)*3<=greatest(a.duration,b.duration)/2 OR abs(a.period-2.0::DOUBLE*b.period)*3<=greatest(a.duration,b.duration)/2))
-       SELECT a.series_id, a.rank, min(with_rank) AS duplicate_of FROM a5 a LEFT JOIN c USING (series_id, rank) GROUP BY ALL""", "obs", PEAKS)
+       f""", tr AS (SELECT a.series_id, a.rank, count(DISTINCT floor((t-epoch)/period+0.5)) AS nt FROM a5 a JOIN pts p ON p.series_id=a.series_id AND abs({dist('p.t', 'period', 'epoch')})<duration/2 GROUP BY ALL),
+       an AS (SELECT a5.*, greatest(coalesce(nt,0),1) AS nt FROM a5 LEFT JOIN tr USING (series_id, rank)),
+       c AS (SELECT a.series_id, a.rank, b.rank AS with_rank FROM an a JOIN an b ON a.series_id=b.series_id AND b.rank<a.rank AND (abs(a.period-0.5::DOUBLE*b.period)*a.nt<=greatest(a.duration,b.duration)/2 OR abs(a.period-b.period)*a.nt<=greatest(a.duration,b.duration)/2 OR abs(a.period-2.0::DOUBLE*b.period)*a.nt<=greatest(a.duration,b.duration)/2))
+       SELECT a.series_id, a.rank, a.nt AS n_transits, min(with_rank) AS duplicate_of FROM an a LEFT JOIN c USING (series_id, rank) GROUP BY ALL""", "obs", PEAKS)
 def _(t):
-    from phasemill.operators.iterate import harmonic_duplicate
-    p = top_peaks(pgram(t)).select("series_id", "rank", "period", "duration")
+    """The first better peak that each peak repeats, by its own observed events."""
+    pts = points(t)
+    p = it._transits(pts, top_peaks(pgram(t))).withColumn("n_transits", F.greatest("n_transits", F.lit(1))).select("series_id", "rank", "period", "duration", "n_transits")
+    p = cut_lineage(p)
     b = p.select("series_id", F.col("rank").alias("with_rank"), F.col("period").alias("p2"), F.col("duration").alias("d2"))
     # Five peaks per series at most, so the pairs are bounded by ten.
-    hit = p.join(b, "series_id").filter((F.col("with_rank") < F.col("rank")) & harmonic_duplicate("period", "duration", F.lit(3), "p2", "d2"))
-    return p.select("series_id", "rank").join(hit.groupBy("series_id", "rank").agg(F.min("with_rank").alias("duplicate_of")), ["series_id", "rank"], "left")
+    hit = p.join(b, "series_id").filter((F.col("with_rank") < F.col("rank")) & it.harmonic_duplicate("period", "duration", F.col("n_transits"), "p2", "d2"))
+    return p.select("series_id", "rank", "n_transits").join(hit.groupBy("series_id", "rank").agg(F.min("with_rank").alias("duplicate_of")), ["series_id", "rank"], "left")
 
 
 @query("ts28_parity_and_secondary_depth",
@@ -338,7 +367,6 @@ def _(t):
 
 @query("ts20_iterative_search")
 def _(t):
-    from phasemill.operators.iterate import iterate
-    steps = iterate(points(t).select("series_id", "part_id", "seq", "t", F.col("y").alias("v")), periods=GRID, durations=DURATIONS, oversample=OVERSAMPLE,
-                    cell_days=CELL, snr_min=3.0, sde_min=2.0, min_points=30, rounds=3)
+    steps = it.iterate(points(t).select("series_id", "part_id", "seq", "t", F.col("y").alias("v")), periods=GRID, durations=DURATIONS, oversample=OVERSAMPLE,
+                       cell_days=CELL, snr_min=3.0, sde_min=2.0, min_points=30)
     return steps

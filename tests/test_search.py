@@ -133,3 +133,28 @@ def test_biweight_of_a_batch_equals_one_window_at_a_time():
             m = (w * x).sum() / w.sum()
         want.append(m)
     assert biweight(pd.Series(windows)).tolist() == pytest.approx(want, rel=1e-12)
+
+
+def test_removal_failures_are_named_in_order_and_fail_closed(spark):
+    from pyspark.sql import functions as F
+
+    from phasemill.operators.iterate import removal_failures
+
+    fields = ("name string, n_valid_input long, n_finite_residual long, power_ratio double, edge_excess double, n_others int, n_others_measured int, "
+              "other_depth_log2_max double, overlap_dev double, window_offset_z double, window_offset_rel double")
+    good = [100, 100, 0.2, 0.7, 1, 1, 0.1, 0.5, 0.3, 0.01]
+    change = lambda name, at, v: [name, *good[:at], v, *good[at + 1:]]
+    rows = [["", *good], change("non_finite", 1, 99), change("power_not_reduced", 2, 0.51), change("power_not_reduced", 2, None), change("edge_excess", 3, 1.6),
+            change("other_depth_not_measurable", 5, 0), change("other_candidate_damaged", 6, 1.1), change("overlap_distortion", 7, 3.1), change("qa_not_measurable", 3, None),
+            change("qa_not_measurable", 8, None), ["window_offset", *good[:8], -5.1, 0.2], ["window_offset", *good[:8], 6.0, None], ["", *good[:8], 6.0, -0.1],
+            ["non_finite,power_not_reduced,edge_excess,other_depth_not_measurable,other_candidate_damaged,overlap_distortion,window_offset", 100, 99, 0.9, 2.0, 2, 1, 1.5, 4.0, 9.0, 0.5]]
+    got = spark.createDataFrame([tuple(r) for r in rows], fields).select("name", F.concat_ws(",", removal_failures()).alias("got")).collect()
+    assert [r.got for r in got] == [r[0] for r in rows]
+
+
+def test_iteration_notes_rejected_steps(curves):
+    """A gate no peak passes: the step is kept with its measurements and the series ends."""
+    out = iterate(curves.filter("series_id = 1"), periods=(1.0, 9.0, 400), durations=[0.2], oversample=4, cell_days=0.02, snr_min=1e6).toPandas()
+    step = out[out.status == "rejected_gate"].iloc[0]
+    assert step.reason == "no_quality_peak" and step.snr > 0 and step.period_coarse > 0 and step.n_transits > 1
+    assert out[out.status == "terminated"].reason.tolist() == ["no_quality_peak"] and len(out) == 2
