@@ -374,13 +374,29 @@ def _(t):
     return first.unionByName(more)
 
 
-@query("so02_union_error_rows", """SELECT CAST(event_id AS VARCHAR) AS id, 'parse' AS stage, event_type AS code FROM events WHERE event_type='error' UNION ALL SELECT 'all', 'contract', 'count_mismatch:' || ok || '/' || declared FROM (SELECT count(*) FILTER (event_type<>'error') AS ok, count(DISTINCT event_id) AS declared FROM events) WHERE ok<>declared""")
+def _contract_sql(name, table, key, bad, declared):
+    return f"""SELECT '{name}' AS release, CAST({key} AS VARCHAR) AS id, 'parse' AS stage, 'bad_record' AS code, CAST(NULL AS VARCHAR) AS detail FROM {table} WHERE {bad}
+UNION ALL SELECT '{name}', NULL, 'input', 'sequence_count_mismatch', concat('actual=', actual, ',expected=', expected, ',distinct=', uniq) FROM (SELECT count(*) AS actual, count(DISTINCT {key}) AS uniq FROM {table}) p, ({declared}) d WHERE NOT (actual = uniq AND uniq = expected)"""
+
+
+def _contract_rows(name, records, key, bad, declared):
+    """Error rows of a release, and one more if all parsed records, their distinct keys and the declared count differ."""
+    errors = records.filter(bad).select(F.lit(name).alias("release"), F.col(key).cast("string").alias("id"), F.lit("parse").alias("stage"), F.lit("bad_record").alias("code"), F.lit(None).cast("string").alias("detail"))
+    # Distinct keys are counted from one row per key, so no task holds a set of keys.
+    parsed = records.groupBy(key).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("actual"), F.count(key).alias("uniq")).withColumn("one", F.lit(1))
+    facts = parsed.join(declared.withColumn("one", F.lit(1)), "one").filter(~((F.col("actual") == F.col("uniq")) & (F.col("uniq") == F.col("expected"))))
+    detail = F.concat(F.lit("actual="), "actual", F.lit(",expected="), "expected", F.lit(",distinct="), "uniq")
+    return errors.unionByName(facts.select(F.lit(name).alias("release"), F.lit(None).cast("string").alias("id"), F.lit("input").alias("stage"), F.lit("sequence_count_mismatch").alias("code"), detail.alias("detail")))
+
+
+@query("so02_union_error_rows",
+       _contract_sql("orders", "orders", "o_orderkey", "o_totalprice < 20000", "SELECT count(DISTINCT l_orderkey) AS expected FROM lineitem") + " UNION ALL "
+       + _contract_sql("documents", "documents", "doc_id", "n_chars < 50", "SELECT count(*) AS expected FROM labels"))
 def _(t):
-    bad = t.events.filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"), F.lit("parse").alias("stage"), F.col("event_type").alias("code"))
-    # The ids that the table declares are the expected count.
-    per = t.events.groupBy("event_id").agg(F.count_if(F.col("event_type") != "error").alias("k"))
-    ok = per.agg(F.sum("k").alias("ok"), F.count("event_id").alias("declared")).filter("ok <> declared")
-    return bad.unionByName(ok.select(F.lit("all").alias("id"), F.lit("contract").alias("stage"), F.concat(F.lit("count_mismatch:"), "ok", F.lit("/"), "declared").alias("code")))
+    """The declared counts come from other tables: the orders that have lines, and the documents that have labels."""
+    lines = t.lineitem.select("l_orderkey").distinct().agg(F.count("l_orderkey").alias("expected"))
+    labels = t.labels.agg(F.count(F.lit(1)).alias("expected"))
+    return _contract_rows("orders", t.orders, "o_orderkey", "o_totalprice < 20000", lines).unionByName(_contract_rows("documents", t.documents, "doc_id", "n_chars < 50", labels))
 
 
 @query("so03_key_subtract", "SELECT user_id AS k FROM events EXCEPT SELECT l_suppkey FROM lineitem")
