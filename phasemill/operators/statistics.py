@@ -74,11 +74,13 @@ def kpis(pieces: list[tuple[str, DataFrame]]) -> DataFrame:
 def precision_recall(scores: DataFrame, *, score: str = "score", positive: str = "positive") -> DataFrame:
     """Curve points at each distinct score, best first.
 
-    Ties are one group. Cumulative counts run over score bands first, so no
-    single task sorts all scores.
+    Ties are one group. Cumulative counts run over 1,024 bands of the measured range
+    of scores first, so no single task sorts all scores, whatever their range.
     """
     g = scores.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("f"))
-    g = g.withColumn("_band", F.floor((1 - F.col("threshold")) * 1024))
+    low, high = g.agg(F.min("threshold"), F.max("threshold")).head()
+    wide = (high - low) if low is not None and high > low else 1.0
+    g = g.withColumn("_band", F.floor((F.lit(high).cast("double") - F.col("threshold")) / wide * 1024))
     w = Window.partitionBy("_band").orderBy(F.desc("threshold"))
     bands = g.groupBy("_band").agg(F.sum("p").alias("_p"), F.sum("f").alias("_f"))
     ahead = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # at most 1025 bands

@@ -111,3 +111,23 @@ def test_load_outcomes_and_history(spark):
     assert {r.k: r.outcome for r in publish.load_outcome(new, stored, ["k"]).collect()} == {1: "ALREADY_PUBLISHED", 2: "SUPERSEDED", 3: "CONFLICT", 4: "PUBLISHED"}
     h = publish.history_rows(stored.select("k", "digest"), new, ["k"], ["digest"]).collect()
     assert {(r.k, r.old_value, r.new_value) for r in h} == {(3, "a", "b"), (4, None, "a")}
+
+
+def test_written_rows_are_sealed(spark, tmp_path):
+    """Counts and digests are observed while writing; an empty table is written and checked too."""
+    from phasemill.sources import ingest as src
+
+    df = spark.range(100).selectExpr("id % 7 AS k", "CASE WHEN id % 5 = 0 THEN NULL ELSE id END AS v")
+    assert tuple(src.written_and_checked(df, str(tmp_path / "a")).head()) == (100, 100, True)
+    assert tuple(src.written_and_checked(df.filter("k > 9"), str(tmp_path / "b")).head()) == (0, 0, True)
+
+
+def test_precision_recall_of_scores_outside_the_unit_interval(spark):
+    from phasemill.operators import statistics as st
+
+    rows = [(float(s), bool(k % 3)) for k, s in enumerate([-40, -3.5, -3.5, 0, 0.2, 7, 900, 900, 12])]
+    got = sorted(((r.threshold, r.tp, r.fp) for r in st.precision_recall(spark.createDataFrame(rows, "score double, positive boolean")).collect()), reverse=True)
+    assert got == [(x, sum(p for s, p in rows if s >= x), sum(not p for s, p in rows if s >= x)) for x in sorted({s for s, _ in rows}, reverse=True)]
+    assert st.precision_recall(spark.createDataFrame([], "score double, positive boolean")).count() == 0
+    one = st.precision_recall(spark.createDataFrame([(2.0, True), (2.0, False)], "score double, positive boolean")).collect()
+    assert [(r.tp, r.fp) for r in one] == [(1, 1)]
