@@ -17,12 +17,14 @@ def _(t):
     return src.pinned(t.spark, t.path("events"), src.EVENT_SCHEMA).groupBy("user_id").agg(n(), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query("src02_multi_path_snapshot", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click','view','error') GROUP BY 1")
+@query("src02_multi_path_snapshot", "SELECT event_type, count(*) AS n, CAST(round(sum(value)*100) AS BIGINT) AS cents FROM events GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "parts")
     t.events.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(path)
-    snap = src.snapshot(t.spark, [f"{path}/kind={k}" for k in ("click", "view", "error")], src.EVENT_SCHEMA)
-    return snap.groupBy("event_type").agg(n())
+    # One path per kind of event, a handful, as the events themselves name them.
+    kinds = sorted(k for (k,) in t.events.select("event_type").distinct().collect())
+    snap = src.snapshot(t.spark, [f"{path}/kind={k}" for k in kinds], src.EVENT_SCHEMA)
+    return snap.groupBy("event_type").agg(n(), F.round(F.sum("value") * 100).cast("bigint").alias("cents"))
 
 
 @query("src03_manifest_contract", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
