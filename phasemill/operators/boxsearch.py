@@ -1,10 +1,12 @@
 """Periodic box search.
 
-The unit of work is (series, chunk of trial periods): points are first summed
-into fixed time cells (map-side combine, bounded per series), then every chunk
-is searched in its own Arrow row, so one long series spreads over the cluster
-like many short ones. Values are scaled to whole numbers before any summing;
-sums are exact and a retried task gives the same bits.
+Points are first summed into fixed time cells (map-side combine, bounded per
+series). A series is then one row and moves once; only where cells x trial periods
+exceed ``WORK`` is its grid split into as many rows as that takes, so one long series
+spreads over the cluster and short ones are never copied. Inside a task the grid is
+searched in blocks of ``BLOCK`` elements, so memory does not grow with cells x periods.
+Values are scaled to whole numbers before any summing; sums are exact and a retried
+task gives the same bits.
 
 Box likelihood with equal weights: depth = mean outside - mean inside,
 error = sigma * sqrt(1/n_in + 1/n_out), power = n_in * depth^2 / (2 sigma^2),
@@ -13,6 +15,8 @@ dips only, sigma from the scaled median absolute deviation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from phasemill.operators.medians import grouped_mad
 
 SCALE = 1_000_000_000
+#: Cells x trial periods of one row (some ten seconds), and matrix elements held at a time (about 50 bytes each).
+WORK, BLOCK = 1 << 28, 1 << 20
 RESULT = ("array<struct<period:double,power:double,depth:double,depth_err:double,snr:double,"
           "duration:double,epoch:double,n_in:bigint>>")
 
@@ -39,20 +45,20 @@ def search_input(points: DataFrame, *, value: str, cell_days: float, keys: list[
     return packed.join(sigma, keys)
 
 
-def linear_grid(lo: Column, hi: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + (hi - lo) * i / (n - 1))
+def linear_steps(lo: Column, hi: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: lo + (hi - lo) * i / (n - 1)
 
 
-def log_grid(lo: Column, hi: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo * F.pow(hi / lo, i / (n - 1)))
+def log_steps(lo: Column, hi: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: lo * F.pow(hi / lo, i / (n - 1))
 
 
-def chunked_periods(jobs: DataFrame, grid: str, size: int) -> DataFrame:
-    """One row per chunk of a grid column; ``offset`` is the index of the chunk's first period."""
-    starts = F.sequence(F.lit(1), F.size(grid), F.lit(size))
-    return (jobs.withColumn("_from", F.explode(starts))
-            .withColumn("periods", F.expr(f"slice({grid}, _from, {size})"))
-            .withColumn("offset", F.col("_from") - 1).drop("_from", grid))
+def linear_grid(lo: Column, hi: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), linear_steps(lo, hi, n))
+
+
+def log_grid(lo: Column, hi: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log_steps(lo, hi, n))
 
 
 def _search_one(t, n, s, n_total, s_total, sigma, periods, durations, oversample):
@@ -99,40 +105,65 @@ def _search_one(t, n, s, n_total, s_total, sigma, periods, durations, oversample
 FIELDS = ("period", "power", "depth", "depth_err", "snr", "duration", "epoch", "n_in")
 
 
-def box_search(inputs: DataFrame, jobs: DataFrame, *, oversample: int, keys: list[str] | None = None, tasks: int | None = None) -> DataFrame:
-    """Best box per (job, trial period).
+def _blocks(cells: int, periods: np.ndarray, finest: float) -> list[np.ndarray]:
+    """Cut trial periods so that neither period x cell nor the phase bins of a block pass ``BLOCK``."""
+    cost = np.maximum(cells, np.ceil(periods / finest))
+    block = np.floor((np.cumsum(cost) - cost) / BLOCK)
+    return np.split(periods, np.flatnonzero(np.diff(block)) + 1)
 
-    ``jobs`` has the series keys, ``periods`` and ``durations`` (days) and any further
-    columns to carry. Series whose scatter is not positive give no rows.
+
+def box_search(inputs: DataFrame, jobs: DataFrame, *, oversample: int, keys: list[str] | None = None, tasks: int | None = None,
+               steps: Callable[[Column], Column] | None = None, n: int | None = None, work: int = WORK, chunk: int | None = None) -> DataFrame:
+    """Best box per (job, trial period); ``idx`` is the period's index in its job.
+
+    ``jobs`` has the series keys, ``durations`` (days), ``periods`` and any further columns to
+    carry; it may be ``inputs`` itself with these columns added. A long grid is given as ``steps`` and ``n`` instead of ``periods`` and is made after
+    the rows have moved. ``chunk`` bounds the periods of a row further. Series whose scatter is
+    not positive give no rows.
     """
     keys = keys or ["series_id"]
 
     def search(t: pd.Series, n: pd.Series, s: pd.Series, n_total: pd.Series, s_total: pd.Series, sigma: pd.Series,
                periods: pd.Series, durations: pd.Series) -> pd.Series:
-        rows = zip(t, n, s, n_total, s_total, sigma, periods, durations)
-        return pd.Series([[dict(zip(FIELDS, r)) for r in _search_one(np.asarray(t), np.asarray(n, dtype=float), np.asarray(s, dtype=float),
-                                                                     int(nt), int(st), sg, ps, ds, oversample)]
-                          for t, n, s, nt, st, sg, ps, ds in rows])
+        out = []
+        for t1, n1, s1, nt, st, sg, ps, ds in zip(t, n, s, n_total, s_total, sigma, periods, durations):
+            t1, n1, s1 = np.asarray(t1), np.asarray(n1, dtype=float), np.asarray(s1, dtype=float)
+            blocks = _blocks(len(t1), np.asarray(ps, dtype=float), min(ds) / oversample)
+            out.append([dict(zip(FIELDS, r)) for block in blocks for r in _search_one(t1, n1, s1, int(nt), int(st), sg, block, ds, oversample)])
+        return pd.Series(out)
 
-    x = jobs.join(inputs.filter("sigma > 0").select(*keys, "cells", "n_total", "s_total", "sigma"), keys)
+    carried = [c for c in jobs.columns if c in keys or c not in ("periods", "durations", *inputs.columns)]
+    cells = inputs.filter("sigma > 0").select(*keys, "cells", "n_total", "s_total", "sigma")
+    x = jobs.filter("sigma > 0") if "cells" in jobs.columns else jobs.join(cells, keys)
+    size = F.lit(n) if steps else F.size("periods")
+    parts = F.greatest(F.lit(1), F.ceil(F.size("cells") * size.cast("double") / work), *([F.ceil(size / chunk)] if chunk else []))
+    x = x.withColumn("_parts", F.least(parts, size).cast("bigint")).filter("_parts > 0")
+    x = x.withColumn("_part", F.explode(F.expr("sequence(0L, _parts - 1)")))
     # A fixed number of tasks: rows are small and slow, so merging partitions by size would cost parallelism.
     tasks = tasks or int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = x.repartition(tasks, *keys, *(["offset"] if "offset" in jobs.columns else []))
-    found = F.pandas_udf(search, RESULT)("cells.t", "cells.n", "cells.s", "n_total", "s_total", "sigma", "periods", "durations")
-    carried = [c for c in jobs.columns if c not in ("periods", "durations")]
-    return x.select(*carried, F.posexplode(found).alias("_pos", "_r")).select(*carried, "_pos", "_r.*")
+    x = x.repartition(tasks, *keys, *[c for c in carried if c not in keys], "_part")
+    edge = lambda part: F.floor(size * part / F.col("_parts")).cast("int")
+    x = x.withColumns({"_from": edge(F.col("_part")), "_to": edge(F.col("_part") + 1)})
+    own = F.transform(F.expr("sequence(_from, _to - 1)"), steps) if steps else F.expr("slice(periods, _from + 1, _to - _from)")
+    found = F.pandas_udf(search, RESULT)("cells.t", "cells.n", "cells.s", "n_total", "s_total", "sigma", "_own", "durations")
+    x = x.withColumn("_own", own).select(*carried, "_from", F.posexplode(found).alias("_pos", "_r"))
+    return x.select(*carried, (F.col("_from") + F.col("_pos")).cast("bigint").alias("idx"), "_r.*")
 
 
-def periodogram(points: DataFrame, *, value: str, periods: tuple[float, float, int], durations: list[float], oversample: int,
-                cell_days: float, chunk: int = 512, spacing: str = "linear") -> DataFrame:
+def grid_search(inputs: DataFrame, *, periods: tuple[float, float, int], durations: list[float], oversample: int,
+                spacing: str = "linear", work: int = WORK, chunk: int | None = None) -> DataFrame:
     """Search every series on one grid; add the index and the population z-score of the power."""
     lo, hi, n = periods
+    steps = (linear_steps if spacing == "linear" else log_steps)(F.lit(lo), F.lit(hi), n)
+    jobs = inputs.withColumn("durations", F.array(*[F.lit(d) for d in durations]))
+    return with_sde(box_search(inputs, jobs, oversample=oversample, steps=steps, n=n, work=work, chunk=chunk))
+
+
+def periodogram(points: DataFrame, *, value: str, periods: tuple[float, float, int], durations: list[float], oversample: int,
+                cell_days: float, spacing: str = "linear", work: int = WORK, chunk: int | None = None) -> DataFrame:
+    """``grid_search`` of points."""
     inputs = search_input(points, value=value, cell_days=cell_days)
-    make = linear_grid if spacing == "linear" else log_grid
-    jobs = inputs.select("series_id", make(F.lit(lo), F.lit(hi), n).alias("_grid"), F.array(*[F.lit(d) for d in durations]).alias("durations"))
-    pg = box_search(inputs, chunked_periods(jobs, "_grid", chunk), oversample=oversample)
-    pg = pg.withColumn("idx", (F.col("offset") + F.col("_pos")).cast("bigint")).drop("offset", "_pos")
-    return with_sde(pg)
+    return grid_search(inputs, periods=periods, durations=durations, oversample=oversample, spacing=spacing, work=work, chunk=chunk)
 
 
 def with_sde(pg: DataFrame, keys: list[str] | None = None) -> DataFrame:

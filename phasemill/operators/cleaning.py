@@ -66,15 +66,8 @@ def _middle(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
     return (rows[at, (length - 1) // 2] + rows[at, length // 2]) / 2
 
 
-def biweight(windows: pd.Series) -> pd.Series:
-    """Tukey biweight location of each sorted window: three steps from the median, frozen when degenerate.
-
-    The windows of a batch are the rows of one matrix, filled up with NaN.
-    """
-    length = windows.map(len).to_numpy()
-    x = np.full((len(windows), length.max(initial=1)), np.nan)
-    for row, w in zip(x, windows):
-        row[:len(w)] = w
+def biweight(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Tukey biweight location of the ``length`` leading values of each sorted row, NaN behind them: three steps from the median, frozen when degenerate."""
     m = _middle(x, length)
     moving = np.ones(len(x), dtype=bool)
     for _ in range(3):
@@ -85,22 +78,57 @@ def biweight(windows: pd.Series) -> pd.Series:
         total = weight.sum(axis=1)
         moving &= (mad > 0) & (total > 0)
         m = np.where(moving, np.nansum(weight * x, axis=1) / np.where(moving, total, 1.0), m)
-    return pd.Series(m)
+    return m
+
+
+def _centres(t: np.ndarray, y: np.ndarray, at: np.ndarray, half_window: float, budget: int = 1 << 19) -> np.ndarray:
+    """Biweight of ``y`` within ``half_window`` of each time in ``at``; ``t`` and ``at`` are sorted.
+
+    Windows are the rows of a matrix, filled up with NaN, of at most ``budget`` elements or one
+    window. Missing values are left out; a window without values has the centre NaN.
+    """
+    lo, hi = np.searchsorted(t, at - half_window, "left"), np.searchsorted(t, at + half_window, "right")
+    length, out = hi - lo, np.empty(len(at))
+    rows = max(1, budget // int(length.max(initial=1)))
+    for i in range(0, len(at), rows):
+        k = length[i:i + rows]
+        j = np.arange(k.max(initial=1))
+        inside = j < k[:, None]
+        x = np.sort(np.where(inside, y[np.where(inside, lo[i:i + rows, None] + j, 0)], np.nan), axis=1)
+        out[i:i + rows] = biweight(x, np.count_nonzero(~np.isnan(x), axis=1))
+    return out
+
+
+def _stencil(half_window: float):
+    def centres(t: pd.Series, y: pd.Series, anchor: pd.Series) -> pd.Series:
+        out = []
+        for t1, y1, a1 in zip(t, y, anchor):
+            t1, a1 = np.asarray(t1, dtype=float), np.asarray(a1, dtype=bool)
+            at = np.unique(t1[a1])
+            out.append([{"t": p, "centre": c} for p, c in zip(at, _centres(t1, np.asarray(y1, dtype=float), at, half_window)) if c == c])
+        return pd.Series(out)
+    return centres
 
 
 def anchor_centres(x: DataFrame, keys: list[str], *, stride: int, half_window: float, value: str) -> DataFrame:
     """Biweight centre at every ``stride``-th and the last point of each run.
 
-    ``x`` carries ``_n``, the 1-based position in the run, and ``_size``, its length. A
-    window holds at most window/cadence points, so collecting it is bounded by the instrument.
+    ``x`` carries ``_n``, the 1-based position in the run, and ``_size``, its length. A run is cut
+    into blocks of four half windows; a point within half a window of a block's edge is also sent
+    to the neighbour as halo, so a point is in two blocks at most and a block answers for its own
+    anchors alone. A block holds six half windows, so its length is bounded by the instrument.
     """
-    anchors = (x.filter(((F.col("_n") - 1) % stride == 0) | (F.col("_n") == F.col("_size")))
-               .select(*keys, F.col("t").alias("_at"), (F.col("t") - half_window).alias("lo"), (F.col("t") + half_window).alias("hi")))
-    near = point_join(x.select(*keys, "t", value), anchors, keys, "t", "lo", "hi", 2 * half_window,
-                      F.col("t").between(F.col("lo"), F.col("hi")))
-    centre = F.pandas_udf(biweight, "double")
-    return (near.groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(value)).alias("_w"))
-            .select(*keys, F.col("_at").alias("t"), centre("_w").alias("centre")))
+    width, reach = 4 * half_window, half_window * (1 + 1e-9) + 1e-9  # no rounding of an edge loses a point
+    t = F.col("t")
+    block = lambda c: F.floor(c / width)
+    anchor = ((F.col("_n") - 1) % stride == 0) | (F.col("_n") == F.col("_size"))
+    sent = x.select(*keys, "t", F.col(value).alias("_y"), anchor.alias("_a"),
+                    F.explode(F.array_distinct(F.array(block(t - reach), block(t), block(t + reach)))).alias("_block"))
+    own = F.col("_a") & (F.col("_block") == block(t))
+    blocks = sent.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("t", "_y", own.alias("own")))).alias("_p"))
+    blocks = blocks.filter(F.exists("_p", lambda p: p["own"]))
+    found = F.pandas_udf(_stencil(half_window), "array<struct<t:double,centre:double>>")
+    return blocks.select(*keys, F.explode(found("_p.t", "_p._y", "_p.own")).alias("_r")).select(*keys, "_r.*")
 
 
 def interpolated(lo_t: str, lo_y: str, hi_t: str, hi_y: str, t: str) -> Column:

@@ -174,9 +174,7 @@ def iterate(points: DataFrame, *, periods: tuple[float, float, int], durations:
         inputs = inputs.filter(F.col("n_total") >= min_points)
         end(inputs.filter("NOT sigma > 0"), step, "numerical_failure")
         inputs = inputs.filter("sigma > 0")
-        jobs = inputs.select("series_id", bs.linear_grid(F.lit(lo), F.lit(hi), n).alias("_grid"), F.array(*[F.lit(d) for d in durations]).alias("durations"))
-        pg = bs.box_search(inputs, bs.chunked_periods(jobs, "_grid", 512), oversample=oversample)
-        pg = cut_lineage(bs.with_sde(pg.withColumn("idx", F.col("offset") + F.col("_pos")).drop("offset", "_pos")))
+        pg = cut_lineage(bs.grid_search(inputs, periods=periods, durations=durations, oversample=oversample))
         top = pk.greedy_peaks(pg.filter("power > 0"), ["series_id"], n_peaks, pk.relative_clash(0.02))
         top = _transits(current, top.select("series_id", "rank", "idx").join(pg, ["series_id", "idx"]))
         top = cut_lineage(_with_duplicates(top, accepted).select("series_id", "rank", "sde", "n_transits", "duplicate_of_step", *_FOUND))

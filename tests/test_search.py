@@ -75,6 +75,19 @@ def test_chunk_size_does_not_change_the_periodogram(curves):
     assert key(bs.periodogram(curves, chunk=7, **kw)) == key(bs.periodogram(curves, chunk=60, **kw))
 
 
+def test_a_series_is_split_by_work_and_searched_in_blocks(curves):
+    kw = dict(value="v", periods=(1.0, 9.0, 60), durations=[0.2], oversample=4, cell_days=0.02)
+    rows = lambda df: {(r.series_id, r.idx): (r.period, r.power, r.epoch, r.n_in) for r in df.collect()}
+    whole = rows(bs.periodogram(curves, **kw))
+    # Series 3 has few cells and stays whole; the others are split, in parts of different length.
+    assert rows(bs.periodogram(curves, work=9000, **kw)) == whole
+    assert len(whole) == 180 and {i for s, i in whole if s == 1} == set(range(60))
+    periods = np.linspace(1.0, 9.0, 5000)
+    blocks = bs._blocks(100_000, periods, 0.01)
+    assert np.array_equal(np.concatenate(blocks), periods) and max(map(len, blocks)) * 100_000 <= bs.BLOCK + 100_000
+    assert len(bs._blocks(2 * bs.BLOCK, periods[:5], 0.01)) == 5
+
+
 def test_greedy_peaks_respect_the_separation(spark):
     rows = [(1, i, 1.0 + 0.01 * i, float(p)) for i, p in enumerate([1, 5, 9, 8, 2, 7, 3])]
     g = spark.createDataFrame(rows, "series_id int, idx bigint, period double, power double")
@@ -132,7 +145,32 @@ def test_biweight_of_a_batch_equals_one_window_at_a_time():
             w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
             m = (w * x).sum() / w.sum()
         want.append(m)
-    assert biweight(pd.Series(windows)).tolist() == pytest.approx(want, rel=1e-12)
+    filled = np.full((len(windows), 31), np.nan)
+    for row, w in zip(filled, windows):
+        row[:len(w)] = w
+    assert biweight(filled, np.array([len(w) for w in windows])).tolist() == pytest.approx(want, rel=1e-12)
+
+
+def test_block_stencil_equals_each_window_and_sends_a_point_to_two_blocks_at_most(spark):
+    from phasemill.operators import cleaning
+    rng = np.random.default_rng(12)
+    # Points and windows on block edges, a sparse run, a missing value and a run of one point.
+    t = np.unique(np.r_[np.arange(0, 12, 0.25), np.round(rng.random(200) * 12, 3), 40.0, 41.9, 90.0])
+    v = 1 + 0.1 * rng.normal(size=len(t))
+    v[7] = np.nan
+    rows = [(1, 0, i + 1, len(t), float(a), None if np.isnan(b) else float(b)) for i, (a, b) in enumerate(zip(t, v))] + [(2, 0, 1, 1, 3.0, 5.0)]
+    x = spark.createDataFrame(rows, "series_id int, segment_id bigint, _n bigint, _size bigint, t double, v double")
+    got = {(r.series_id, r.t): r.centre for r in cleaning.anchor_centres(x, ["series_id", "segment_id"], stride=7, half_window=0.5, value="v").collect()}
+    at = t[(np.arange(len(t)) % 7 == 0) | (np.arange(len(t)) == len(t) - 1)]
+    want = {(2, 3.0): 5.0}
+    for a in at:
+        w = v[(t >= a - 0.5) & (t <= a + 0.5)]
+        w = np.sort(w[~np.isnan(w)])
+        if len(w):
+            want[1, a] = cleaning.biweight(w[None, :], np.array([len(w)]))[0]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    plan = cleaning.anchor_centres(x, ["series_id", "segment_id"], stride=7, half_window=0.5, value="v")._jdf.queryExecution().toString()
+    assert "Join" not in plan
 
 
 def test_removal_failures_are_named_in_order_and_fail_closed(spark):
