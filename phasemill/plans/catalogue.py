@@ -56,7 +56,7 @@ def _(t):
 
 @query("id02_alias_multipliers", "SELECT series_id, a_cid, b_cid, list_aggregate(list_transform(mult, lambda m: CAST(CAST(round(m*12) AS BIGINT) AS VARCHAR)), 'string_agg', ',') AS twelfths FROM pp WHERE len(mult)>0", ctes=PAIRS)
 def _(t):
-    p = idt.pairs(*both(t), 0.0, 30.0, 0.5).filter(F.size("multipliers") > 0)
+    p = idt.near_pairs(*both(t), 0.0, 30.0, 0.5).filter(F.size("multipliers") > 0)
     return p.select("series_id", "a_cid", "b_cid", F.concat_ws(",", F.transform("multipliers", lambda m: F.round(m * 12).cast("bigint").cast("string"))).alias("twelfths"))
 
 
@@ -342,12 +342,16 @@ def _(t):
 def _(t):
     from phasemill.operators.iterate import harmonic_duplicate
     sets = {"unity": (1.0,), "octave": (0.5, 1.0, 2.0), "wide": (0.25, 0.5, 1.0, 2.0, 4.0)}
-    # One pass over the pairs counts for all rule sets.
-    counts = [F.count(F.lit(1)).alias("pairs")]
+    # The index gives the pairs that any set blocks; one pass counts for all sets. The total comes from counts per series.
+    a, b = both(t)
+    counts = []
     for name, ms in sets.items():
         hit = harmonic_duplicate("b_period", "b_duration", F.lit(3), "a_period", "a_duration", ms)
         counts += [F.count_if(hit).alias(f"{name}_pairs"), F.count_if(hit & F.col("direct")).alias(f"{name}_direct")]
-    row = idt.pairs(*both(t), 0.0, 30.0, 0.5).agg(*counts)
+    sizes = a.groupBy("series_id").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("series_id").agg(F.count(F.lit(1)).alias("nb")), "series_id")
+    total = sizes.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("pairs"))
+    near = idt.harmonic_pairs(a, b, sorted({m for ms in sets.values() for m in ms}), 3, 0.0, 30.0, 0.5)
+    row = near.agg(*counts).join(total)  # one row each
     rows = [F.struct(F.lit(name).alias("name"), "pairs", F.col(f"{name}_pairs").alias("blocked_pairs"), F.col(f"{name}_direct").alias("blocked_direct")) for name in sets]
     return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -355,14 +359,18 @@ def _(t):
 @query("id18_tolerance_sweep", "SELECT tol, count(*) FILTER (dist<=tol) AS edges, count(DISTINCT CASE WHEN dist<=tol THEN a_cid END) AS matched_old, count(DISTINCT CASE WHEN dist<=tol THEN b_cid END) AS matched_new FROM pp, (VALUES (0.1::DOUBLE),(0.25),(0.5),(1.0)) z(tol) GROUP BY tol", ctes=PAIRS)
 def _(t):
     tols = F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 1.0)])
-    x = idt.pairs(*both(t), 0.0, 30.0, 0.5).withColumn("tol", F.explode(tols))
+    # The index takes the widest tolerance; an edge of a narrower one is among its pairs.
+    x = idt.near_pairs(*both(t), 0.0, 30.0, 1.0).withColumn("tol", F.explode(tols))
     hit = F.col("dist") <= F.col("tol")
     return x.groupBy("tol").agg(F.count_if(hit).alias("edges"), F.count_distinct(F.when(hit, F.col("a_cid"))).alias("matched_old"), F.count_distinct(F.when(hit, F.col("b_cid"))).alias("matched_new"))
 
 
 @query("id19_best_reference", "SELECT series_id, b_cid, arg_min(a_cid, (e, a_cid)) AS reference, round(min(e),8) AS rel_err FROM (SELECT *, least(abs(bp/ap-1), abs(bp/(2*ap)-1), abs(bp/(0.5*ap)-1)) AS e FROM pp) WHERE e<=0.3 GROUP BY ALL", ctes=PAIRS)
 def _(t):
-    p = idt.pairs(*both(t), 0.0, 30.0, 0.5)
+    a, b = both(t)
+    slots = [(0.7 * m * F.col("a_period"), 1.3 * m * F.col("a_period")) for m in (1.0, 2.0, 0.5)]
+    p = idt.probe_join(a.select("series_id", F.col("cid").alias("a_cid"), F.col("period").alias("a_period")),
+                       b.select("series_id", F.col("cid").alias("b_cid"), F.col("period").alias("b_period")), slots, cell=0.1)
     err = F.least(*[F.abs(F.col("b_period") / (m * F.col("a_period")) - 1) for m in (1.0, 2.0, 0.5)])
     x = p.withColumn("e", err).filter("e <= 0.3")
     return x.groupBy("series_id", "b_cid").agg(F.min_by("a_cid", F.struct("e", "a_cid")).alias("reference"), F.round(F.min("e"), 8).alias("rel_err"))
