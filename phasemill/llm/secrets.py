@@ -5,7 +5,10 @@ inside or outside from its shape, the word before it and whether an assignment
 sign stands between, the shape after it, and how often the whole text assigns.
 The field is trained here: the pattern matches of a bounded, hash-drawn sample of
 about ``SAMPLE`` documents are the labels, windows of ``WINDOW`` tokens around
-them and around other tokens are the sequences. Texts are decoded whole by
+them and around other tokens are the sequences. So that the field finds what the patterns
+do not, windows with planted forms join them: made-up values behind a word that hints at
+a secret are secrets whatever the word is; the same values elsewhere, and plain words
+behind such a word, are not. Texts are decoded whole by
 Viterbi; a token whose outside score wins whatever its neighbours are cuts the
 chain, so only short stretches between such tokens need the recursion (the result
 is the same).
@@ -34,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-SAMPLE, WINDOW, BUCKETS, STEPS, DECAY = 5000, 9, 512, 40, 0.1
+SAMPLE, WINDOW, BUCKETS, STEPS, DECAY, PLANTED = 5000, 9, 512, 80, 0.1, 4000
 TOKEN = np.zeros(256, bool)
 for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.-":
     TOKEN[_c] = True
@@ -63,7 +66,7 @@ def _find(data: bytes, word: bytes) -> list[int]:
 
 
 # Fixed parts of words that name a secret.
-HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred")
+HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred", b"bearer")
 HEXDIGIT = DIGIT | _is(97, 102)
 
 
@@ -229,6 +232,44 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x.astype(np.int32), marked.astype(np.int32), used
 
 
+def _made_up(rng: np.random.Generator, n: int, long: bool) -> np.ndarray:
+    """Shapes of ``n`` random values of 8 to 40 characters (``long``: 20 to 40 of both cases) with a digit at least."""
+    letters, digits, marks = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_.-"
+    values = []
+    for size, style in zip(rng.integers(20 if long else 8, 41, n), rng.integers(0, 4, n)):
+        pool = letters[:26] + digits if style == 0 and not long else letters + digits + (marks if style == 1 else "")
+        made = [pool[k] for k in rng.integers(0, len(pool), size)]
+        made[int(rng.integers(1, size - 1))] = digits[int(rng.integers(0, 10))]
+        values.append("k" + "".join(made[1:-1]) + "Q" if style else "".join(made).strip(marks))
+    return tokens(*text_bytes(pa.array(values)))["shape"]
+
+
+def _planted(x: np.ndarray, tags: np.ndarray, used: np.ndarray, n: int = PLANTED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``n`` windows without a secret, drawn with a fixed seed, with a planted token in the middle.
+
+    Three in five are secrets: any value assigned to a hinting word, or a long one that only follows
+    one. The others are not: the window's own token behind a hinting word, and values without one,
+    or short ones that only follow one. The word before is unknown in all of them.
+    """
+    rng, mid = np.random.default_rng(7), WINDOW // 2
+    free = np.flatnonzero(~tags.any(1) & used[:, mid] & used[:, mid - 1])
+    if not len(free):
+        return x[:0], tags[:0], used[:0]
+    pick, kind = rng.choice(free, n), np.arange(n) % 5
+    x, tags, used = x[pick].copy(), tags[pick].copy(), used[pick]
+    any_, long = _made_up(rng, n, False), _made_up(rng, n, True)
+    length = any_ // (N_SHAPES // 5)
+    shape = np.select([kind < 2, kind == 2, kind == 3], [any_, long, x[:, mid, 0]], any_)
+    hint = np.select([kind < 2, kind == 2, kind == 3], [3, 1, rng.choice([3, 3, 1], n)], rng.choice([0, 2], n))
+    hint[(kind == 4) & (length < 3) & (rng.random(n) < 0.5)] = 1
+    x[:, mid, 0], x[:, mid, 1], x[:, mid, 2] = shape, BUCKETS + 1, hint
+    x[:, mid - 1, 3] = shape // (N_SHAPES // 15)
+    signs = np.where(hint >= 2, np.maximum(x[:, mid, 4], rng.integers(1, 3, n)), x[:, mid, 4])
+    x[:, :, 4] = signs[:, None]
+    tags[:, mid] = kind < 3
+    return x, tags, used
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """Train on the windows of a hash-drawn sample of documents."""
     total = max(1, docs.count())
@@ -252,7 +293,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         return field
     flat = np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), -1)
     k = len(FEATURES) * WINDOW
-    return field.train(flat[:, :k].reshape(-1, WINDOW, len(FEATURES)), flat[:, k: k + WINDOW], flat[:, k + WINDOW:].astype(bool))
+    own = flat[:, :k].reshape(-1, WINDOW, len(FEATURES)), flat[:, k: k + WINDOW], flat[:, k + WINDOW:].astype(bool)
+    return field.train(*(np.concatenate(both) for both in zip(own, _planted(*own))))
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
