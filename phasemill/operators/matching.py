@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasemill.functions.phase import cycle, in_window, phase_distance
+from phasemill.functions.phase import cycle, in_window
 from phasemill.operators.contracts import first_reason
+from phasemill.operators.rangejoin import overlap_join, point_join
 
 EPSILON = 1e-9
+#: Windows of the index are wider by this much; the exact test of a point follows.
+SLACK = 1e-6
 
 
 def derived_epoch(reference: Column, period: Column, centre: Column, start: Column, end: Column) -> Column:
@@ -36,35 +39,68 @@ def validate(sel: DataFrame, *, min_window: float, width_max: float, period_min:
         ("periodDays:OUTSIDE_PERIOD_GRID", (p < period_min) | (p > period_max))]))
 
 
-def observed_centres(candidates: DataFrame, runs: DataFrame, start: float, end: float) -> DataFrame:
-    """Add the runs of the series and the candidate's event centres that fall on data.
+def event_windows(models: DataFrame, first: Column, last: Column) -> DataFrame:
+    """One row per model and event between two times: its number ``k``, ``centre``, and a window ``_lo`` to ``_hi``.
 
-    Both lists are bounded: runs by the grid, centres by span/period.
+    Rows of one model are bounded by span over period. The window is a little wider than the event; the exact
+    test of a point decides its edge.
+    """
+    x = models.withColumn("k", F.explode(F.sequence(nth_event(first), nth_event(last))))
+    half = F.least("duration", "period") / 2 * (1 + SLACK) + SLACK
+    x = x.withColumn("centre", F.col("epoch") + F.col("k") * F.col("period"))
+    return x.withColumns({"_lo": F.col("centre") - half, "_hi": F.col("centre") + half})
+
+
+def nth_event(t: Column) -> Column:
+    return cycle(t, F.col("period"), F.col("epoch")).cast("bigint")
+
+
+def event_points(obs: DataFrame, models: DataFrame, *, cell: float = 1.0) -> DataFrame:
+    """Each point with every model whose event holds it, and the event's number ``k``.
+
+    Windows meet the points of a series in time cells, so a point meets only the models it may lie in.
+    """
+    spans = obs.groupBy("series_id").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    events = event_windows(models.join(spans, "series_id"), F.col("_first"), F.col("_last"))
+    # A point belongs to its nearest event, so wide windows that overlap count it once.
+    inside = in_window("t", F.col("period"), F.col("epoch"), F.col("duration")) & (nth_event(F.col("t")) == F.col("k"))
+    return point_join(obs.select("series_id", "t"), events, ["series_id"], "t", "_lo", "_hi", cell, inside).drop("_first", "_last", "_lo", "_hi", "centre")
+
+
+def observed_events(candidates: DataFrame, runs: DataFrame, start: float, end: float, *, cell: float = 1.0) -> DataFrame:
+    """The parts ``a`` to ``b`` of each candidate's event windows that lie on data, one row per event ``k`` and run.
+
+    Windows meet the runs of a series in time cells; a candidate has at most span over period events, and an
+    event without data has no row.
     """
-    packed = runs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("r0", "r1"))).alias("runs"))
-    x = candidates.join(packed, "series_id")
     lo = F.floor((F.lit(start) - F.col("epoch")) / F.col("period")) - 1
     hi = F.ceil((F.lit(end) - F.col("epoch")) / F.col("period")) + 1
-    half = F.col("duration") / 2
-    all_centres = F.transform(F.sequence(lo, hi), lambda k: F.col("epoch") + k * F.col("period"))
-    seen = F.filter(all_centres, lambda c: F.exists("runs", lambda r: F.greatest(c - half, r.r0) <= F.least(c + half, r.r1)))
-    return x.withColumn("centres", seen)
-
-
-def evaluate(sel: DataFrame, candidates: DataFrame, multipliers: list[float], *, min_window: float, ratio_min: float, ratio_max: float,
-             min_overlap: int, transits_cap: int | None) -> DataFrame:
-    """The four conditions of every (selection, candidate, multiplier)."""
-    c = candidates.select("series_id", F.col("cid").alias("candidate_id"), F.col("period").alias("c_period"), F.col("epoch").alias("c_epoch"),
-                          F.col("duration").alias("c_dur"), "centres", "runs")
-    x = sel.join(c, "series_id")
-    u_dur, half = F.col("width") * F.col("period"), F.greatest(F.col("c_dur") / 2, F.lit(min_window / 2))
+    x = candidates.select("series_id", F.col("cid").alias("candidate_id"), "period", "epoch", F.col("duration").alias("c_dur"), F.explode(F.sequence(lo, hi)).alias("k"))
+    x = x.withColumn("centre", F.col("epoch") + F.col("k") * F.col("period"))
+    x = x.withColumns({"_lo": F.col("centre") - F.col("c_dur") / 2, "_hi": F.col("centre") + F.col("c_dur") / 2})
+    met = overlap_join(x, runs.select("series_id", "r0", "r1"), ["series_id"], ("_lo", "_hi"), ("r0", "r1"), cell)
+    return met.select("series_id", "candidate_id", "k", "centre", F.greatest("_lo", "r0").alias("a"), F.least("_hi", "r1").alias("b"))
 
-    def overlaps(centre):
-        mine = F.col("epoch") + F.floor((centre - F.col("epoch")) / F.col("period") + 0.5) * F.col("period")
-        lo, hi = F.greatest(centre - F.col("c_dur") / 2, mine - u_dur / 2), F.least(centre + F.col("c_dur") / 2, mine + u_dur / 2)
-        return (lo <= hi) & F.exists("runs", lambda r: F.greatest(lo, r.r0) <= F.least(hi, r.r1))
 
-    x = x.withColumns({"observed": F.size("centres"), "overlap": F.size(F.filter("centres", overlaps)), "ratio": u_dur / F.col("c_dur")}).drop("centres", "runs")
+def evaluate(sel: DataFrame, candidates: DataFrame, events: DataFrame, multipliers: list[float], *, min_window: float, ratio_min: float, ratio_max: float,
+             min_overlap: int, transits_cap: int | None, id_col: str = "id") -> DataFrame:
+    """The four conditions of every (selection, candidate, multiplier).
+
+    ``events`` are the candidates' observed events (see ``observed_events``). Selection ids, and candidate ids
+    within a series, are keys. A candidate without data has no observed event and passes nowhere.
+    """
+    observed = events.groupBy("series_id", "candidate_id").agg(F.count_distinct("k").alias("observed"))
+    c = candidates.select("series_id", F.col("cid").alias("candidate_id"), F.col("period").alias("c_period"), F.col("epoch").alias("c_epoch"), F.col("duration").alias("c_dur"))
+    c = c.join(observed, ["series_id", "candidate_id"], "left").fillna(0, ["observed"])
+    # The selection's own event nearest to each observed one; what they share must lie on data as well.
+    mine = F.col("epoch") + F.floor((F.col("centre") - F.col("epoch")) / F.col("period") + 0.5) * F.col("period")
+    reach = F.col("width") * F.col("period") / 2
+    shared = F.greatest(F.col("a"), mine - reach) <= F.least(F.col("b"), mine + reach)
+    hits = sel.select(id_col, "series_id", "period", "epoch", "width").join(events, "series_id").filter(shared)
+    overlap = hits.groupBy(id_col, "candidate_id").agg(F.count_distinct("k").alias("overlap"))
+    x = sel.join(c, "series_id").join(overlap, [id_col, "candidate_id"], "left").fillna(0, ["overlap"])
+    u_dur, half = F.col("width") * F.col("period"), F.greatest(F.col("c_dur") / 2, F.lit(min_window / 2))
+    x = x.withColumn("ratio", u_dur / F.col("c_dur"))
     n = F.least(F.col("observed"), F.lit(transits_cap)) if transits_cap else F.col("observed")
     modulus = F.least("period", "c_period")
     off = F.col("epoch") - F.col("c_epoch")
@@ -81,18 +117,22 @@ def evaluate(sel: DataFrame, candidates: DataFrame, multipliers: list[float], *,
 def decide(sel: DataFrame, evals: DataFrame, *, min_gap: float, dominance: float, overlap_tolerance: float, id_col: str = "id") -> DataFrame:
     """Match status of each selection: direct before harmonic, then the score, then the dominance rules."""
     passed = evals.filter("pass")
-    # Best direct and best harmonic reading per candidate; a selection has few candidates.
+    # Best direct and best harmonic reading per candidate.
     best = passed.groupBy(id_col, "candidate_id", (F.col("multiplier") == 1).alias("direct")).agg(
         F.min_by(F.struct("score", "overlap_ratio", "multiplier"), F.struct("score", "multiplier")).alias("e")).select(id_col, "candidate_id", "direct", "e.*")
     any_direct = best.groupBy(id_col).agg(F.bool_or("direct").alias("_d"))
     pool = best.join(any_direct, id_col).filter(F.col("direct") == F.col("_d"))
-    ranked = pool.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "candidate_id", "overlap_ratio", "multiplier"))), 1, 2).alias("top"), F.count(F.lit(1)).alias("n_pass"))
-    x = sel.select(id_col).join(ranked, id_col, "left")
-    one, two = F.col("top")[0], F.get("top", F.lit(1))
+    # Two rows a selection decide it; the group limit cuts the others before they are shuffled.
+    order = Window.partitionBy(id_col).orderBy("score", "candidate_id")
+    ranked = pool.withColumn("_rank", F.row_number().over(order)).filter("_rank <= 2")
+    reading = F.struct("score", "candidate_id", "overlap_ratio", "multiplier")
+    top = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("_rank") == r, reading)).alias(f"_{r}") for r in (1, 2)])
+    x = sel.select(id_col).join(top, id_col, "left")
+    one, two = F.col("_1"), F.col("_2")
     tie = F.abs(one.score - two.score) <= EPSILON
     bad = tie | ((two.score - one.score) < min_gap) | (one.score > dominance * two.score) | (one.overlap_ratio < two.overlap_ratio - overlap_tolerance)
     won = F.when(one.multiplier == 1, "matched").otherwise("matched_harmonic")
-    status = F.when(F.col("n_pass").isNull(), "not_matched").when(F.col("n_pass") == 1, won).when(bad, "ambiguous_match").otherwise(won)
+    status = F.when(one.isNull(), "not_matched").when(two.isNull(), won).when(bad, "ambiguous_match").otherwise(won)
     x = x.withColumn("status", status)
     adopted = F.col("status").isin("matched", "matched_harmonic")
     return x.select(id_col, "status", F.when(adopted, one.candidate_id).alias("candidate_id"), F.when(adopted, one.multiplier).alias("multiplier"))
@@ -118,10 +158,8 @@ def injection_grid(series: DataFrame, periods: list[float], durations: list[floa
 
 def observed_injections(grid: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:
     """Add the observed points and events of each injected signal."""
-    packed = grid.groupBy("series_id").agg(F.collect_list(F.struct(*keys, "period", "epoch", "duration")).alias("_g"))
-    x = obs.select("series_id", "t").join(packed, "series_id").select("series_id", "t", F.explode("_g").alias("g")).select("series_id", "t", "g.*")
-    x = x.filter(in_window("t", F.col("period"), F.col("epoch"), F.col("duration")))
-    seen = x.groupBy("series_id", *keys, cycle("t", F.col("period"), F.col("epoch")).alias("_c")).agg(F.count(F.lit(1)).alias("_k"))
+    inside = event_points(obs, grid.select("series_id", *keys, "period", "epoch", "duration"))
+    seen = inside.groupBy("series_id", *keys, "k").agg(F.count(F.lit(1)).alias("_k"))
     counts = seen.groupBy("series_id", *keys).agg(F.count(F.lit(1)).alias("n_transits"), F.sum("_k").alias("n_points"))
     return grid.join(counts, ["series_id", *keys], "left").fillna(0, ["n_transits", "n_points"])
 
@@ -133,11 +171,14 @@ def match_injections(injections: DataFrame, peaks: DataFrame, obs: DataFrame, *,
     """
     p = peaks.select("series_id", "rank", F.col("period").alias("p_period"), F.col("epoch").alias("p_epoch"), F.col("duration").alias("p_duration"))
     x = injections.join(p, "series_id", "left")
-    windows = obs.select("series_id", "t").join(x.filter("rank IS NOT NULL").select("series_id", "rank", "period", "epoch", "duration", "p_period", "p_epoch", "p_duration"), "series_id")
-    a = in_window("t", F.col("period"), F.col("epoch"), F.col("duration"))
-    b = in_window("t", F.col("p_period"), F.col("p_epoch"), F.col("p_duration"))
-    both = windows.groupBy("series_id", "rank").agg(F.count_if(a & b).alias("_s"), F.count_if(a).alias("_a"), F.count_if(b).alias("_b"))
-    x = x.join(both, ["series_id", "rank"], "left").withColumn("window_overlap", F.try_divide(F.col("_s").cast("double"), F.least("_a", "_b")))
+    # Points of the injected events, of the peaks' events, and of both: no point meets a model away from its events.
+    own = event_points(obs, injections.select("series_id", "period", "epoch", "duration")).select("series_id", "t")
+    in_a = own.groupBy("series_id").agg(F.count(F.lit(1)).alias("_a"))
+    at = p.select("series_id", "rank", F.col("p_period").alias("period"), F.col("p_epoch").alias("epoch"), F.col("p_duration").alias("duration"))
+    in_b = event_points(obs, at).groupBy("series_id", "rank").agg(F.count(F.lit(1)).alias("_b"))
+    both = own.join(p, "series_id").filter(in_window("t", F.col("p_period"), F.col("p_epoch"), F.col("p_duration"))).groupBy("series_id", "rank").agg(F.count(F.lit(1)).alias("_s"))
+    x = x.join(in_a, "series_id", "left").join(in_b, ["series_id", "rank"], "left").join(both, ["series_id", "rank"], "left").fillna(0, ["_a", "_b", "_s"])
+    x = x.withColumn("window_overlap", F.try_divide(F.col("_s").cast("double"), F.least("_a", "_b")))
     drift = lambda m: F.abs(F.col("p_period") / m - F.col("period")) * F.greatest("n_transits", F.lit(1)) / (F.col("duration") / 2)
     near = F.coalesce(F.col("window_overlap") >= overlap_min, F.lit(False))
     kind = F.when(near & (drift(1.0) <= 1), "direct").when(near & (drift(0.5) <= 1), "alias_half").when(near & (drift(2.0) <= 1), "alias_double")

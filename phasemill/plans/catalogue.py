@@ -197,9 +197,11 @@ MATCHED = BINNED + "," + EVENTS_OF + "," + side("sa", "purchase") + "," + SEL
 
 def evaluations(t):
     sel = selections(t)
-    cand = cut_lineage(mt.observed_centres(signals(t, "purchase"), observed(t), 0.0, 30.0))
+    cand = cut_lineage(signals(t, "purchase"))
+    # Observed events are counted per candidate and met by the selections: written once.
+    events = cut_lineage(mt.observed_events(cand, observed(t), 0.0, 30.0))
     # The readings feed the ranking twice and the hints once: written once.
-    return sel, cut_lineage(mt.evaluate(sel, cand, [0.5, 1.0, 2.0], min_window=0.1, ratio_min=0.8, ratio_max=1.6, min_overlap=1, transits_cap=6))
+    return sel, cut_lineage(mt.evaluate(sel, cand, events, [0.5, 1.0, 2.0], min_window=0.1, ratio_min=0.8, ratio_max=1.6, min_overlap=1, transits_cap=6))
 
 
 @query("id11_submission_evaluations", EVAL + " SELECT id, candidate_id, multiplier, observed, overlap, round(e_period,6) AS e_period, round(e_epoch,6) AS e_epoch, round(e_duration,6) AS e_duration, pass FROM es", "obs", MATCHED)
