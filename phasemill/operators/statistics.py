@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasemill.functions.scalars import json_strings
 from phasemill.operators.medians import grouped_median
 from phasemill.operators.ordered import latest
 
 MATCHES = ("matched", "matched_harmonic")
+CHECKS = ("oddeven", "secondary", "ushape")
+METRIC_UNITS = {"firstMatchAccuracy": "PERCENT", "submissionsPerStar": "SUBMISSIONS_PER_STAR", "harmonicRecognitionRate": "PERCENT",
+                "evidencePerSubmission": "CHECKS_PER_SUBMISSION"}
 
 
 def agrees() -> Column:
@@ -39,27 +43,62 @@ def votes(subs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def member_metrics(members: DataFrame, subs: DataFrame, dispositions: DataFrame) -> DataFrame:
-    """Agreement, activity and recognition counts of every member, zero where there is none."""
-    graded = graded_first_matches(subs, dispositions).groupBy("user_id").agg(
-        F.count_if("agrees").alias("agreed"), F.count(F.lit(1)).alias("graded"))
+    """Agreement, activity, recognition and evidence counts of every member, zero where there is none.
+
+    ``subs`` carry their ``kind`` and the JSON list ``checks``; only candidate submissions count evidence, each
+    check of ``CHECKS`` once a submission. A signal is recognised once, by its earliest match.
+    """
+    first = first_matches(subs).join(dispositions.select("candidate_id", "truth", "answer_class"), "candidate_id", "left")
+    graded = F.coalesce(F.col("answer_class") == "graded", F.lit(False))
+    found = first.groupBy("user_id").agg(F.count_if(graded & agrees()).alias("agreed"), F.count_if(graded).alias("graded"),
+                                         F.count(F.lit(1)).alias("recognized"), F.count_if(F.col("match_result") == "matched_harmonic").alias("harmonic"))
+    named = F.size(F.array_intersect(F.coalesce(json_strings(F.col("checks")), F.array().cast("array<string>")), F.array(*[F.lit(c) for c in CHECKS])))
+    candidate = F.col("kind") == "candidate"
     activity = subs.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("submissions"), F.count_distinct("star_id").alias("stars"),
-        F.count_if(F.col("match_result").isin(*MATCHES)).alias("recognized"), F.count_if(F.col("match_result") == "matched_harmonic").alias("harmonic"))
-    return members.select("user_id").join(graded, "user_id", "left").join(activity, "user_id", "left").fillna(0)
+        F.count(F.lit(1)).alias("submissions"), F.count_distinct("star_id").alias("stars"), F.count_if(candidate).alias("candidates"),
+        F.coalesce(F.sum(F.when(candidate, named).cast("bigint")), F.lit(0)).alias("evidence"))
+    return members.select("user_id").join(found, "user_id", "left").join(activity, "user_id", "left").fillna(0)
 
 
 def metric_rows(metrics: DataFrame) -> DataFrame:
     """One row per member and metric; the value is null where the denominator is zero."""
     part = lambda name, num, den, scale: F.struct(F.lit(name).alias("metric"), F.try_divide(F.col(num) * scale, F.col(den)).alias("value"))
     rows = F.array(part("firstMatchAccuracy", "agreed", "graded", 100.0), part("submissionsPerStar", "submissions", "stars", 1.0),
-                   part("harmonicRecognitionRate", "harmonic", "recognized", 100.0))
+                   part("harmonicRecognitionRate", "harmonic", "recognized", 100.0), part("evidencePerSubmission", "evidence", "candidates", 1.0))
     return metrics.select("user_id", F.explode(rows).alias("m")).select("user_id", "m.*")
 
 
+def active_cohort(members: DataFrame, subs: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Active members with a submission from ``start`` up to but not at ``end``."""
+    seen = subs.filter((F.col("created_at") >= start) & (F.col("created_at") < end)).select("user_id").distinct()
+    return members.filter("status = 'active'").select("user_id").join(seen, "user_id", "left_semi")
+
+
 def cohort_medians(rows: DataFrame) -> DataFrame:
-    """Exact median of each metric over the members that have it."""
-    sizes = rows.groupBy("metric").agg(F.count("value").alias("n_members"))
-    return sizes.join(grouped_median(rows, "metric", F.col("value"), "median"), "metric", "left")
+    """Exact median of each metric over the members that have it, one row per metric also without a member."""
+    units = rows.sparkSession.createDataFrame(list(METRIC_UNITS.items()), "metric string, unit string")
+    sizes = rows.groupBy("metric").agg(F.count(F.lit(1)).alias("n_cohort"), F.count("value").alias("n_members"))
+    x = units.join(sizes, "metric", "left").fillna(0, ["n_cohort", "n_members"])
+    x = x.join(grouped_median(rows, "metric", F.col("value"), "median"), "metric", "left")
+    return x.withColumn("status", F.when(F.col("n_members") == 0, "NO_SAMPLE").otherwise("AVAILABLE"))
+
+
+def kpi_counts(df: DataFrame, named: list[tuple[str, str, Column, Column | None]]) -> DataFrame:
+    """One aggregate over ``df``, turned into (key, unit, numerator, denominator) rows."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    aggs = [zero(c).alias(f"{side}{i}") for i, (_, _, num, den) in enumerate(named) for side, c in (("n", num), ("d", den)) if c is not None]
+    rows = [F.struct(F.lit(key).alias("key"), F.lit(unit).alias("unit"), F.col(f"n{i}").alias("numerator"),
+                     (F.lit(None).cast("bigint") if den is None else F.col(f"d{i}")).alias("denominator")) for i, (key, unit, _, den) in enumerate(named)]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def kpi_values(rows: DataFrame, unknown: tuple[str, ...] = ()) -> DataFrame:
+    """Add value, status and reason; rates are per cent, and keys in ``unknown`` carry their reason."""
+    n, d = F.col("numerator"), F.col("denominator")
+    empty = F.coalesce(d == 0, F.lit(False))
+    value = F.when(d.isNull(), n.cast("double")).otherwise(F.try_divide(n * 100.0, d))
+    reason = F.when(F.col("key").isin(*unknown), F.upper(F.regexp_replace("key", "([a-z])([A-Z])", "$1_$2"))).when(empty, "ZERO_DENOMINATOR")
+    return rows.withColumns({"value": F.round(value, 6), "status": F.when(empty, "NO_SAMPLE").otherwise("AVAILABLE"), "reason": reason})
 
 
 def kpis(pieces: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -11,6 +11,7 @@ from phasemill.operators.sizing import small
 from phasemill.plans.registry import query, set_digest_sql
 from phasemill.plans.relational import LATEST, latest_matches
 from phasemill.plans.scalars import evidence
+from phasemill.session import cut_lineage
 
 D = "dummy AS (SELECT 1)"
 
@@ -84,6 +85,72 @@ def _(t):
     return out.unionByName(a).unionByName(st.kpis([("uniqueStars", stars), ("uniqueRecognizedSignals", sig)]))
 
 
+STAGES = """, c AS (SELECT s_suppkey AS candidate_id, CAST(floor(s_suppkey/5) AS BIGINT) AS star_id, s_acctbal>1000 AS discoverable FROM supplier), m AS (SELECT DISTINCT user_id, candidate_id FROM sub WHERE match_result IN ('matched','matched_harmonic')),
+       us AS (SELECT DISTINCT user_id, star_id FROM sub), a AS (SELECT us.user_id, us.star_id, count(*) AS active, count(*) FILTER (discoverable AND m.candidate_id IS NULL) AS open, count(*) FILTER (NOT discoverable AND m.candidate_id IS NULL) AS hidden FROM us JOIN c USING (star_id) LEFT JOIN m ON m.user_id=us.user_id AND m.candidate_id=c.candidate_id GROUP BY ALL),
+       stg AS (SELECT *, CASE WHEN open>0 THEN 'analysis' WHEN hidden>0 THEN 'completed_with_hidden' ELSE 'completed' END AS stage FROM a)"""
+
+# A star is unlocked by viewing it; a vote is public while the post that carries it is visible.
+REPORT = KPI_SQL.replace("v AS (SELECT *, row_number()", "v0 AS (SELECT act.* FROM act JOIN posts ON post_id=id WHERE posts.status='visible'), v1 AS (SELECT *, row_number()").replace("FROM act)", "FROM v0)") + STAGES + """,
+pv AS (SELECT * FROM v1 WHERE rn=1), un AS (SELECT DISTINCT user_id, star_id FROM act WHERE match_result='ambiguous_match'), ach AS (SELECT fm.user_id, fm.candidate_id, disposition, CASE disposition WHEN 'confirmed' THEN 'confirmed' WHEN 'fp' THEN 'fp' ELSE 'unconfirmed' END AS kind FROM fm LEFT JOIN disp USING (candidate_id) WHERE rn=1),
+pr AS (SELECT stg.* FROM stg JOIN mem USING (user_id) WHERE status='active' AND stage='completed'),
+counts(key, unit, numerator, denominator) AS (SELECT 'discoveredStars', 'STAR', count(*), NULL::BIGINT FROM un UNION ALL SELECT 'uniqueDiscoveredStars', 'STAR', count(DISTINCT star_id), NULL FROM un UNION ALL SELECT 'startedStars', 'STAR', count(DISTINCT (user_id, star_id)), NULL FROM act
+ UNION ALL SELECT 'currentCompletedStars', 'STAR', count(*), NULL FROM pr UNION ALL SELECT 'uniqueCurrentCompletedStars', 'STAR', count(DISTINCT star_id), NULL FROM pr UNION ALL SELECT 'recognizedSignals', 'ACHIEVEMENT', count(*), NULL FROM ach
+ UNION ALL SELECT kind || 'Achievements', 'ACHIEVEMENT', count(ach.kind), NULL FROM (VALUES ('confirmed'), ('unconfirmed'), ('fp')) k(kind) LEFT JOIN ach USING (kind) GROUP BY kind UNION ALL SELECT 'uniqueRecognizedSignals', 'SIGNAL', count(DISTINCT candidate_id), NULL FROM ach
+ UNION ALL SELECT 'uniqueConfirmedSignals', 'SIGNAL', count(DISTINCT candidate_id) FILTER (disposition='confirmed'), NULL FROM ach UNION ALL SELECT 'uniqueFpSignals', 'SIGNAL', count(DISTINCT candidate_id) FILTER (disposition='fp'), NULL FROM ach
+ UNION ALL SELECT 'uniqueUnconfirmedSignals', 'SIGNAL', count(DISTINCT candidate_id) FILTER (disposition IN ('pc','none')), NULL FROM ach UNION ALL SELECT 'firstMatchAccuracy', 'PERCENT', count(*) FILTER (agrees), count(*) FROM g
+ UNION ALL SELECT 'publicLikelyPlanet', 'PARTICIPATION', count(*) FILTER (judgment='LIKELY'), NULL FROM pv UNION ALL SELECT 'publicUnlikelyPlanet', 'PARTICIPATION', count(*) FILTER (judgment='UNLIKELY'), NULL FROM pv UNION ALL SELECT 'publicUnsure', 'PARTICIPATION', count(*) FILTER (judgment='UNSURE'), NULL FROM pv
+ UNION ALL SELECT 'publicLikelyPlanetRate', 'PERCENT', count(*) FILTER (judgment='LIKELY'), count(*) FROM pv UNION ALL SELECT 'publicUnlikelyPlanetRate', 'PERCENT', count(*) FILTER (judgment='UNLIKELY'), count(*) FROM pv UNION ALL SELECT 'publicUnsureRate', 'PERCENT', count(*) FILTER (judgment='UNSURE'), count(*) FROM pv
+ UNION ALL SELECT 'publicParticipations', 'PARTICIPATION', count(*), NULL FROM pv UNION ALL SELECT 'aiAttemptUnknown', 'PARTICIPATION', count(*), NULL FROM pv),
+kv AS (SELECT *, round(CASE WHEN denominator IS NULL THEN numerator::DOUBLE ELSE numerator*100.0::DOUBLE/nullif(denominator,0) END, 6) AS value, CASE WHEN denominator=0 THEN 'NO_SAMPLE' ELSE 'AVAILABLE' END AS status, CASE WHEN key='aiAttemptUnknown' THEN 'AI_ATTEMPT_UNKNOWN' WHEN denominator=0 THEN 'ZERO_DENOMINATOR' END AS reason FROM counts)"""
+
+
+def kpi_report(t):
+    active = t.members().filter("status = 'active'").select("user_id")
+    rank = F.struct("created_at", "id")
+    posts = t.posts().filter("status = 'visible'").select(F.col("post_id").alias("id"), F.lit(True).alias("public")).distinct()
+    subs = t.submissions().join(active, "user_id", "left_semi").join(posts, "id", "left")
+    # One row per (member, signal) feeds every KPI but progress; it is read for votes, signals and stars.
+    per = subs.groupBy("user_id", "candidate_id", "star_id").agg(
+        F.min_by("judgment", F.when(F.col("match_result").isin(*st.MATCHES), rank)).alias("judgment"), F.max_by("judgment", F.when(F.col("public"), rank)).alias("vote"),
+        F.bool_or(F.col("match_result") == "ambiguous_match").alias("viewed")).join(t.dispositions(), "candidate_id", "left")
+    per = cut_lineage(per.withColumn("recognized", F.col("judgment").isNotNull()))
+    one = F.lit(1)
+    hit = lambda cond: F.count_if(F.expr(cond) if isinstance(cond, str) else cond)
+    graded = F.col("recognized") & (F.coalesce("answer_class", F.lit("")) == "graded")
+    rest = "NOT coalesce(disposition, '') IN ('confirmed', 'fp')"
+    heads = [("recognizedSignals", "ACHIEVEMENT", hit("recognized"), None), ("confirmedAchievements", "ACHIEVEMENT", hit("recognized AND disposition = 'confirmed'"), None),
+             ("fpAchievements", "ACHIEVEMENT", hit("recognized AND disposition = 'fp'"), None), ("unconfirmedAchievements", "ACHIEVEMENT", hit("recognized AND " + rest), None),
+             ("firstMatchAccuracy", "PERCENT", hit(graded & st.agrees()), hit(graded))]
+    for key, vote in (("publicLikelyPlanet", "LIKELY"), ("publicUnlikelyPlanet", "UNLIKELY"), ("publicUnsure", "UNSURE")):
+        heads += [(key, "PARTICIPATION", hit(f"vote = '{vote}'"), None), (key + "Rate", "PERCENT", hit(f"vote = '{vote}'"), F.count("vote"))]
+    heads += [("publicParticipations", "PARTICIPATION", F.count("vote"), None), ("aiAttemptUnknown", "PARTICIPATION", F.count("vote"), None)]
+    signals = per.filter("recognized").groupBy("candidate_id", "disposition").agg(n())
+    by = [("uniqueRecognizedSignals", "SIGNAL", F.count(one), None), ("uniqueConfirmedSignals", "SIGNAL", hit("disposition = 'confirmed'"), None), ("uniqueFpSignals", "SIGNAL", hit("disposition = 'fp'"), None),
+          ("uniqueUnconfirmedSignals", "SIGNAL", hit("disposition IN ('pc', 'none')"), None)]
+    stars = per.groupBy("star_id", "user_id").agg(F.bool_or("viewed").alias("viewed")).groupBy("star_id").agg(n("started"), nif("viewed", "unlocked"))
+    opened = [("discoveredStars", "STAR", F.sum("unlocked"), None), ("uniqueDiscoveredStars", "STAR", hit("unlocked > 0"), None), ("startedStars", "STAR", F.sum("started"), None)]
+    done = completion(t).filter("stage = 'completed'").join(active, "user_id", "left_semi").groupBy("star_id").agg(n("done"))
+    closed = [("currentCompletedStars", "STAR", F.sum("done"), None), ("uniqueCurrentCompletedStars", "STAR", F.count(one), None)]
+    rows = st.kpi_counts(per, heads).unionByName(st.kpi_counts(signals, by)).unionByName(st.kpi_counts(stars, opened)).unionByName(st.kpi_counts(done, closed))
+    return st.kpi_values(rows, unknown=("aiAttemptUnknown",))
+
+
+@query("ag06_kpi_report", REPORT + " SELECT * FROM kv", "sub mem disp posts", D)
+def _(t):
+    return kpi_report(t)
+
+
+@query("ag06_kpi_document", REPORT + """ SELECT '{' || string_agg('"' || key || '":{"unit":"' || unit || '","value":' || coalesce(CAST(CAST(value AS DECIMAL(24,6)) AS VARCHAR), 'null') || ',"numerator":' || numerator || ',"denominator":' || coalesce(CAST(denominator AS VARCHAR), 'null') || ',"status":"' || status || '","reason":' || coalesce('"' || reason || '"', 'null') || '}', ',' ORDER BY key) || '}' AS metrics FROM kv""", "sub mem disp posts", D)
+def _(t):
+    text = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    item = F.concat(text("key"), F.lit(':{"unit":'), text("unit"), F.lit(',"value":'), number(F.col("value").cast("decimal(24,6)")), F.lit(',"numerator":'), number(F.col("numerator")),
+                    F.lit(',"denominator":'), number(F.col("denominator")), F.lit(',"status":'), text("status"), F.lit(',"reason":'), text("reason"), F.lit("}"))
+    # The list of KPIs is fixed, so the document has a fixed length.
+    items = F.transform(F.array_sort(F.collect_list(F.struct("key", item.alias("item")))), lambda r: r["item"])
+    return kpi_report(t).agg(F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}")).alias("metrics"))
+
+
 @query("ag07_first_match_accuracy", KPI_SQL.replace("act AS (SELECT sub.* FROM sub JOIN mem USING (user_id) WHERE status='active')", "act AS (SELECT * FROM sub)") + " SELECT user_id, count(*) AS graded, count(*) FILTER (agrees) AS agreed FROM g GROUP BY 1", "sub disp", D)
 def _(t):
     return st.graded_first_matches(t.submissions(), t.dispositions()).groupBy("user_id").agg(n("graded"), nif("agrees", "agreed"))
@@ -96,24 +163,43 @@ def _(t):
     return v.join(total, "candidate_id").select("candidate_id", "judgment", "votes", F.round(100.0 * F.col("votes") / F.col("total"), 6).alias("share"))
 
 
-MM = KPI_SQL.replace("act AS (SELECT sub.* FROM sub JOIN mem USING (user_id) WHERE status='active')", "act AS (SELECT * FROM sub)") + """,
-mm AS (SELECT m.user_id, coalesce(agreed,0) AS agreed, coalesce(graded,0) AS graded, coalesce(submissions,0) AS submissions, coalesce(stars,0) AS stars, coalesce(recognized,0) AS recognized, coalesce(harmonic,0) AS harmonic FROM mem m
- LEFT JOIN (SELECT user_id, count(*) FILTER (agrees) AS agreed, count(*) AS graded FROM g GROUP BY 1) a USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS submissions, count(DISTINCT star_id) AS stars,
- count(*) FILTER (match_result IN ('matched','matched_harmonic')) AS recognized, count(*) FILTER (match_result='matched_harmonic') AS harmonic FROM sub GROUP BY 1) b USING (user_id)),
-mr AS (SELECT user_id, 'firstMatchAccuracy' AS metric, agreed*100.0/nullif(graded,0) AS value FROM mm UNION ALL SELECT user_id, 'submissionsPerStar', submissions*1.0/nullif(stars,0) FROM mm UNION ALL SELECT user_id, 'harmonicRecognitionRate', harmonic*100.0/nullif(recognized,0) FROM mm)"""
+AS_OF = "TIMESTAMP '2024-01-31'"
+MM = KPI_SQL.replace("act AS (SELECT sub.* FROM sub JOIN mem USING (user_id) WHERE status='active')", f"act AS (SELECT * FROM sub WHERE created_at<{AS_OF})") + f""",
+cs AS (SELECT id, user_id, CASE WHEN id%5=0 THEN 'no_signal' ELSE 'candidate' END AS kind, CASE id%4 WHEN 0 THEN ['oddeven','ushape'] WHEN 1 THEN ['secondary','oddeven','oddeven'] ELSE [] END AS checks FROM act),
+ce AS (SELECT user_id, count(*) AS evidence FROM (SELECT DISTINCT id, user_id, e FROM (SELECT id, user_id, unnest(checks) AS e FROM cs WHERE kind='candidate') WHERE e IN ('oddeven','secondary','ushape')) GROUP BY 1), cn AS (SELECT user_id, count(*) FILTER (kind='candidate') AS candidates FROM cs GROUP BY 1),
+mm AS (SELECT m.user_id, coalesce(agreed,0) AS agreed, coalesce(graded,0) AS graded, coalesce(submissions,0) AS submissions, coalesce(stars,0) AS stars, coalesce(candidates,0) AS candidates, coalesce(evidence,0) AS evidence, coalesce(recognized,0) AS recognized, coalesce(harmonic,0) AS harmonic FROM mem m LEFT JOIN ce USING (user_id) LEFT JOIN cn USING (user_id)
+ LEFT JOIN (SELECT user_id, count(*) FILTER (agrees) AS agreed, count(*) AS graded FROM g GROUP BY 1) a USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS submissions, count(DISTINCT star_id) AS stars FROM act GROUP BY 1) b USING (user_id)
+ LEFT JOIN (SELECT user_id, count(*) AS recognized, count(*) FILTER (match_result='matched_harmonic') AS harmonic FROM fm WHERE rn=1 GROUP BY 1) h USING (user_id)),
+mr AS (SELECT user_id, 'firstMatchAccuracy' AS metric, agreed*100.0/nullif(graded,0) AS value FROM mm UNION ALL SELECT user_id, 'submissionsPerStar', submissions*1.0/nullif(stars,0) FROM mm UNION ALL SELECT user_id, 'harmonicRecognitionRate', harmonic*100.0/nullif(recognized,0) FROM mm UNION ALL SELECT user_id, 'evidencePerSubmission', evidence*1.0/nullif(candidates,0) FROM mm),
+coh AS (SELECT DISTINCT user_id FROM sub JOIN mem USING (user_id) WHERE status='active' AND created_at>={AS_OF}-INTERVAL 10 DAY AND created_at<{AS_OF})"""
+
+
+def as_of(days=0):
+    return F.expr(f"timestamp_ntz'2024-01-31 00:00:00' - interval {days} days")
+
+
+def member_metrics(t):
+    subs = t.submissions().filter(F.col("created_at") < as_of())
+    turn = F.col("id") % 4
+    checks = F.when(turn == 0, '["oddeven","ushape"]').when(turn == 1, '["secondary","oddeven","oddeven"]').when(turn == 2, '{"x":1}')
+    subs = subs.withColumns({"kind": F.when(F.col("id") % 5 == 0, "no_signal").otherwise("candidate"), "checks": checks})
+    return st.member_metrics(t.members(), subs, t.dispositions())
+
+
+def cohort_rows(t):
+    """Metric rows of all members, and those of the active members of the last ten days."""
+    rows = cut_lineage(st.metric_rows(member_metrics(t)))
+    return rows, rows.join(st.active_cohort(t.members(), t.submissions(), as_of(10), as_of()), "user_id", "left_semi")
 
 
 @query("ag09_member_metrics", MM + " SELECT * FROM mm", "sub mem disp", D)
 def _(t):
-    return st.member_metrics(t.members(), t.submissions(), t.dispositions())
+    return member_metrics(t)
 
 
-@query("ag10_cohort_medians", MM + ", c AS (SELECT DISTINCT user_id FROM sub WHERE created_at>=TIMESTAMP '2024-01-31'-INTERVAL 10 DAY) SELECT metric, count(value) AS n_members, round(median(value),8) AS median FROM mr WHERE user_id IN (SELECT user_id FROM c) GROUP BY metric", "sub mem disp", D)
+@query("ag10_cohort_medians", MM + ", k(metric, unit) AS (VALUES ('firstMatchAccuracy','PERCENT'), ('submissionsPerStar','SUBMISSIONS_PER_STAR'), ('harmonicRecognitionRate','PERCENT'), ('evidencePerSubmission','CHECKS_PER_SUBMISSION')) SELECT metric, unit, (SELECT count(*) FROM coh) AS n_cohort, count(value) AS n_members, round(median(value),8) AS median, CASE WHEN count(value)=0 THEN 'NO_SAMPLE' ELSE 'AVAILABLE' END AS status FROM k LEFT JOIN (SELECT * FROM mr WHERE user_id IN (SELECT user_id FROM coh)) USING (metric) GROUP BY metric, unit", "sub mem disp", D)
 def _(t):
-    s = t.submissions()
-    cohort = s.filter(F.col("created_at") >= F.expr("timestamp_ntz'2024-01-31 00:00:00' - interval 10 days")).select("user_id").distinct()
-    rows = st.metric_rows(st.member_metrics(t.members().join(cohort, "user_id", "left_semi"), s, t.dispositions()))
-    return st.cohort_medians(rows).select("metric", "n_members", F.round("median", 8).alias("median"))
+    return st.cohort_medians(cohort_rows(t)[1]).withColumn("median", F.round("median", 8))
 
 
 @query("ag11_activity_by_local_day", "SELECT user_id, count(*) AS submissions, count(DISTINCT star_id) AS started, count(DISTINCT CAST(created_at + INTERVAL 9 HOUR AS DATE)) AS days FROM sub GROUP BY 1", "sub")
@@ -191,10 +277,7 @@ def _(t):
     return x.groupBy(grade.alias("grade")).agg(n("members"), F.sum("k").alias("achievements"))
 
 
-@query("ag20_completion_decision", """, c AS (SELECT s_suppkey AS candidate_id, CAST(floor(s_suppkey/5) AS BIGINT) AS star_id, s_acctbal>1000 AS discoverable FROM supplier), m AS (SELECT DISTINCT user_id, candidate_id FROM sub WHERE match_result IN ('matched','matched_harmonic')),
-       us AS (SELECT DISTINCT user_id, star_id FROM sub), a AS (SELECT us.user_id, us.star_id, count(*) AS active, count(*) FILTER (discoverable AND m.candidate_id IS NULL) AS open, count(*) FILTER (NOT discoverable AND m.candidate_id IS NULL) AS hidden FROM us JOIN c USING (star_id) LEFT JOIN m ON m.user_id=us.user_id AND m.candidate_id=c.candidate_id GROUP BY ALL)
-       SELECT *, CASE WHEN open>0 THEN 'analysis' WHEN hidden>0 THEN 'completed_with_hidden' ELSE 'completed' END AS stage FROM a""", "sub", D)
-def _(t):
+def completion(t):
     s = t.submissions()
     c = t.supplier.select(F.col("s_suppkey").alias("candidate_id"), F.floor(F.col("s_suppkey") / 5).alias("star_id"), (F.col("s_acctbal") > 1000).alias("d"))
     kids = c.groupBy("star_id").agg(n("active"), nif("d", "n_disc"))
@@ -206,6 +289,11 @@ def _(t):
     return x.select("user_id", "star_id", "active", "open", "hidden", stage.alias("stage"))
 
 
+@query("ag20_completion_decision", STAGES + " SELECT * FROM stg", "sub", D)
+def _(t):
+    return completion(t)
+
+
 @query("ag21_judgement_summary", ", v AS (SELECT *, row_number() OVER (PARTITION BY user_id, candidate_id ORDER BY created_at DESC, id DESC) AS rn FROM sub) SELECT candidate_id, count(*) AS total, count(*) FILTER (judgment='LIKELY') AS likely, round(count(*) FILTER (judgment='LIKELY')*100.0/count(*),1) AS likely_pct FROM v WHERE rn=1 GROUP BY 1", "sub", D)
 def _(t):
     x = st.votes(t.submissions(), ["user_id", "candidate_id"]).groupBy("candidate_id").agg(n("total"), nif("judgment = 'LIKELY'", "likely"))
@@ -374,11 +462,11 @@ def _(t):
     return x.groupBy("l_suppkey").agg(F.sum("c").alias("rows_selected"), n("keys"), nif("c > 1", "duplicate_keys"))
 
 
-@query("ag48_member_versus_baseline", MM + """, md AS (SELECT metric, median(value) AS baseline FROM mr GROUP BY 1) SELECT user_id, metric, round(value,8) AS value, round(baseline,8) AS baseline, CASE WHEN value IS NULL THEN 'no_sample' WHEN baseline IS NULL THEN 'unavailable' WHEN value>baseline THEN 'above' WHEN value<baseline THEN 'below' ELSE 'equal' END AS verdict FROM mr JOIN md USING (metric)""", "sub mem disp", D)
+@query("ag48_member_versus_baseline", MM + """, md AS (SELECT metric, median(value) AS baseline FROM mr WHERE user_id IN (SELECT user_id FROM coh) GROUP BY 1) SELECT user_id, metric, round(value,8) AS value, round(baseline,8) AS baseline, CASE WHEN value IS NULL THEN 'no_sample' WHEN baseline IS NULL THEN 'unavailable' WHEN value>baseline THEN 'above' WHEN value<baseline THEN 'below' ELSE 'equal' END AS verdict FROM mr JOIN md USING (metric)""", "sub mem disp", D)
 def _(t):
-    rows = st.metric_rows(st.member_metrics(t.members(), t.submissions(), t.dispositions()))
-    med = st.cohort_medians(rows).select("metric", F.col("median").alias("baseline"))
+    rows, cohort = cohort_rows(t)
+    med = st.cohort_medians(cohort).select("metric", F.col("median").alias("baseline"))
     v, b = F.col("value"), F.col("baseline")
     verdict = F.when(v.isNull(), "no_sample").when(b.isNull(), "unavailable").when(v > b, "above").when(v < b, "below").otherwise("equal")
-    # Three metrics: the baseline table has a fixed size.
+    # Four metrics: the baseline table has a fixed size.
     return rows.join(F.broadcast(med), "metric").select("user_id", "metric", F.round(v, 8).alias("value"), F.round(b, 8).alias("baseline"), verdict.alias("verdict"))

@@ -13,7 +13,7 @@ NAMES = [
     "fil03_interval_mask", "fil09_exclusion_ledger", "fil16_disjoint_audit_classes", "ts01_part_median_normalise", "ts04_grid_summary",
     "ts09_folded_median_snapshot", "wn05_gap_segments", "wn07_observed_runs", "wn09_biweight_trend", "wn13_quadratic_trend", "ts16_box_search",
     "tk05_cell_and_harmonic_peaks", "ts13_model_removal", "ts24_window_offset", "ts28_parity_and_secondary_depth", "jn08_ephemeris_match",
-    "jn13_interval_overlap", "jn18_follow_feed", "id03_reconcile", "id12_match_decision", "id13_injection_match", "ag06_kpi_table", "ag10_cohort_medians",
+    "jn13_interval_overlap", "jn18_follow_feed", "id03_reconcile", "id12_match_decision", "id13_injection_match", "ag06_kpi_table", "ag06_kpi_report", "ag09_member_metrics", "ag10_cohort_medians",
     "ag30_average_precision", "ag34_medians_by_class", "tk07_seeded_pick", "so03_key_subtract", "hx03_record_set_checksum", "hx05_hash_bucket",
     "inc07_bundle_assembly", "inc14_status_history", "src04_csv_with_preamble", "src11_source_list_parse", "st01_outbox_deduplication", "st09_session_activity",
 ]
