@@ -13,8 +13,11 @@ from pyspark.sql.types import DoubleType
 
 from phasemill.functions.phase import in_window, phase_distance
 from phasemill.operators.cleaning import interior
+from phasemill.operators.matching import event_points
 from phasemill.operators.medians import grouped_mad
+from phasemill.operators.models import remove_models
 from phasemill.operators.peaks import local_maxima
+from phasemill.session import cut_lineage
 
 
 def critical(n: int, level: float = 0.001) -> float:
@@ -44,27 +47,56 @@ def critical_of(n: pd.Series) -> pd.Series:
 
 def discoverable(points: DataFrame, pg: DataFrame, models: DataFrame, *, value: str, grid: tuple[float, float, int], snr_min: float = 7.0,
                  sde_min: float = 6.0, min_transits: int = 2, coverage: float = 0.5, cadence_days: float = 0.25, half_cells: int = 3,
-                 gap_days: float = 0.5, edge_hours: float = 12.0) -> DataFrame:
-    """Whether a strict, gated maximum with enough covered events matches each model.
+                 gap_days: float = 0.5, edge_hours: float = 12.0, min_points: int = 1) -> DataFrame:
+    """Whether a strict, gated maximum with enough covered events matches each (series_id, model_id).
 
-    Cells are in log period; a peak matches within ``half_cells`` and half the longer duration in epoch.
+    ``pg`` is searched on a grid of equal steps in log period, and cells are such steps; a peak matches within
+    ``half_cells`` and half the longer duration in epoch. A series with too few points, or without scatter, is not
+    measured: its counts and its answer are null.
     """
     lo, hi, n = grid
-    peaks = local_maxima(pg, ["series_id"], "idx", "power").filter((F.col("snr") >= snr_min) & (F.col("sde") >= sde_min))
-    peaks = peaks.filter((F.col("idx") > 0) & (F.col("idx") < n - 1)).select("series_id", "idx", "period", "epoch", "duration", "snr", "sde")
+    peaks = local_maxima(pg, ["series_id"], "idx", "power", strict=True).filter((F.col("snr") >= snr_min) & (F.col("sde") >= sde_min))
+    peaks = peaks.select("series_id", "idx", "period", "epoch", "duration")
     inside = interior(points.select("series_id", "part_id", "seq", "t"), gap_days=gap_days, edge_hours=edge_hours).select("series_id", "t")
-    near = inside.join(peaks.select("series_id", "idx", "period", "epoch", "duration"), "series_id").filter(in_window("t", F.col("period"), F.col("epoch"), F.col("duration")))
-    per = near.groupBy("series_id", "idx", F.rint((F.col("t") - F.col("epoch")) / F.col("period")).alias("_c")).agg(F.count(F.lit(1)).alias("_k"), F.first("duration").alias("_d"))
+    per = event_points(inside, peaks).groupBy("series_id", "idx", "k").agg(F.count(F.lit(1)).alias("_k"), F.first("duration").alias("_d"))
     seen = per.filter(F.col("_k") >= coverage * F.col("_d") / cadence_days).groupBy("series_id", "idx").agg(F.count(F.lit(1)).alias("n_transits"))
     good = peaks.join(seen.filter(F.col("n_transits") >= min_transits), ["series_id", "idx"])
-    m = models.select("series_id", F.col("period").alias("m_period"), F.col("epoch").alias("m_epoch"), F.col("duration").alias("m_duration"))
+    m = models.select("series_id", "model_id", F.col("period").alias("m_period"), F.col("epoch").alias("m_epoch"), F.col("duration").alias("m_duration"))
     cell = math.log(hi / lo) / (n - 1)
     hit = ((F.abs(F.log(F.col("period") / F.col("m_period"))) / cell <= half_cells)
            & (F.abs(phase_distance(F.col("epoch"), F.col("m_period"), F.col("m_epoch"))) <= F.greatest("duration", "m_duration") / 2))
-    x = m.join(good, "series_id", "left").groupBy("series_id", "m_period").agg(F.count("idx").alias("n_peaks"), F.count_if(hit).alias("n_matched"))
+    x = m.join(good, "series_id", "left").groupBy("series_id", "model_id", "m_period").agg(F.count("idx").alias("n_peaks"), F.count_if(hit).alias("n_matched"))
+    counts = points.groupBy("series_id").agg((F.count(value) >= min_points).alias("_enough"))
+    searched = pg.groupBy("series_id").agg(F.lit(True).alias("_searched"))
+    x = x.join(counts, "series_id", "left").join(searched, "series_id", "left")
+    status = (F.when(~F.coalesce("_enough", F.lit(False)), "input_insufficient").when(F.col("_searched").isNull(), "calculation_failed").otherwise("measured"))
+    x = x.withColumn("status", status)
+    measured = F.col("status") == "measured"
     outside = (F.col("m_period") < lo) | (F.col("m_period") > hi)
-    reason = F.when(outside, "outside_provided_grid").when(F.col("n_matched") > 0, "matched_peak").otherwise("no_matching_quality_peak")
-    return x.select("series_id", "n_peaks", "n_matched", (~outside & (F.col("n_matched") > 0)).alias("discoverable"), reason.alias("reason"))
+    reason = (F.when(F.col("status") == "input_insufficient", "insufficient_observations").when(~measured, "degenerate_flux").when(outside, "outside_provided_grid")
+              .when(F.col("n_matched") > 0, "matched_peak").otherwise("no_matching_quality_peak"))
+    own = lambda c: F.when(measured, c)
+    return x.select("series_id", "model_id", "status", own(F.col("n_peaks")).alias("n_peaks"), own(F.col("n_matched")).alias("n_matched"),
+                    own(~outside & (F.col("n_matched") > 0)).alias("discoverable"), reason.alias("reason"))
+
+
+def prefix_run(points: DataFrame, models: DataFrame, search, *, value: str, steps: int, **rules) -> DataFrame:
+    """Judge the candidates of each series in order, each on what the earlier ones leave.
+
+    ``model_id`` counts from 1 to ``steps`` (the most candidates a series has); ``search`` makes the periodogram of
+    points. One candidate that cannot be measured holds its whole series: ``decision`` is held for all of them.
+    """
+    out, left = None, points
+    for step in range(1, steps + 1):
+        if step > 1:
+            kept = remove_models(points, models.filter(F.col("model_id") < step), value=value)
+            left = cut_lineage(kept.select("series_id", "part_id", "seq", "t", F.col("residual").alias(value)).filter(F.col(value).isNotNull()))
+        one = discoverable(left, search(left), models.filter(F.col("model_id") == step), value=value, **rules)
+        out = one if out is None else out.unionByName(one)
+    out = cut_lineage(out)  # read for the series' verdict and for its rows
+    held = out.groupBy("series_id").agg(F.bool_or(F.col("status") != "measured").alias("_held"))
+    decision = F.when(F.col("_held"), "held").when(F.col("discoverable"), "discoverable").otherwise("not_discoverable")
+    return out.join(held, "series_id").withColumn("decision", decision).drop("_held")
 
 
 def paired_blocks(points: DataFrame, *, short: tuple[float, float, float], long: tuple[float, float, float], value: str, min_points: int = 5,

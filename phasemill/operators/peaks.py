@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from phasemill.operators.cleaning import interpolated
 
 
-def local_maxima(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+def local_maxima(df: DataFrame, keys: list[str], index: str, value: str, *, strict: bool = False) -> DataFrame:
     """Strictly above the left neighbour, not below the right one, above at least one.
 
+    ``strict`` wants both neighbours and the row above both: no edge and no plateau.
+
     A grid is bounded per key, so one window per key is bounded too.
     """
     w = Window.partitionBy(*keys).orderBy(index)
     y, left, right = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
     x = df.withColumns({"_left": left, "_right": right})
     left, right = F.col("_left"), F.col("_right")
+    if strict:
+        return x.filter((y > left) & (y > right)).drop("_left", "_right")
     above = F.coalesce(y > left, F.lit(False)) | F.coalesce(y > right, F.lit(False))
     return x.filter(y.isNotNull() & (left.isNull() | (y > left)) & (right.isNull() | (y >= right)) & above).drop("_left", "_right")
 

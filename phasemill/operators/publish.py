@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phasemill.functions.hashing import record_set_digest
 from phasemill.operators.ordered import latest
+from phasemill.session import cut_lineage
 
 
 def size_plan(rows: DataFrame, entity: str, *, per_row: int, per_entity: int, budget: int) -> DataFrame:
@@ -116,6 +118,56 @@ def gate(rules: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     return x.select(F.coalesce("rule", F.lit("all")).alias("rule"), "n_violations", "first_key", "verdict")
 
 
+def bundle_rules(payload: DataFrame, manifest: DataFrame, candidates: DataFrame, *, key: str, child: str, cols: list[str], active: Column) -> list[tuple[str, DataFrame, Column]]:
+    """Rules for ``gate``: each bundle of child rows against its manifest entry, and the active ones against the candidate table.
+
+    ``manifest`` has the key, ``digest`` (of ``cols``), ``n_active`` and ``n_retired``; ``candidates`` the key and the child.
+    """
+    counts = payload.groupBy(key).agg(F.count_if(active).alias("_on"), F.count_if(~active).alias("_off"))
+    made = record_set_digest(payload, [key], cols).select(key, F.col("digest").alias("_made")).join(counts, key)
+    x = cut_lineage(made.join(manifest.select(key, "digest", "n_active", "n_retired"), key, "full_outer"))  # four rules read it
+    both = F.col("_made").isNotNull() & F.col("digest").isNotNull()
+    ours = payload.filter(active).select(key, child).distinct().withColumn("_a", F.lit(True))
+    table = candidates.select(key, child).distinct().withColumn("_b", F.lit(True))
+    apart = ours.join(table, [key, child], "full_outer").filter("_a IS NULL OR _b IS NULL").select(key).distinct()
+    return [("bundle_not_in_manifest", x.filter("digest IS NULL"), F.col(key)), ("bundle_missing", x.filter("_made IS NULL"), F.col(key)),
+            ("checksum_mismatch", x.filter(both & (F.col("_made") != F.col("digest"))), F.col(key)),
+            ("candidate_counts_differ", x.filter(both & ((F.col("_on") != F.col("n_active")) | (F.col("_off") != F.col("n_retired")))), F.col(key)),
+            ("candidate_table_differs", apart, F.col(key))]
+
+
+def roll_up(targets: DataFrame, results: DataFrame, candidates: DataFrame, *, run: str, target: str, statuses: list[str], candidate: str, cols: list[str],
+            unfinished: tuple[str, ...] = ("unprocessed", "request_failed")) -> DataFrame:
+    """One manifest row per run: every target accounted for, counts by status, completeness and the candidates' digest.
+
+    A target without a result is ``unprocessed``. Results outside the targets, several results of one target and
+    repeated candidate ids reject the run.
+    """
+    one = results.groupBy(run, target).agg(F.count(F.lit(1)).alias("_n"), F.max("status").alias("status"))
+    x = targets.select(run, target).distinct().withColumn("_t", F.lit(True)).join(one, [run, target], "full_outer")
+    mine, state = F.col("_t").isNotNull(), F.coalesce("status", F.lit("unprocessed"))
+    x = x.groupBy(run).agg(F.count_if(mine).alias("n_targets"), *[F.count_if(mine & (state == s)).alias(f"n_{s}") for s in statuses],
+                           F.count_if(~mine).alias("outside_targets"), F.count_if(F.col("_n") > 1).alias("repeated_results"))
+    ids = candidates.groupBy(run, candidate).agg(F.count(F.lit(1)).alias("_n")).groupBy(run).agg(F.sum("_n").alias("n_candidates"), F.count_if(F.col("_n") > 1).alias("repeated_candidates"))
+    seal = record_set_digest(candidates, [run], cols).select(run, F.col("digest").alias("candidates_digest"))
+    x = x.join(ids, run, "left").join(seal, run, "left").fillna(0, ["n_candidates", "repeated_candidates"])
+    open_ = sum((F.col(f"n_{s}") for s in unfinished if s in statuses), F.lit(0))
+    reason = (F.when(F.col("outside_targets") > 0, "result_outside_targets").when(F.col("repeated_results") > 0, "duplicate_target_result")
+              .when(F.col("repeated_candidates") > 0, "duplicate_candidate_id"))
+    return x.withColumns({"reason": reason, "status": F.when(reason.isNotNull(), "rejected").when(open_ == 0, "complete").otherwise("incomplete")})
+
+
+def prune(rows: DataFrame, *, done: Column, since: str, before: Column) -> DataFrame:
+    """Drop finished rows older than ``before``; what is unfinished or undated stays."""
+    return rows.filter(~F.coalesce(done & (F.col(since) < before), F.lit(False)))
+
+
+def blanked(rows: DataFrame, *, due: Column, values: dict[str, Column]) -> DataFrame:
+    """Overwrite columns of the rows that are due, keeping the rows."""
+    due = F.coalesce(due, F.lit(False))
+    return rows.withColumns({c: F.when(due, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def anonymise(rows: DataFrame, withdrawn: DataFrame, owner: str, *, remove: Column) -> DataFrame:
     """Rows of withdrawn owners are removed where ``remove`` holds and lose their owner elsewhere."""
     w = withdrawn.select(F.col("user_id").alias(owner)).distinct().withColumn("_w", F.lit(True))

@@ -1,5 +1,7 @@
 """Catalogue matching, identity, injections and evaluation of recoveries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from phasemill.functions.hashing import record_set_digest
@@ -7,7 +9,7 @@ from phasemill.functions.phase import in_window
 from phasemill.functions.scalars import to_btjd
 from phasemill.operators import boxsearch as bs, cleaning, identity as idt, matching as mt, models as mo
 from phasemill.operators.contracts import first_reason
-from phasemill.operators.discover import critical, discoverable, noise_series, paired_blocks
+from phasemill.operators.discover import critical, discoverable, noise_series, paired_blocks, prefix_run
 from phasemill.operators.medians import grouped_mad, grouped_median
 from phasemill.operators.ordered import latest
 from phasemill.plans import search as se
@@ -435,27 +437,42 @@ def _(t):
     return blocks(t).select("series_id", "expected_blocks", "paired_blocks", "verdict")
 
 
+# The search of the discoverability rules: equal steps in log period, both neighbours of a maximum below it.
+PG_LOG = se.PG.replace("1.5::DOUBLE+(9.5::DOUBLE-1.5::DOUBLE)*i/79 AS p", "1.5::DOUBLE*pow(9.5::DOUBLE/1.5::DOUBLE, i/79.0::DOUBLE) AS p")
+STRICT = ", mx AS MATERIALIZED (SELECT * FROM (SELECT *, lag(power) OVER w AS pl, lead(power) OVER w AS pr FROM pg WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE power>pl AND power>pr)"
 DISC = f""", sg0 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY series_id ORDER BY t, seq) >= 0.5 THEN 1 ELSE 0 END AS o FROM pts), sg1 AS (SELECT *, sum(o) OVER (PARTITION BY series_id ORDER BY t, seq) AS sg FROM sg0), sg2 AS (SELECT *, min(t) OVER (PARTITION BY series_id, sg) AS s0, max(t) OVER (PARTITION BY series_id, sg) AS s1 FROM sg1), ins AS (SELECT series_id, t FROM sg2 WHERE t-s0>=0.5 AND s1-t>=0.5),
-pk AS (SELECT * FROM mx WHERE snr>=2 AND sde>=1.5 AND idx>0 AND idx<79), cy AS (SELECT pk.series_id, pk.idx, any_value(duration) AS d, count(*) AS k FROM pk JOIN ins ON ins.series_id=pk.series_id AND abs({se.dist('ins.t', 'pk.period', 'pk.epoch')})<pk.duration/2 GROUP BY pk.series_id, pk.idx, round_even((ins.t-pk.epoch)/pk.period,0)),
-gd AS (SELECT series_id, idx FROM cy WHERE k>=0.5*d/0.25 GROUP BY ALL HAVING count(*)>=2), gp AS (SELECT pk.* FROM pk JOIN gd USING (series_id, idx)), m1 AS (SELECT * FROM md WHERE model_id=1)
-SELECT m1.series_id, count(gp.idx) AS n_peaks, count(*) FILTER (abs(ln(gp.period/m1.period))/(ln(9.5::DOUBLE/1.5::DOUBLE)/79)<=3 AND abs({se.dist('gp.epoch', 'm1.period', 'm1.epoch')})<=greatest(gp.duration,m1.duration)/2) AS n_matched FROM m1 LEFT JOIN gp ON gp.series_id=m1.series_id GROUP BY ALL"""
+pk AS (SELECT * FROM mx WHERE snr>=2 AND sde>=1.5), cy AS (SELECT pk.series_id, pk.idx, any_value(duration) AS d, count(*) AS k FROM pk JOIN ins ON ins.series_id=pk.series_id AND abs({se.dist('ins.t', 'pk.period', 'pk.epoch')})<pk.duration/2 GROUP BY pk.series_id, pk.idx, round_even((ins.t-pk.epoch)/pk.period,0)),
+gd AS (SELECT series_id, idx FROM cy WHERE k>=0.5*d/0.25 GROUP BY ALL HAVING count(*)>=2), gp AS (SELECT pk.* FROM pk JOIN gd USING (series_id, idx)), ct AS (SELECT series_id, count(*) AS np, bool_or(sigma>0) AS scattered FROM pts LEFT JOIN sig USING (series_id) GROUP BY 1),
+dn AS (SELECT md.series_id, md.model_id, any_value(md.period) AS mp, count(gp.idx) AS k, count(*) FILTER (abs(ln(gp.period/md.period))/(ln(9.5::DOUBLE/1.5::DOUBLE)/79)<=3 AND abs({se.dist('gp.epoch', 'md.period', 'md.epoch')})<=greatest(gp.duration,md.duration)/2) AS h FROM md LEFT JOIN gp ON gp.series_id=md.series_id GROUP BY ALL),
+du AS (SELECT dn.*, CASE WHEN coalesce(np,0)<55 THEN 'input_insufficient' WHEN NOT coalesce(scattered,false) THEN 'calculation_failed' ELSE 'measured' END AS status FROM dn LEFT JOIN ct USING (series_id)),
+ds AS (SELECT series_id, model_id, status, CASE WHEN status='measured' THEN k END AS n_peaks, CASE WHEN status='measured' THEN h END AS n_matched, CASE WHEN status='measured' THEN mp BETWEEN 1.5 AND 9.5 AND h>0 END AS discoverable,
+ CASE WHEN status='input_insufficient' THEN 'insufficient_observations' WHEN status<>'measured' THEN 'degenerate_flux' WHEN NOT mp BETWEEN 1.5 AND 9.5 THEN 'outside_provided_grid' WHEN h>0 THEN 'matched_peak' ELSE 'no_matching_quality_peak' END AS reason FROM du)"""
+RULES = dict(value="y", grid=se.GRID, snr_min=2.0, sde_min=1.5, min_points=55)
+
 
+def log_search(pts):
+    return bs.periodogram(pts, value="y", periods=se.GRID, durations=se.DURATIONS, oversample=se.OVERSAMPLE, cell_days=se.CELL, spacing="log")
 
-@query("ts38_discoverability", se.MAXIMA + DISC, "obs", se.PG + ", " + se.MD)
+
+@query("ts38_discoverability", STRICT + DISC + " SELECT * FROM ds", "obs", PG_LOG + ", " + se.MD)
 def _(t):
     pts = se.points(t)
-    x = discoverable(pts, se.pgram_of(pts), se.models(t).filter("model_id = 1"), value="y", grid=se.GRID, snr_min=2.0, sde_min=1.5)
-    return x.select("series_id", "n_peaks", "n_matched")
+    return discoverable(pts, log_search(pts), se.models(t), **RULES)
+
+
+def second_step(sql):
+    """The same SQL over the points that the first model leaves: every table of the search has a second name."""
+    names = "pts sig cel tot per pb occ wd win dep bst pg0 pg mx sg0 sg1 sg2 ins pk cy gd gp ct dn du ds"
+    return re.sub(r"\b(" + "|".join(names.split()) + r")\b", r"\1_2", sql)
+
+
+LEFT = f", pts_2 AS (SELECT p.series_id, p.part_id, p.seq, p.t, p.y/CASE WHEN abs({se.dist('p.t', 'm.period', 'm.epoch')})<m.duration/2 THEN 1-m.depth ELSE 1.0::DOUBLE END AS y FROM pts p JOIN md m ON m.series_id=p.series_id AND m.model_id=1),\n"
 
 
-@query("ts39_candidate_discoverability")
+@query("ts39_candidate_discoverability", STRICT + DISC + LEFT + second_step(PG_LOG[PG_LOG.index("sig AS"):] + STRICT + DISC) + """, rn AS (SELECT * FROM ds WHERE model_id=1 UNION ALL SELECT * FROM ds_2 WHERE model_id=2)
+SELECT *, CASE WHEN bool_or(status<>'measured') OVER (PARTITION BY series_id) THEN 'held' WHEN discoverable THEN 'discoverable' ELSE 'not_discoverable' END AS decision FROM rn""", "obs", PG_LOG + ", " + se.MD)
 def _(t):
-    """Each candidate judged on the series after the earlier candidates are divided out."""
-    pts, models = se.points(t), se.models(t)
-    res = cut_lineage(mo.remove_models(pts, models.filter("model_id = 1"), value="y").select("series_id", "part_id", "seq", "t", F.col("residual").alias("y")))
-    one = discoverable(pts, se.pgram_of(pts), models.filter("model_id = 1"), value="y", grid=se.GRID, snr_min=2.0, sde_min=1.5)
-    two = discoverable(res, se.pgram_of(res), models.filter("model_id = 2"), value="y", grid=se.GRID, snr_min=2.0, sde_min=1.5)
-    return one.withColumn("step", F.lit(1)).unionByName(two.withColumn("step", F.lit(2)))
+    return prefix_run(se.points(t), se.models(t), log_search, steps=2, **RULES)
 
 
 @query("ts40_synthetic_noise")

@@ -27,22 +27,42 @@ def _(t):
     return snap.groupBy("event_type").agg(n(), F.round(F.sum("value") * 100).cast("bigint").alias("cents"))
 
 
-@query("src03_manifest_contract", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+@query("src03_manifest_contract", "SELECT c_custkey, c_name, c_mktsegment, 7 AS part, 'aa' AS source_sha FROM customer")
 def _(t):
     path = scratch_path(t.spark, "manifest")
-    rows = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    rows = t.customer.select("c_custkey", "c_name", "c_mktsegment", F.lit(7).alias("part"), F.lit("aa").alias("source_sha"))
     src.json_lines(rows, f"{path}/json")
-    return src.manifest_to_parquet(t.spark, f"{path}/json", f"{path}/parquet", rows.schema, "c_custkey")
+    return src.manifest_to_parquet(t.spark, f"{path}/json", f"{path}/parquet", rows.schema, "c_custkey", declared_rows=t.customer.count(), constants={"part": 7, "source_sha": "aa"})
 
 
-@query("src04_csv_with_preamble", """SELECT CAST(p_partkey AS VARCHAR) AS ident, CASE WHEN p_size%10=0 THEN 'ragged' ELSE 'ok' END AS reason, CASE WHEN p_size%10<>0 THEN p_size END AS size FROM part WHERE p_size%13<>0""")
+@query("src04_csv_with_preamble", """SELECT CAST(p_partkey AS VARCHAR) AS ident, CASE WHEN p_size%10=0 THEN 'ragged' ELSE 'ok' END AS reason, CASE WHEN p_size%10<>0 THEN p_name || ', "' || p_size || '"' END AS name, CASE WHEN p_size%10<>0 THEN p_size END AS size FROM part WHERE p_size%13<>0""")
 def _(t):
     path = scratch_path(t.spark, "csv")
-    row = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"))
+    size = F.col("p_size").cast("string")
+    quoted = F.concat(F.lit('"'), "p_name", F.lit(', ""'), size, F.lit('"""'))
+    row = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, size)
     line = F.when(F.col("p_size") % 13 == 0, F.concat(F.lit("# "), "p_name")).when(F.col("p_size") % 10 == 0, F.concat(row, F.lit(",extra"))).otherwise(row)
     t.part.select(line.alias("value")).write.text(path)
     x = src.csv_with_preamble(t.spark.read.text(path).withColumn("ordinal", F.lit(0)), ["ident", "name", "size"])
-    return x.select("ident", F.coalesce("reason", F.lit("ok")).alias("reason"), F.when(F.col("reason").isNull(), F.expr("try_cast(size AS int)")).alias("size"))
+    ok = F.col("reason").isNull()
+    return x.select("ident", F.coalesce("reason", F.lit("ok")).alias("reason"), F.when(ok, F.col("name")).alias("name"), F.when(ok, F.expr("try_cast(size AS int)")).alias("size"))
+
+
+@query("src04_export_inspection", """SELECT s_suppkey AS export, CASE WHEN s_suppkey%7=1 THEN '<html>' WHEN s_suppkey%7=2 THEN 'order|order|qty' WHEN s_suppkey%7=3 THEN 'order|qty' ELSE 'order|note, free|qty' END AS columns, CASE WHEN s_suppkey%7=5 THEN 0 ELSE coalesce(k,0) END AS row_count, s_suppkey%3+1 AS preamble_lines,
+ CASE WHEN s_suppkey%7=1 THEN 'html_or_xml_response' WHEN s_suppkey%7=2 THEN 'invalid_csv_header' WHEN s_suppkey%7=3 THEN 'missing_columns:note, free' WHEN s_suppkey%7=4 AND coalesce(w,0)>0 THEN 'inconsistent_csv_width' WHEN s_suppkey%7=5 OR coalesce(k,0)=0 THEN 'empty_export' END AS reason
+ FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS k, count(*) FILTER (l_quantity>=45) AS w FROM lineitem GROUP BY 1) ON l_suppkey=s_suppkey""")
+def _(t):
+    kind = F.col("s_suppkey") % 7
+    s = t.supplier.select(F.col("s_suppkey").alias("export"))
+    head = F.when(kind == 1, "<html>").when(kind == 2, "order,order,qty").when(kind == 3, "order,qty").otherwise('order,"note, free",qty')
+    top = t.supplier.select(F.col("s_suppkey").alias("export"), F.lit(0).cast("bigint").alias("ordinal"), head.alias("value"))
+    early = t.supplier.select(F.col("s_suppkey").alias("export"), F.explode(F.expr("sequence(-1 - cast(s_suppkey % 3 AS bigint), -1L)")).alias("ordinal"))
+    early = early.withColumn("value", F.when(F.col("ordinal") % 2 == 0, "").otherwise("# exported, \"today"))
+    row = F.concat_ws(",", F.col("l_orderkey").cast("string"), F.lit('"a, ""b"""'), F.col("l_quantity").cast("int").cast("string"))
+    wide = (F.col("l_suppkey") % 7 == 4) & (F.col("l_quantity") >= 45)
+    rows = t.lineitem.filter("l_suppkey % 7 <> 5").select(F.col("l_suppkey").alias("export"), (F.col("l_orderkey") * 10000 + F.col("l_linenumber") + 1).alias("ordinal"), F.when(wide, F.concat(row, F.lit(",x"))).otherwise(row).alias("value"))
+    x = src.inspected_exports(top.unionByName(early).unionByName(rows.join(s, "export", "left_semi")), ["qty", "note, free"])
+    return x.withColumn("columns", F.array_join("columns", "|"))
 
 
 MAN = "man AS (SELECT CAST(page_id AS VARCHAR) AS key, octet_length(encode(html))+CASE WHEN page_id%7=0 THEN 1 ELSE 0 END AS size_bytes, CASE WHEN page_id%11=0 THEN 'bad' ELSE sha256(html) END AS sha256 FROM pages WHERE page_id%5<>0), v AS (SELECT CAST(page_id AS VARCHAR) AS key, octet_length(encode(html)) AS size, CASE WHEN m.key IS NULL THEN 'unknown_key' WHEN m.size_bytes<>octet_length(encode(html)) THEN 'size_mismatch' WHEN m.sha256<>sha256(html) THEN 'digest_mismatch' ELSE 'ok' END AS code FROM pages LEFT JOIN man m ON m.key=CAST(page_id AS VARCHAR))"
@@ -91,6 +111,15 @@ def _(t):
     return t.spark.read.schema("n_rows bigint, n_errors bigint, n_entities bigint, contract_ok boolean").json(path)
 
 
+@query("src09_terminal_markers", "SELECT part_id, 'data_contract' AS failure_type, 'scan' AS error_stage, CASE WHEN count(*) FILTER (v IS NULL)>0 THEN 'MISSING_VALUES' ELSE 'FLAGGED_ROWS' END AS error_code FROM obs GROUP BY 1 HAVING count(*) FILTER (v IS NULL)>0 OR 5*count(*) FILTER (q<>0)>count(*)", "obs", "dummy AS (SELECT 1)")
+def _(t):
+    path = scratch_path(t.spark, "runs")
+    runs = t.obs().groupBy("part_id").agg(n("n_rows"), F.count_if(F.col("q") != 0).alias("n_flagged"), F.count_if(F.col("v").isNull()).alias("n_missing"))
+    code = F.when(F.col("n_missing") > 0, "MISSING_VALUES").when(5 * F.col("n_flagged") > F.col("n_rows"), "FLAGGED_ROWS")
+    src.close_runs(runs, path, ["part_id"], code=code, stage="scan")
+    return t.spark.read.schema("part_id int, failure_type string, error_stage string, error_code string").json(f"{path}/_TERMINAL")
+
+
 @query("src10_json_lines_sink", "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status FROM orders")
 def _(t):
     path = scratch_path(t.spark, "docs")

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from phasemill.functions.hashing import content_hash
+from phasemill.functions.hashing import content_hash, record_set_digest
 from phasemill.operators import publish as pb
 from phasemill.operators.ordered import latest, numbered
-from phasemill.plans.registry import query
+from phasemill.plans.registry import query, set_digest_sql
 
 D = "dummy AS (SELECT 1)"
 
@@ -135,6 +135,49 @@ def _(t):
                     ("missing_children", orders.join(owners, "l_orderkey", "left_anti"), F.col("l_orderkey")), ("orphan_child", owners.join(orders, "l_orderkey", "left_anti"), F.col("l_orderkey"))])
 
 
+BUNDLES = """WITH pl AS (SELECT l_orderkey, count(*) FILTER (l_linestatus='O') AS a FROM lineitem GROUP BY 1), ma AS (SELECT o_orderkey FROM orders WHERE o_orderkey%101<>0),
+ ct AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey%83=0 AND l_linenumber=1 AND l_linestatus='O'),
+ v AS (SELECT 'bundle_not_in_manifest' AS rule, l_orderkey AS key FROM pl WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ma) UNION ALL SELECT 'bundle_missing', o_orderkey FROM ma WHERE o_orderkey NOT IN (SELECT l_orderkey FROM pl)
+ UNION ALL SELECT 'checksum_mismatch', l_orderkey FROM pl JOIN ma ON o_orderkey=l_orderkey WHERE l_orderkey%97=0 UNION ALL SELECT 'candidate_counts_differ', l_orderkey FROM pl JOIN ma ON o_orderkey=l_orderkey WHERE l_orderkey%89=0 UNION ALL SELECT 'candidate_table_differs', l_orderkey FROM ct),
+ r AS (SELECT z.rule, count(key) AS n, min(CAST(key AS VARCHAR)) AS k FROM (VALUES ('bundle_not_in_manifest'),('bundle_missing'),('checksum_mismatch'),('candidate_counts_differ'),('candidate_table_differs')) z(rule) LEFT JOIN v ON v.rule=z.rule GROUP BY 1)
+ SELECT coalesce(rule,'all') AS rule, CAST(sum(n) AS BIGINT) AS n_violations, min(k) AS first_key, CASE WHEN sum(n)>0 THEN 'hold' ELSE 'publish' END AS verdict FROM r GROUP BY ROLLUP (rule)"""
+
+
+@query("inc10_bundle_gate", BUNDLES)
+def _(t):
+    # The manifest and the candidate table are made from the lines, with a fault planted in some entries.
+    cols, key = ["l_linenumber", "l_linestatus", "l_partkey"], F.col("l_orderkey")
+    lines = t.lineitem.select("l_orderkey", *cols)
+    active = F.col("l_linestatus") == "O"
+    made = record_set_digest(lines, ["l_orderkey"], cols).join(lines.groupBy("l_orderkey").agg(F.count_if(active).alias("n_active"), F.count_if(~active).alias("n_retired")), "l_orderkey")
+    entries = t.orders.filter("o_orderkey % 101 <> 0").select(F.col("o_orderkey").alias("l_orderkey")).join(made, "l_orderkey", "left")
+    entries = entries.select("l_orderkey", F.when(key % 97 == 0, "changed").otherwise(F.coalesce("digest", F.lit("none"))).alias("digest"),
+                             (F.coalesce("n_active", F.lit(0)) + F.when(key % 89 == 0, 1).otherwise(0)).alias("n_active"), F.coalesce("n_retired", F.lit(0)).alias("n_retired"))
+    table = lines.filter(active & ~((key % 83 == 0) & (F.col("l_linenumber") == 1)))
+    return pb.gate(pb.bundle_rules(lines, entries, table, key="l_orderkey", child="l_linenumber", cols=cols, active=active))
+
+
+RUNS = """, tg AS (SELECT c_custkey%7 AS run_id, c_custkey AS target FROM customer WHERE c_custkey%50<>3), rs AS (SELECT series_id%7 AS run_id, series_id AS target, CASE WHEN count(*) FILTER (q=0)>=60 THEN 'ready' WHEN count(*) FILTER (q=0)>=50 THEN 'held' WHEN series_id%7=2 OR count(*) FILTER (q=0)>=48 THEN 'no_signal' ELSE 'request_failed' END AS status FROM obs WHERE series_id%7<>4 OR series_id%50<>3 GROUP BY series_id),
+ j AS (SELECT coalesce(tg.run_id, rs.run_id) AS run_id, tg.target IS NOT NULL AS mine, coalesce(status,'unprocessed') AS status FROM tg FULL OUTER JOIN rs ON rs.target=tg.target), cd AS (SELECT DISTINCT user_id%7 AS run_id, user_id, candidate_id FROM sub JOIN rs ON target=user_id AND status='ready' WHERE match_result='matched'),
+ a AS (SELECT run_id, count(*) FILTER (mine) AS n_targets, count(*) FILTER (mine AND status='ready') AS n_ready, count(*) FILTER (mine AND status='held') AS n_held, count(*) FILTER (mine AND status='no_signal') AS n_no_signal, count(*) FILTER (mine AND status='request_failed') AS n_request_failed, count(*) FILTER (mine AND status='unprocessed') AS n_unprocessed, count(*) FILTER (NOT mine) AS outside_targets FROM j GROUP BY 1),
+ c AS (SELECT run_id, count(*) AS n_candidates, """ + set_digest_sql("""'{"candidate_id":' || candidate_id || ',"user_id":' || user_id || '}'""") + """ AS candidates_digest FROM cd GROUP BY 1)
+ SELECT a.*, 0 AS repeated_results, coalesce(n_candidates,0) AS n_candidates, 0 AS repeated_candidates, candidates_digest, CASE WHEN outside_targets>0 THEN 'result_outside_targets' END AS reason, CASE WHEN outside_targets>0 THEN 'rejected' WHEN n_request_failed+n_unprocessed=0 THEN 'complete' ELSE 'incomplete' END AS status FROM a LEFT JOIN c USING (run_id)"""
+
+
+@query("ag24_run_manifest", RUNS, "obs sub", "dummy AS (SELECT 1)")
+def _(t):
+    run = lambda c: (F.col(c) % 7).alias("run_id")
+    targets = t.customer.filter("c_custkey % 50 <> 3").select(run("c_custkey"), F.col("c_custkey").alias("target"))
+    ok = F.count_if(F.col("q") == 0)
+    seen = t.obs().filter("series_id % 7 <> 4 OR series_id % 50 <> 3").groupBy("series_id").agg(ok.alias("ok"))
+    status = F.when(F.col("ok") >= 60, "ready").when(F.col("ok") >= 50, "held").when((F.col("series_id") % 7 == 2) | (F.col("ok") >= 48), "no_signal").otherwise("request_failed")
+    results = seen.select(run("series_id"), F.col("series_id").alias("target"), status.alias("status"))
+    hits = t.submissions().filter("match_result = 'matched'").select("user_id", "candidate_id").distinct()
+    ready = results.filter("status = 'ready'").select(F.col("target").alias("user_id"))
+    cand = hits.join(ready, "user_id", "left_semi").select(run("user_id"), "user_id", "candidate_id", F.concat_ws("/", "user_id", "candidate_id").alias("cid"))
+    return pb.roll_up(targets, results, cand, run="run_id", target="target", statuses=["ready", "held", "no_signal", "request_failed", "unprocessed"], candidate="cid", cols=["candidate_id", "user_id"])
+
+
 OLDNEW = "old AS (SELECT c_custkey AS k, c_mktsegment AS seg, CASE WHEN c_acctbal>0 THEN c_acctbal END AS bal, CASE WHEN c_acctbal<1000 THEN 'inactive' ELSE 'active' END AS status FROM customer WHERE c_nationkey<20), new AS (SELECT c_custkey AS k, CASE WHEN c_acctbal>8000 THEN 'MACHINERY' ELSE c_mktsegment END AS seg, CASE WHEN c_acctbal<500 THEN 1.5 END AS bal FROM customer WHERE c_nationkey>=3)"
 
 
@@ -220,3 +263,18 @@ def _(t):
 def _(t):
     gone = t.members().filter("status = 'withdrawn'")
     return pb.anonymise(t.submissions().select("id", "user_id", "match_result"), gone, "user_id", remove=F.col("match_result") == "duplicate")
+
+
+@query("inc22_retention_prune", """SELECT 'receipt' AS kind, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'READY' ELSE 'PENDING' END AS status, NULL::BIGINT AS owner FROM orders WHERE NOT (o_orderstatus IN ('F','O') AND o_orderdate<TIMESTAMP '1998-01-01'-INTERVAL 90 DAY)
+ UNION ALL SELECT 'post', post_id, CASE WHEN mem.status='withdrawn' AND created_at<TIMESTAMP '1998-01-01'-INTERVAL 365 DAY THEN 'deleted' ELSE posts.status END, CASE WHEN mem.status='withdrawn' THEN -1 ELSE author_id END FROM posts LEFT JOIN mem ON user_id=author_id""", "posts mem")
+def _(t):
+    now = F.expr("timestamp_ntz'1998-01-01 00:00:00'")
+    state = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "READY").otherwise("PENDING")
+    receipts = t.orders.select(F.lit("receipt").alias("kind"), F.col("o_orderkey").alias("id"), state.alias("status"), F.lit(None).cast("bigint").alias("owner"), "o_orderdate")
+    receipts = pb.prune(receipts, done=F.col("status").isin("READY", "COMPLETED"), since="o_orderdate", before=now - F.expr("INTERVAL 90 DAYS"))
+    gone = t.members().filter("status = 'withdrawn'").select(F.col("user_id").alias("author_id"), F.lit(True).alias("gone")).distinct()
+    posts = t.posts().select(F.lit("post").alias("kind"), F.col("post_id").alias("id"), "status", F.col("author_id").alias("owner"), "author_id", "created_at").join(gone, "author_id", "left")
+    posts = pb.blanked(posts, due=F.col("gone"), values={"owner": F.lit(-1).cast("bigint")})
+    posts = pb.blanked(posts, due=F.col("gone") & (F.col("created_at") < now - F.expr("INTERVAL 365 DAYS")), values={"status": F.lit("deleted")})
+    cols = ["kind", "id", "status", "owner"]
+    return receipts.select(cols).unionByName(posts.select(cols))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phasemill.session import cut_lineage
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -48,29 +50,95 @@ def written_and_checked(df: DataFrame, path: str) -> DataFrame:
     return back.agg(*_seal(back)).select(F.lit(rows).cast("bigint").alias("computed"), F.col("rows").alias("written"), same.alias("contract_ok"))
 
 
-def manifest_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType, key: str) -> DataFrame:
-    """JSON lines to a sorted Parquet table; one aggregate decides whether it may be written."""
+def manifest_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType, key: str, *,
+                        declared_rows: int | None = None, constants: dict[str, object] | None = None) -> DataFrame:
+    """JSON lines to a sorted Parquet table; one aggregate decides whether it may be written.
+
+    Every field must be filled, keys must be unique, the number of rows must be the declared one and each column
+    of ``constants`` (such as the part or the checksum of the source) must hold its value in every row.
+    """
     df = spark.read.schema(schema).json(source)
-    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    bad = keys.agg(F.count_if(F.col(key).isNull() | (F.col("_c") > 1)).alias("b")).head()["b"]
-    if bad:
-        raise ValueError(f"{bad} null or duplicate keys")
+    constants = constants or {}
+    empty = F.lit(False)
+    for c in schema.names:
+        empty = empty | F.col(c).isNull()
+    # By key first, so that counts combine before they are shuffled and no task sees all rows.
+    other = [F.count_if(~F.col(c).eqNullSafe(F.lit(v))).alias(f"_{i}") for i, (c, v) in enumerate(constants.items())]
+    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), F.count_if(empty).alias("_empty"), *other)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    found = keys.agg(total("_c").alias("rows"), total("_empty").alias("empty"), F.count_if(F.col("_c") > 1).alias("copies"),
+                     *[total(f"_{i}").alias(f"other_{c}") for i, c in enumerate(constants)]).head()
+    broken = []
+    if declared_rows is not None and found["rows"] != declared_rows:
+        broken.append(f"{found['rows']} rows, declared {declared_rows}")
+    if found["empty"]:
+        broken.append(f"{found['empty']} rows with a null field")
+    broken += [f"{found[f'other_{c}']} rows of another {c}" for c in constants if found[f"other_{c}"]]
+    if found["copies"]:
+        broken.append(f"{found['copies']} duplicate keys")
+    if broken:
+        raise ValueError("manifest contract: " + "; ".join(broken))
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(target)
     return spark.read.schema(schema).parquet(target)
 
 
+#: A quoted field, and a comma that is not inside one.
+QUOTED, BARE_COMMA = '"(?:[^"]|"")*"', ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def csv_with_preamble(lines: DataFrame, columns: list[str], *, sep: str = ",") -> DataFrame:
     """Rows of an export with ``#`` comments and blank lines: the header is dropped, a ragged row gets a reason.
 
-    ``lines`` is (ordinal, value); html, a byte-order mark and quotes-free fields as exported.
+    ``lines`` is (ordinal, value); html, a byte-order mark and quoted fields as exported. An empty field is null.
     """
     value = F.regexp_replace("value", "^﻿", "")
     x = lines.withColumn("value", value).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    parts = F.split("value", sep)
-    header = F.col("value") == sep.join(columns)
-    reason = F.when(F.lower("value").startswith("<"), "html").when(header, "header").when(F.size(parts) != len(columns), "ragged")
-    x = x.withColumn("reason", reason).withColumn("_p", parts)
-    return x.select("ordinal", "reason", *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_corrupt"]])
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    x = x.withColumn("_p", F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), options))
+    header = F.array(*[F.col("_p")[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
+    reason = (F.when(F.lower("value").startswith("<"), "html").when(F.col("_p._corrupt").isNotNull(), "ragged").when(F.coalesce(header, F.lit(False)), "header"))
+    return x.select("ordinal", reason.alias("reason"), *[F.col("_p")[c].alias(c) for c in columns])
+
+
+def inspected_exports(lines: DataFrame, required: list[str]) -> DataFrame:
+    """The structure of each export, one row each: header, rows, preamble and the first broken rule (null: none).
+
+    ``lines`` is (export, ordinal, value) with the ordinals of an export distinct. The header is the first line that
+    is neither blank nor a ``#`` comment; after it only empty lines are skipped. Quoted fields may hold commas but
+    no line breaks. Rules in order: html_or_xml_response, invalid_csv_header, missing_columns, inconsistent_csv_width,
+    empty_export.
+    """
+    x = lines.withColumn("value", F.regexp_replace("value", "^﻿", ""))
+    text = F.trim("value")
+    told = (text != "") & ~text.startswith("#")
+    first = x.groupBy("export").agg(F.min_by("value", F.when(told, F.col("ordinal"))).alias("header"), F.min(F.when(told, F.col("ordinal"))).alias("_at"))
+    name = F.transform(F.split("header", BARE_COMMA), lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
+    first = first.withColumn("columns", F.coalesce(name, F.array().cast("array<string>")))
+    outside = F.regexp_replace("value", QUOTED, "")
+    width = F.length(outside) - F.length(F.regexp_replace(outside, ",", "")) + 1
+    row = (F.col("ordinal") > F.col("_at")) & (F.col("value") != "")
+    facts = x.join(first.select("export", "_at", F.size("columns").alias("_n")), "export").groupBy("export").agg(
+        F.count_if(row).alias("row_count"), F.count_if(row & (width != F.col("_n"))).alias("_ragged"), F.count_if(F.col("ordinal") < F.col("_at")).alias("preamble_lines"))
+    x = first.join(facts, "export")
+    names = F.col("columns")
+    bad = (F.size(names) < 2) | F.exists(names, lambda c: F.trim(c) == "") | (F.size(F.array_distinct(names)) != F.size(names))
+    absent = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), names))
+    reason = (F.when(F.ltrim("header").startswith("<"), "html_or_xml_response").when(F.col("header").isNull() | bad, "invalid_csv_header")
+              .when(F.size(absent) > 0, F.concat(F.lit("missing_columns:"), F.array_join(absent, ","))).when(F.col("_ragged") > 0, "inconsistent_csv_width")
+              .when(F.col("row_count") == 0, "empty_export"))
+    return x.select("export", "columns", "row_count", "preamble_lines", reason.alias("reason"))
+
+
+def close_runs(runs: DataFrame, path: str, keys: list[str], *, code: Column, stage: str) -> None:
+    """Write one summary row per run and, for a run with a ``code``, a terminal marker beside the summaries.
+
+    A marker says that the contract failed by itself, so trying again is of no use; both are written once.
+    """
+    runs = cut_lineage(runs.withColumn("error_code", code))
+    json_lines(runs.withColumn("contract_ok", F.col("error_code").isNull()), f"{path}/summary")
+    marker = runs.filter("error_code IS NOT NULL").select(*keys, F.lit("data_contract").alias("failure_type"), F.lit(stage).alias("error_stage"), "error_code")
+    json_lines(marker, f"{path}/_TERMINAL")
 
 
 def verified_blobs(blobs: DataFrame, manifest: DataFrame) -> DataFrame:

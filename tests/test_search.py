@@ -196,3 +196,23 @@ def test_iteration_notes_rejected_steps(curves):
     step = out[out.status == "rejected_gate"].iloc[0]
     assert step.reason == "no_quality_peak" and step.snr > 0 and step.period_coarse > 0 and step.n_transits > 1
     assert out[out.status == "terminated"].reason.tolist() == ["no_quality_peak"] and len(out) == 2
+
+
+def test_strict_maxima_leave_plateaus_and_edges(spark):
+    rows = [(1, i, float(p)) for i, p in enumerate([9, 1, 5, 5, 2, 7, 3, 8])]
+    g = spark.createDataFrame(rows, "series_id int, idx bigint, power double")
+    assert [r.idx for r in pk.local_maxima(g, ["series_id"], "idx", "power", strict=True).collect()] == [5]
+    assert sorted(r.idx for r in pk.local_maxima(g, ["series_id"], "idx", "power").collect()) == [0, 2, 5, 7]
+
+
+def test_one_unmeasured_candidate_holds_its_series(spark, curves):
+    models = spark.createDataFrame([(s, m, p, e, d, h) for s in (1, 2, 3, 4) for m, p, e, d, h in ((1, 3.3, 1.0, 0.2, 0.02), (2, 5.7, 2.1, 0.25, 0.008))],
+                                   "series_id int, model_id int, period double, epoch double, duration double, depth double")
+    grid = (1.0, 9.0, 3200)
+    search = lambda pts: bs.periodogram(pts, value="v", periods=grid, durations=[0.1, 0.2, 0.3], oversample=5, cell_days=0.01, spacing="log")
+    from phasemill.operators.discover import prefix_run
+    run = prefix_run(curves, models, search, value="v", steps=2, grid=grid, cadence_days=0.02, half_cells=12, min_points=100).toPandas().set_index(["series_id", "model_id"])
+    assert run.loc[1].decision.tolist() == ["discoverable", "discoverable"]
+    assert run.loc[2].decision.tolist() == ["not_discoverable", "not_discoverable"]
+    for s in (3, 4):  # too few points, and none
+        assert run.loc[s].decision.tolist() == ["held", "held"] and run.loc[s].discoverable.isna().all() and run.loc[s].reason.eq("insufficient_observations").all()

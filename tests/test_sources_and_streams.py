@@ -49,6 +49,52 @@ def test_csv_preamble(spark):
     assert [(r.ordinal, r.reason, r.id) for r in x.orderBy("ordinal").collect()] == [(2, "header", "id"), (3, None, "1"), (4, "ragged", "2"), (5, "html", "<html>")]
 
 
+def test_csv_keeps_quoted_commas(spark):
+    lines = ['"id","name"', '1,"a, ""b"""', "2", '3,"c",']
+    x = ingest.csv_with_preamble(spark.createDataFrame(list(enumerate(lines)), "ordinal int, value string"), ["id", "name"])
+    assert [(r.reason, r.id, r.name) for r in x.orderBy("ordinal").collect()] == [("header", "id", "name"), (None, "1", 'a, "b"'), ("ragged", "2", None), ("ragged", "3", "c")]
+
+
+def test_exports_are_inspected(spark):
+    exports = {
+        "ok": ["\ufeff# made today", "", 'a,"b, c",d', '1,"x, ""y""",2', "", "# 3,4,5"], "html": ["", " <html>", "a,b"], "names": ["a,b,a", "1,2,3"], "blank": ["a,,c", "1,2,3"], "one": ["a", "1"],
+        "missing": ["a,d", "1,2"], "ragged": ['a,"b, c"', "1,2", "1,2,3"], "empty": ["# x", 'a,"b, c"', ""], "nothing": ["", "# only"]}
+    rows = [(e, i, v) for e, lines in exports.items() for i, v in enumerate(lines)]
+    got = {r.export: r for r in ingest.inspected_exports(spark.createDataFrame(rows, "export string, ordinal int, value string"), ["b, c", "a"]).collect()}
+    assert {e: r.reason for e, r in got.items()} == {
+        "ok": None, "html": "html_or_xml_response", "names": "invalid_csv_header", "blank": "invalid_csv_header", "one": "invalid_csv_header", "missing": "missing_columns:b, c",
+        "ragged": "inconsistent_csv_width", "empty": "empty_export", "nothing": "invalid_csv_header"}
+    assert (got["ok"].columns, got["ok"].row_count, got["ok"].preamble_lines) == (["a", "b, c", "d"], 2, 2)
+
+
+def test_manifest_contract_names_every_broken_rule(spark):
+    path = scratch_path(spark, "test")
+    df = spark.createDataFrame([("a", 1, "s"), ("a", 2, "s"), ("b", None, "x")], "k string, v bigint, sha string")
+    ingest.json_lines(df, f"{path}-json")
+    with pytest.raises(ValueError, match="3 rows, declared 4; 1 rows with a null field; 1 rows of another sha; 1 duplicate keys"):
+        ingest.manifest_to_parquet(spark, f"{path}-json", f"{path}-out", df.schema, "k", declared_rows=4, constants={"sha": "s"})
+
+
+def test_bundles_are_held_against_manifest_and_candidates(spark):
+    lines = spark.createDataFrame([(k, c, c < 3) for k in (1, 2, 3, 4) for c in (1, 2, 3)], "k int, c int, on boolean")
+    entry = {r.k: r.digest for r in hashing.record_set_digest(lines, ["k"], ["c", "on"]).collect()}
+    manifest = spark.createDataFrame([(1, entry[1], 2, 1), (2, "other", 2, 1), (3, entry[3], 1, 2), (5, "x", 0, 0)], "k int, digest string, n_active int, n_retired int")
+    table = lines.filter("on AND NOT (k = 1 AND c = 2)").select("k", "c")
+    rules = publish.bundle_rules(lines, manifest, table, key="k", child="c", cols=["c", "on"], active=F.col("on"))
+    got = {r.rule: (r.n_violations, r.first_key, r.verdict) for r in publish.gate(rules).collect()}
+    assert got == {"bundle_not_in_manifest": (1, "4", "hold"), "bundle_missing": (1, "5", "hold"), "checksum_mismatch": (1, "2", "hold"), "candidate_counts_differ": (1, "3", "hold"),
+                   "candidate_table_differs": (1, "1", "hold"), "all": (5, "1", "hold")}
+
+
+def test_roll_up_accounts_for_every_target(spark):
+    targets = spark.createDataFrame([(r, t) for r in (1, 2, 3, 4) for t in (1, 2)], "run int, t int")
+    results = spark.createDataFrame([(1, 1, "ready"), (1, 2, "held"), (2, 1, "ready"), (3, 1, "ready"), (3, 2, "held"), (3, 9, "held"), (4, 1, "ready"), (4, 2, "ready")], "run int, t int, status string")
+    cand = spark.createDataFrame([(1, "a"), (4, "b"), (4, "b")], "run int, cid string")
+    rows = publish.roll_up(targets, results, cand, run="run", target="t", statuses=["ready", "held", "unprocessed"], candidate="cid", cols=["cid"]).collect()
+    got = {r.run: (r.status, r.reason, r.n_targets, r.n_ready, r.n_unprocessed, r.n_candidates) for r in rows}
+    assert got == {1: ("complete", None, 2, 1, 0, 1), 2: ("incomplete", None, 2, 1, 1, 0), 3: ("rejected", "result_outside_targets", 2, 1, 0, 0), 4: ("rejected", "duplicate_candidate_id", 2, 2, 0, 2)}
+
+
 def test_sink_is_immutable_and_manifest_is_checked(spark):
     path = scratch_path(spark, "test")
     ingest.immutable(spark.range(5), path)
