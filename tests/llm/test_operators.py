@@ -134,6 +134,65 @@ def test_context_tree_is_a_distribution_and_learns():
     assert -tree.log10(data, offsets, tree.rows())[0] * math.log2(10) / 2400 < 0.5
 
 
+def _weighted_tree(texts):
+    """Plain context-tree weighting: the probability of a decision is that of the corpus with it over that without."""
+    counts, below = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+
+    def decisions(symbol):
+        return [((256 + symbol) >> (8 - k), (symbol >> (7 - k)) & 1) for k in range(8)]
+
+    def bump(context, node, bit, by):
+        for d in range(4):
+            counts[context[:d], node][bit] += by
+            if d:
+                below[context[:d - 1], node].add(context[:d])
+
+    def log_weight(context, node):
+        z, o = counts[context, node]
+        own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+        if len(context) == 3:
+            return own
+        return np.logaddexp(own, sum(log_weight(c, node) for c in list(below[context, node]))) - math.log(2)
+
+    def steps(text):
+        b = [ord(c) + 32 if "A" <= c <= "Z" else c for c in text]
+        b = "".join(chr(c) if isinstance(c, int) else c for c in b).encode() + b"\xff"
+        for i, symbol in enumerate(b):
+            yield tuple((b[i - k] if i >= k else 0) for k in (1, 2, 3)), symbol
+
+    for t in texts:
+        for context, symbol in steps(t):
+            for node, bit in decisions(symbol):
+                bump(context, node, bit, 1)
+
+    def log10(text):
+        total = 0.0
+        for context, symbol in steps(text):
+            for node, bit in decisions(symbol):
+                before = log_weight((), node)
+                bump(context, node, bit, 1)
+                total += log_weight((), node) - before
+                bump(context, node, bit, -1)
+        return total / math.log(10)
+
+    return log10
+
+
+def test_tree_scores_equal_plain_context_tree_weighting(spark):
+    train = ["Abracadabra", "cadabra é", "", "abra", "ABRA"]
+    plain = _weighted_tree(train)
+    schema = "doc_id int, text string"
+    model = contexttree.fit(spark.createDataFrame(list(enumerate(train)), schema))
+    asked = ["abra", "zzz", "", None, "brazil é", "ABRACADABRA", "bbaa cq"]  # contexts known to depth 3, 2, 1 and not at all
+    got = {r.doc_id: r.score for r in contexttree.score(spark.createDataFrame(list(enumerate(asked)), schema), model).collect()}
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(plain(t or ""), abs=2e-4), t
+    assert got[0] == pytest.approx(plain("ABRA"), abs=2e-4) and got[2] == got[3] < 0
+    none = contexttree.fit(spark.createDataFrame([], schema))
+    (row,) = contexttree.score(spark.createDataFrame([(1, "xy")], schema), none).collect()
+    assert row.score == pytest.approx(-24 * math.log10(2), abs=1e-4)
+
+
 def test_secret_patterns_and_redaction(docs, empty):
     field = secrets.fit(docs)
     assert {r.doc_id: r.spans for r in secrets.query(docs).collect()}[12].startswith("assign:0:19,access:35:55,hex:58:82")
