@@ -193,6 +193,20 @@ def test_tree_scores_equal_plain_context_tree_weighting(spark):
     assert row.score == pytest.approx(-24 * math.log10(2), abs=1e-4)
 
 
+def test_rare_contexts_keep_their_own_nodes(spark, monkeypatch):
+    train = ["Abracadabra", "cadabra é", "", "abra", "ABRA"]
+    plain = _weighted_tree(train)
+    schema = "doc_id int, text string"
+    asked = ["abra", "zzz", "", None, "brazil é", "ABRACADABRA", "bbaa cq"]
+    for share, sent in ((1, 500_000), (16, 0)):  # no context, or the frequent ones, in the tasks' table; the rest sent or joined
+        monkeypatch.setattr(contexttree, "SHARE", share)
+        monkeypatch.setattr(contexttree, "SENT", sent)
+        model = contexttree.fit(spark.createDataFrame(list(enumerate(train)), schema))
+        got = {r.doc_id: r.score for r in contexttree.score(spark.createDataFrame(list(enumerate(asked)), schema), model).collect()}
+        for i, t in enumerate(asked):
+            assert got[i] == pytest.approx(plain(t or ""), abs=2e-4), (share, t)
+
+
 def test_secret_patterns_and_redaction(docs, empty):
     field = secrets.fit(docs)
     assert {r.doc_id: r.spans for r in secrets.query(docs).collect()}[12].startswith("assign:0:19,access:35:55,hex:58:82")
