@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -207,6 +208,25 @@ def _phrase_rows():
     return rows + [(None, "en"), ("", "en"), ("only", "de"), (" . ,", None), (rows[0][0], rows[0][1]), ("New York City " * 30, "xx")]
 
 
+def test_counts_that_a_task_holds_are_merged_in_little_room():
+    held, wanted = collocations._Held(), collections.Counter()
+    rng = np.random.default_rng(13)
+    for i in range(6):
+        keys = rng.integers(0, 1 << 63, 100_000).astype(np.uint64) << np.uint64(1)
+        keys[:1000] = np.arange(1000, dtype=np.uint64) << np.uint64(54)
+        held.add(keys, np.full(len(keys), 7 + i))
+        wanted.update(keys.tolist())
+    size = sum(x.nbytes for bucket in held.buckets for h in bucket for x in h)
+    tracemalloc.start()
+    held.merge()
+    assert tracemalloc.get_traced_memory()[1] < 1.3 * size  # at once it took 2.5 times
+    tracemalloc.stop()
+    parts = [np.concatenate(x) for x in zip(*held.take())]
+    assert dict(zip(parts[0].tolist(), parts[1].tolist())) == wanted and np.all(np.diff(parts[0]) > 0)
+    assert set(parts[2][np.isin(parts[0], np.arange(1000, dtype=np.uint64) << np.uint64(54))].tolist()) == {7}
+    assert held.size == 0 and not any(held.buckets)
+
+
 @pytest.mark.parametrize("least", [2, 5])
 def test_collocations_equal_brute_force(spark, empty, least):  # noqa: F811
     rows = _phrase_rows()
