@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,22 +25,28 @@ def content_hash(cols: list[str]) -> Column:
 
 LANES = 5
 LANE_HEX = 12
+#: Bits of the lower part of a lane: both parts are summed as longs, which hold 2^39 rows.
+LOW_BITS = 24
 
 
-def record_set_digest(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+def record_set_digest(df: DataFrame, keys: list[str], cols: list[str], also: Sequence[Column] = ()) -> DataFrame:
     """Order-independent digest of each group's rows, copies counted.
 
     The SHA-256 of each row's canonical JSON is cut into lanes of 48 bits and the
     lanes are summed; the digest is the SHA-256 of count and sums. Sums combine on
     the map side, so no group is ever sorted or collected, whatever its size. Rows
-    that carry their sort key fix the order as well.
+    that carry their sort key fix the order as well. ``also`` are named aggregates of
+    the same groups.
     """
-    row = F.sha2(canonical_json(cols), 256)
-    x = df.select(*keys, row.alias("_h"))
-    lane = lambda i: F.conv(F.substring("_h", 1 + i * LANE_HEX, LANE_HEX), 16, 10).cast("decimal(15,0)")
-    sums = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(lane(i)).alias(f"_s{i}") for i in range(LANES)])
-    text = F.concat_ws(":", F.col("n_rows"), *[F.col(f"_s{i}").cast("string") for i in range(LANES)])
-    return sums.select(*keys, "n_rows", F.sha2(text, 256).alias("digest"))
+    x = df.withColumn("_h", F.sha2(canonical_json(cols), 256))
+    x = x.withColumns({f"_l{i}": F.conv(F.substring("_h", 1 + i * LANE_HEX, LANE_HEX), 16, 10).cast("bigint") for i in range(LANES)})
+    high = [F.sum(F.shiftright(f"_l{i}", LOW_BITS)).alias(f"_s{i}") for i in range(LANES)]
+    low = [F.sum(F.col(f"_l{i}").bitwiseAND((1 << LOW_BITS) - 1)).alias(f"_t{i}") for i in range(LANES)]
+    sums = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *high, *low, *also)
+    total = lambda i: (F.col(f"_s{i}").cast("decimal(25,0)") * F.lit(1 << LOW_BITS) + F.col(f"_t{i}")).cast("decimal(25,0)")
+    text = F.concat_ws(":", F.col("n_rows"), *[total(i).cast("string") for i in range(LANES)])
+    digest = F.sha2(text, 256).alias("digest")
+    return sums.withColumn("digest", digest).drop(*[f"_{c}{i}" for c in "st" for i in range(LANES)])
 
 
 def hash_bucket(c: Column, n: int) -> Column:

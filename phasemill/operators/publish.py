@@ -123,8 +123,7 @@ def bundle_rules(payload: DataFrame, manifest: DataFrame, candidates: DataFrame,
 
     ``manifest`` has the key, ``digest`` (of ``cols``), ``n_active`` and ``n_retired``; ``candidates`` the key and the child.
     """
-    counts = payload.groupBy(key).agg(F.count_if(active).alias("_on"), F.count_if(~active).alias("_off"))
-    made = record_set_digest(payload, [key], cols).select(key, F.col("digest").alias("_made")).join(counts, key)
+    made = record_set_digest(payload, [key], cols, [F.count_if(active).alias("_on"), F.count_if(~active).alias("_off")]).drop("n_rows").withColumnRenamed("digest", "_made")
     x = cut_lineage(made.join(manifest.select(key, "digest", "n_active", "n_retired"), key, "full_outer"))  # four rules read it
     both = F.col("_made").isNotNull() & F.col("digest").isNotNull()
     ours = payload.filter(active).select(key, child).distinct().withColumn("_a", F.lit(True))

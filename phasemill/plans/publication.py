@@ -149,7 +149,7 @@ def _(t):
     cols, key = ["l_linenumber", "l_linestatus", "l_partkey"], F.col("l_orderkey")
     lines = t.lineitem.select("l_orderkey", *cols)
     active = F.col("l_linestatus") == "O"
-    made = record_set_digest(lines, ["l_orderkey"], cols).join(lines.groupBy("l_orderkey").agg(F.count_if(active).alias("n_active"), F.count_if(~active).alias("n_retired")), "l_orderkey")
+    made = record_set_digest(lines, ["l_orderkey"], cols, [F.count_if(active).alias("n_active"), F.count_if(~active).alias("n_retired")])
     entries = t.orders.filter("o_orderkey % 101 <> 0").select(F.col("o_orderkey").alias("l_orderkey")).join(made, "l_orderkey", "left")
     entries = entries.select("l_orderkey", F.when(key % 97 == 0, "changed").otherwise(F.coalesce("digest", F.lit("none"))).alias("digest"),
                              (F.coalesce("n_active", F.lit(0)) + F.when(key % 89 == 0, 1).otherwise(0)).alias("n_active"), F.coalesce("n_retired", F.lit(0)).alias("n_retired"))

@@ -113,3 +113,16 @@ def test_precision_recall_groups_ties(spark):
     assert r.pr_auc_trapezoid == pytest.approx(0.5 * 0.75 + 0.5 * (2 / 3 + 0.5) / 2, abs=1e-8)
     t = {x.threshold: (x.tp, x.fp, x.fn, x.tn) for x in threshold_table(df, [0.5, 0.95]).collect()}
     assert t == {0.5: (2, 1, 0, 1), 0.95: (0, 0, 2, 2)}
+
+
+def test_record_set_digest_sums_beyond_64_bits_and_counts_beside(spark):
+    import hashlib
+
+    from phasemill.functions.hashing import record_set_digest
+
+    n = 70_000  # lanes of 48 bits: their sums pass 2^63
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), F.lit(1).alias("v"))
+    h = hashlib.sha256(b'{"v":1}').hexdigest()
+    want = hashlib.sha256(":".join([str(n // 2), *[str(n // 2 * int(h[12 * i: 12 * i + 12], 16)) for i in range(5)]]).encode()).hexdigest()
+    got = record_set_digest(df, ["g"], ["v"], [F.count_if(F.col("v") == 1).alias("ones")]).collect()
+    assert [(r.n_rows, r.ones, r.digest) for r in got] == [(n // 2, n // 2, want)] * 2
