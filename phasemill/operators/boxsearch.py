@@ -61,8 +61,8 @@ def log_grid(lo: Column, hi: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log_steps(lo, hi, n))
 
 
-def _search_one(t, n, s, n_total, s_total, sigma, periods, durations, oversample):
-    """Best box of each trial period; phase bins of all periods lie in one flat array."""
+def _best_boxes(t, n, s, n_total, s_total, sigma, periods, durations, oversample):
+    """Best box of each trial period, one array per field (power 0 where there is none); phase bins of all periods lie in one flat array."""
     periods = np.asarray(periods, dtype=float)
     order = np.sort(np.asarray(durations, dtype=float))
     nb = np.maximum(np.ceil(periods / (order[0] / oversample)), 1).astype(np.int64)
@@ -70,36 +70,54 @@ def _search_one(t, n, s, n_total, s_total, sigma, periods, durations, oversample
     turns = t[None, :] / periods[:, None]
     b = np.minimum(((turns - np.floor(turns)) * nb[:, None]).astype(np.int64), nb[:, None] - 1) + start[:, None]
     size = int(nb.sum())
-    pre_n = np.concatenate(([0], np.cumsum(np.bincount(b.ravel(), np.tile(n, len(periods)), size).astype(np.int64))))
-    pre_s = np.concatenate(([0], np.cumsum(np.bincount(b.ravel(), np.tile(s, len(periods)), size).astype(np.int64))))
     pid = np.repeat(np.arange(len(periods)), nb)
     i = np.arange(size) - start[pid]
-    at, end_of, first_of = start[pid] + i, start[pid] + nb[pid], start[pid]
+    # Each period's bins lie there twice, so a box past the last bin is one range as well.
+    at = np.arange(size) + start[pid]
+    twice = np.concatenate((at, at + nb[pid]))
+
+    def prefix(w):
+        x = np.bincount(b.ravel(), np.tile(w, len(periods)), size).astype(np.int64)
+        both = np.empty(2 * size, np.int64)
+        both[twice] = np.concatenate((x, x))
+        return np.concatenate(([0], np.cumsum(both)))
+
+    pre_n, pre_s = prefix(n), prefix(s)
+    low_n, low_s = pre_n[at], pre_s[at]
     best = np.zeros(len(periods))
     pick = [np.full(len(periods), np.nan) for _ in range(5)]
     for d in order:
         k = np.maximum(np.floor(d * nb / periods + 0.5), 1).astype(np.int64)
-        over = np.maximum(i + k[pid] - nb[pid], 0)
-        stop = np.minimum(at + k[pid], end_of)
-        n_in = pre_n[stop] - pre_n[at] + pre_n[np.minimum(first_of + over, end_of)] - pre_n[first_of]
-        s_in = pre_s[stop] - pre_s[at] + pre_s[np.minimum(first_of + over, end_of)] - pre_s[first_of]
+        stop = at + np.repeat(np.minimum(k, nb), nb)
+        n_in = pre_n[stop] - low_n
+        s_in = pre_s[stop] - low_s
         n_out = n_total - n_in
         with np.errstate(divide="ignore", invalid="ignore"):
             depth = ((s_total - s_in) / n_out - s_in / n_in) / SCALE
-            power = np.where((n_in > 0) & (n_out > 0) & (depth > 0) & (k[pid] < nb[pid]), 0.5 * n_in * depth * depth / (sigma * sigma), -1.0)
+            good = (n_in > 0) & (n_out > 0) & (depth > 0) & np.repeat(k < nb, nb)
+            power = np.where(good, 0.5 * n_in * depth * depth / (sigma * sigma), -1.0)
         top = np.maximum.reduceat(power, start)
-        won = np.minimum.reduceat(np.where(power == top[pid], np.arange(size), size), start)
-        better = top > best
-        best = np.where(better, top, best)
-        found = (depth[won], sigma * np.sqrt(1.0 / np.maximum(n_in[won], 1) + 1.0 / np.maximum(n_out[won], 1)), np.full(len(periods), d),
-                 (i[won] + k / 2) / nb * periods, n_in[won])
-        pick = [np.where(better, new, old) for new, old in zip(found, pick)]
-    out = []
-    for j, p in enumerate(periods):
-        depth, err, d, epoch, n_in = (x[j] for x in pick)
-        hit = best[j] > 0
-        out.append((p, best[j], depth, err, depth / err, d, epoch, int(n_in)) if hit else (p, 0.0) + (None,) * 6)
-    return out
+        better = np.flatnonzero(top > best)
+        if not len(better):
+            continue
+        # The first bin with the greatest power of each period.
+        hits = np.flatnonzero(power == np.repeat(top, nb))[::-1]
+        won = np.empty(len(periods), np.int64)
+        won[pid[hits]] = hits
+        won = won[better]
+        best[better] = top[better]
+        found = (depth[won], sigma * np.sqrt(1.0 / np.maximum(n_in[won], 1) + 1.0 / np.maximum(n_out[won], 1)), d,
+                 (i[won] + k[better] / 2) / nb[better] * periods[better], n_in[won])
+        for old, new in zip(pick, found):
+            old[better] = new
+    depth, err, d, epoch, n_in = pick
+    return periods, best, depth, err, depth / err, d, epoch, n_in
+
+
+def _search_one(t, n, s, n_total, s_total, sigma, periods, durations, oversample):
+    """``_best_boxes`` as rows; what has no box is null."""
+    columns = _best_boxes(t, n, s, n_total, s_total, sigma, periods, durations, oversample)
+    return [(*r[:7], int(r[7])) if r[1] > 0 else (r[0], 0.0) + (None,) * 6 for r in zip(*columns)]
 
 
 FIELDS = ("period", "power", "depth", "depth_err", "snr", "duration", "epoch", "n_in")

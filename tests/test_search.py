@@ -216,3 +216,13 @@ def test_one_unmeasured_candidate_holds_its_series(spark, curves):
     assert run.loc[2].decision.tolist() == ["not_discoverable", "not_discoverable"]
     for s in (3, 4):  # too few points, and none
         assert run.loc[s].decision.tolist() == ["held", "held"] and run.loc[s].discoverable.isna().all() and run.loc[s].reason.eq("insufficient_observations").all()
+
+
+def test_best_boxes_wrap_and_never_cover_a_period():
+    from phasemill.operators import boxsearch as bs
+
+    t, n, s = np.arange(0.05, 4, 0.1), np.ones(40), np.full(40, bs.SCALE, float)
+    s[np.isin(np.arange(40) % 20, (0, 19))] = 0.5 * bs.SCALE  # a dip over the end of a period of 2 days
+    periods, best, depth, _, _, duration, epoch, n_in = bs._best_boxes(t, n, s, 40, int(s.sum()), 0.1, [2.0, 0.15], [0.2, 2.0], 2)
+    assert depth[0] == 0.5 and duration[0] == 0.2 and n_in[0] == 4 and epoch[0] % 2 < 1e-9
+    assert best[1] == 0 and np.isnan(depth[1])  # every box is as long as the period
