@@ -8,6 +8,10 @@ shuffle is keyed by (group, value): a group holding a third of all rows is
 spread over all tasks and reaches its last step as a few rows per hundred
 thousand. The bracket is checked by exact counts; a miss fails the job instead
 of giving a wrong number.
+
+Brackets and centres are one row per key. Below ``FEW`` rows they are broadcast, so
+the rows meet them where they lie: dealt by key, a few keys would be a few
+partitions, each sorted whole by one task.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasemill.operators.sizing import small_once
+
 ACCURACY = 100_000
 MARGIN = 10 / ACCURACY
 MAD_SCALE = 1.4826
+#: Brackets and centres that are broadcast; more keys than these spread over tasks by themselves.
+FEW = 100_000
 
 
 def grouped_median(df: DataFrame, keys, value: Column, name: str, *, bounded: bool = False) -> DataFrame:
@@ -33,7 +41,7 @@ def grouped_median(df: DataFrame, keys, value: Column, name: str, *, bounded: bo
     bracket = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("_b"))
     lo, hi = F.col("_b")[0], F.col("_b")[1]
-    placed = rows.join(bracket, keys).select(
+    placed = rows.join(small_once(bracket, FEW), keys).select(
         *keys, F.least(F.greatest("_v", lo), hi).alias("_v"),
         F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, 1).otherwise(0).alias("_side"))
     counts = placed.groupBy(*keys, "_v", "_side").agg(F.count(F.lit(1)).alias("_c"))
@@ -57,6 +65,8 @@ def grouped_mad(df: DataFrame, keys, value: Column, *, median: str = "med", scat
     """Median and robust scatter, 1.4826 times the median absolute deviation, per key."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     centre = grouped_median(df, keys, value, median, bounded=bounded)
+    if not bounded:
+        centre = small_once(centre, FEW)
     dev = df.select(*keys, value.cast("double").alias("_x")).join(centre, keys)
     # The centre is one value per key and rides along with the deviations.
     mad = grouped_median(dev, keys + [median], F.abs(F.col("_x") - F.col(median)), "_mad", bounded=bounded)

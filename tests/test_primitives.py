@@ -35,6 +35,24 @@ def test_median_is_exact_for_hot_groups_and_ties(spark, monkeypatch, accuracy):
     assert mad == pytest.approx(dev, rel=1e-12)
 
 
+@pytest.mark.parametrize("few", [100_000, 5])
+def test_few_keys_do_not_deal_rows_by_key(spark, monkeypatch, few):
+    """Rows of few keys meet their brackets where they lie; of many keys, by a join. The values are the same."""
+    monkeypatch.setattr(medians, "FEW", few)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = series()
+        out = medians.grouped_mad(spark.createDataFrame(p), "k", F.col("v"))
+        got = {r.k: (r.med, r.scatter) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert ("SortMergeJoin" in plan) == (few == 5)
+    for k, v in p.groupby("k").v:
+        assert got[k] == pytest.approx((v.median(), 1.4826 * (v - v.median()).abs().median()), rel=1e-12)
+
+
 def test_median_bracket_miss_fails(spark):
     rows = spark.createDataFrame([(1, 5.0, -1, 10), (1, 6.0, 0, 1)], "k int, _v double, _side int, _c bigint")
     with pytest.raises(Exception, match="outside its bracket"):
