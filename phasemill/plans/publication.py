@@ -129,10 +129,8 @@ def _(t):
  r AS (SELECT z.rule, count(key) AS n, min(key) AS k FROM (VALUES ('duplicate_child'),('missing_children'),('orphan_child')) z(rule) LEFT JOIN v ON v.rule=z.rule GROUP BY 1)
  SELECT coalesce(rule,'all') AS rule, CAST(sum(n) AS BIGINT) AS n_violations, min(k) AS first_key, CASE WHEN sum(n)>0 THEN 'hold' ELSE 'publish' END AS verdict FROM r GROUP BY ROLLUP (rule)""")
 def _(t):
-    kids = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(n("c"))
-    orders, owners = t.orders.select(F.col("o_orderkey").alias("l_orderkey")), kids.select("l_orderkey").distinct()
-    return pb.gate([("duplicate_child", kids.filter("c > 3"), F.concat_ws("/", "l_orderkey", "l_linenumber")),
-                    ("missing_children", orders.join(owners, "l_orderkey", "left_anti"), F.col("l_orderkey")), ("orphan_child", owners.join(orders, "l_orderkey", "left_anti"), F.col("l_orderkey"))])
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    return pb.gate(pb.family_rules(orders, t.lineitem, "l_orderkey", "l_linenumber", 3))
 
 
 BUNDLES = """WITH pl AS (SELECT l_orderkey, count(*) FILTER (l_linestatus='O') AS a FROM lineitem GROUP BY 1), ma AS (SELECT o_orderkey FROM orders WHERE o_orderkey%101<>0),

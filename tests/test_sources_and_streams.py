@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phasemill.functions import hashing
 from phasemill.operators import publish
+from phasemill.operators.sizing import tasks_for
 from phasemill.plans import load_all
 from phasemill.plans.registry import QUERIES
 from phasemill.session import scratch_path, shared_dir
@@ -90,6 +91,26 @@ def test_bundles_are_held_against_manifest_and_candidates(spark):
                    "candidate_table_differs": (1, "1", "hold"), "all": (5, "1", "hold")}
 
 
+def test_family_rules_count_null_keys_copies_and_a_hot_parent(spark):
+    kids = [(k, c) for k in (1, 2, 3, None) for c in (1, None)] + [(2, 7)] * 5 + [(None, 9)] * 4 + [(6, c) for c in range(500)] + [(8, 1)] * 4
+    children = spark.createDataFrame(kids, "k bigint, c int")
+    parents = spark.createDataFrame([(1,), (1,), (2,), (4,), (4,), (40,), (None,), (None,), (6,)], "k bigint")
+    got = {r.rule: (r.n_violations, r.first_key, r.verdict) for r in publish.gate(publish.family_rules(parents, children, "k", "c", 3)).collect()}
+    assert got == {"duplicate_child": (3, "2/7", "hold"), "missing_children": (5, "4", "hold"), "orphan_child": (3, "3", "hold"), "all": (11, "2/7", "hold")}
+    none = publish.gate(publish.family_rules(parents.filter("k = 1"), children.filter("k = 1"), "k", "c", 3)).collect()
+    assert {(r.rule, r.n_violations, r.first_key, r.verdict) for r in none} == {(x, 0, None, "publish") for x in ("duplicate_child", "missing_children", "orphan_child", "all")}
+
+
+def test_publish_gate_counts_in_tasks_of_measured_size(spark):
+    """No table of a whole split before the shuffle, and shuffles that are not merged by their packed size."""
+    load_all()
+    assert tasks_for(spark.range(5000), spark.range(3000), rows=20) == 400
+    out = QUERIES["inc10_publish_gate"](spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, line in enumerate(plan) if "RepartitionByExpression [l_orderkey" in line and "l_linenumber" in line]
+    assert below and not any("Aggregate" in line for line in below) and not any("LeftAnti" in line for line in plan)
+
+
 def test_roll_up_accounts_for_every_target(spark):
     targets = spark.createDataFrame([(r, t) for r in (1, 2, 3, 4) for t in (1, 2)], "run int, t int")
     results = spark.createDataFrame([(1, 1, "ready"), (1, 2, "held"), (2, 1, "ready"), (3, 1, "ready"), (3, 2, "held"), (3, 9, "held"), (4, 1, "ready"), (4, 2, "ready")], "run int, t int, status string")
