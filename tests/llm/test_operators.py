@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -106,6 +107,46 @@ def test_repeated_bytes_equal_brute_force(docs, empty, hot):
     assert suffix.query(empty).count() == 0
 
 
+def _peak(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_runs_of_a_long_text_are_found_in_pieces():
+    half = np.random.default_rng(5).integers(97, 123, 2_000_000).astype(np.uint8)
+    text = np.concatenate([half, half])
+    suffix.runs(text[:1000], np.array([0, 1000]))  # tables are made once
+    (doc, a, b, p, h), peak = _peak(lambda: suffix.runs(text, np.array([0, len(text)])))
+    assert peak < 20 * len(text) and not doc.any()
+    assert a[0] == 0 and b[-1] == len(text) - 400 and (a[1:] == b[:-1] + 1).all()  # every start once
+    gram, ahead = np.repeat(h, b - a + 1), np.repeat(p, b - a + 1) - np.arange(len(text) - 399)
+    n = len(half) - 399  # equal windows: one gram at one distance, whatever the pieces
+    assert (gram[:n] == gram[len(half):]).all() and (ahead[:n] == ahead[len(half):]).all()
+
+
+def test_suffix_blocks_are_sorted_in_little_memory():
+    rng = np.random.default_rng(6)
+    rows = rng.integers(97, 105, (700, 570)).astype(np.uint8)
+    rows[350:] = rows[rng.integers(0, 350, 350)]
+    rows[350:][np.arange(350), rng.integers(0, 570, 350)] = 120  # copies with another byte somewhere
+    bucket = np.repeat(np.arange(700) % 3, 171) * 401 + 170 - np.tile(np.arange(171), 700)
+    starts = (np.repeat(np.arange(700) * 570, 171) + np.tile(np.arange(171), 700)).astype(np.int32)
+    text = rows.ravel()
+    got, peak = _peak(lambda: suffix.repeated(text, starts, bucket.astype(np.uint32)))
+    windows = [(k, text[i: i + 400].tobytes()) for k, i in zip(bucket.tolist(), starts.tolist())]
+    count = collections.Counter(windows)
+    assert peak < 50 * len(text) and got.tolist() == [count[w] > 1 for w in windows]
+    assert 0 < got.sum() < len(got)
+
+
+def test_ranks_of_keys_that_leave_no_room_for_a_place():
+    assert suffix._dense(np.array([1 << 63, 5, 1 << 63, 7, 5], np.uint64)).tolist() == [2, 0, 2, 1, 0]
+    assert suffix._dense(np.zeros(0, np.uint64)).tolist() == []
+
+
 def test_difference_cover_covers_every_distance():
     for r in (0, 1, 2):
         v, d = suffix.difference_cover(r)
