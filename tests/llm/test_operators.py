@@ -107,6 +107,24 @@ def test_repeated_bytes_equal_brute_force(docs, empty, hot):
     assert suffix.query(empty).count() == 0
 
 
+def test_buckets_stay_whole_when_spark_splits_a_skewed_join(spark):
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    core, tails = letters(300), [letters(150) for _ in range(60)]
+    rows = [(i, letters(60) + core + tails[i % 60] + letters(60)) for i in range(120)]  # a pair shares 450 bytes, all share 300
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert all(n >= 450 for n in got.values()), sorted(n for n in got.values() if n < 450)
+
+
 def _peak(work):
     tracemalloc.start()
     try:
